@@ -1,0 +1,146 @@
+"""Token ids as Parquet list columns: delta or dictionary encoded, in row groups and pages of stated size with page indexes,
+in ascending order of document, so that readers can pick rows and columns; and the way back."""
+
+from __future__ import annotations
+
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quarry.llm.common import cut, new_path, small_batches
+
+#: Bytes of a row group and of a page before compression, and rows of a page. The page index has an entry a page.
+ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 128 << 10, 256
+#: Entries of each of the two generations of a worker's memo of words.
+MEMO = 200_000
+#: Characters that Python counts as white space and the tokenizer doesn't; texts with them go through the library whole.
+_ODD = re.compile("[\x1c-\x1f]|<\\|")
+_held: dict[str, _Encoder] = {}
+
+
+class _Encoder:
+    """The library's tokenizer with a memo of words between white space.
+
+    Its normaliser and splitter act within such words (composition, lower case and the pattern's matches never reach across
+    white space), so a text's ids are its words' ids in a row. Texts in which added tokens could stand go to the library."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.lib = Tokenizer.from_file(path)
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def text(self, text: str) -> bytes:
+        if _ODD.search(text):
+            return self.whole(text)
+        words = text.split()
+        memo = self.memo
+        if missing := [w for w in dict.fromkeys(words) if w not in memo]:
+            older = self.older
+            rest = [w for w in missing if w not in older]
+            memo.update((w, older[w]) for w in missing if w in older)
+            if rest:
+                memo.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        out = b"".join(map(memo.__getitem__, words))
+        if len(memo) > MEMO:
+            self.older, self.memo = memo, {}
+        return out
+
+
+def encode_ids(docs: DataFrame, tokenizer: str, end_id: int, *, text: str = "text") -> DataFrame:
+    """Replaces the text by ids array<int>, the end id after each document's. A null text has the end id alone. Narrow."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    kept = [c for c in docs.columns if c not in (text, "ids")]
+    end = int(end_id).to_bytes(4, "little")
+
+    def run(batches):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        if tokenizer not in _held:
+            _held[tokenizer] = _Encoder(tokenizer)
+        for batch in batches:
+            coded = [(_held[tokenizer].text(x) if x else b"") + end for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            ends = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), lists], names=[*kept, "ids"])
+
+    return docs.select(*kept, text).mapInArrow(run, T.StructType([*docs.select(*kept).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+
+
+def write_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str, *, encoding: str = "delta", doc_id: str = "doc_id", text: str = "text") -> None:
+    """Writes (doc_id, part, n_tokens, ids) to path, files and rows in ascending doc_id, nulls first.
+
+    encoding: "delta" (version 2 pages: DELTA_BINARY_PACKED) or "dictionary". The texts are dealt by ranges of doc_id
+    before they are encoded, as text is dearer to encode than to move; one shuffle. Equal doc_ids stay together in one file,
+    ordered by a hash of the text and then its bytes. An empty table writes an empty folder with the schema."""
+    if encoding not in ("delta", "dictionary"):
+        raise ValueError(encoding)
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    dealt = texts.repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    out = encode_ids(dealt, tokenizer, end_id).select("doc_id", F.spark_partition_id().alias("part"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    out.write.options(**{
+        "compression": "zstd", "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.page.row.count.limit": PAGE_ROWS,
+        "parquet.writer.version": "v2" if encoding == "delta" else "v1", "parquet.enable.dictionary": str(encoding == "dictionary").lower(), "parquet.page.write-checksum.enabled": "true",
+    }).parquet(path)
+
+
+def read_ids(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
+    """Reads documents back: (doc_id, part, n_tokens, ids). A condition on doc_id, part or n_tokens reaches the row groups
+    and, by the page index, the pages; columns that the plan does not use are not read."""
+    df = spark.read.schema("doc_id long, part int, n_tokens long, ids array<int>").parquet(path)
+    return df if where is None else df.where(where)
+
+
+def starts(ids: DataFrame) -> DataFrame:
+    """(doc_id, part, n_tokens, start, ordinal): start is the number of ids of all documents before it. Only the narrow
+    columns are read; a prefix sum within each part follows one over the parts' sums (a row a file)."""
+    narrow = ids.select("doc_id", "part", "n_tokens")
+    sums = narrow.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = sums.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    w = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    own = narrow.withColumn("own", F.sum("n_tokens").over(w) - F.col("n_tokens"))
+    return own.join(before, "part").select("doc_id", "part", "n_tokens", (F.col("before") + F.col("own")).alias("start"))
+
+
+def digest(ids: DataFrame) -> DataFrame:
+    """Adds ids_crc32, the checksum of the ids as little-endian unsigned 32-bit integers, and drops the ids."""
+    kept = [c for c in ids.columns if c != "ids"]
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("ids"))
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+            ends = np.cumsum(np.concatenate([[0], lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)]))
+            sums = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(sums, pa.int64())], names=[*kept, "ids_crc32"])
+
+    return ids.select(*kept, "ids").mapInArrow(run, T.StructType([*ids.select(*kept).schema.fields, T.StructField("ids_crc32", T.LongType())]))
+
+
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int, *, encoding: str = "delta") -> DataFrame:
+    """Writes the ids of documents (doc_id, text) to the shared folder, reads them back and returns from the files doc_id,
+    start, n_tokens and ids_crc32.
+
+    Null texts have the end id alone; repeated rows and doc_ids each have their own ids and start, in the files' order;
+    an empty table gives an empty result; other columns are not read."""
+    spark = docs.sparkSession
+    path = new_path(spark)
+    write_ids(docs, tokenizer, end_id, path, encoding=encoding)
+    back = read_ids(spark, path)
+    sums = back.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = cut(sums.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before")))
+    w = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, 0)
+    own = digest(back).withColumn("own", F.sum("n_tokens").over(w) - F.col("n_tokens"))
+    return own.join(before, "part").select("doc_id", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
