@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, outputs, spm, tokencount
+from quarry.llm import mixing, outputs, secrets, spm, tokencount, toxicity
 from quarry.llm.common import table
 
 #: Where the vocabulary files lie; None: the installed public_tokenizers package.
@@ -27,6 +27,10 @@ def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("weight"))
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -42,9 +46,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outputs.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2)
 
 
-QUERIES = {f.__name__: f for f in (op4_source_mix, op6_sentencepiece, op8_token_counts, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_source_mix, op6_sentencepiece, op8_token_counts, op9_toxicity, op10_token_output)}
 ORACLE: dict[str, str] = {}
