@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, outputs, secrets, spm, tokencount, toxicity
+from quarry.llm import mixing, ngram_join, outputs, secrets, spm, tokencount, toxicity
 from quarry.llm.common import table
 
 #: Where the vocabulary files lie; None: the installed public_tokenizers package.
@@ -36,6 +36,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spm.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
     return out.select("doc_id", "n_bytes", "n_tokens", "ids_crc32", "round_trip")
@@ -56,5 +60,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outputs.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_source_mix, op6_sentencepiece, op8_token_counts, op9_toxicity, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_source_mix, op5_ngram_jaccard, op6_sentencepiece, op8_token_counts, op9_toxicity, op10_token_output)}
 ORACLE: dict[str, str] = {}
