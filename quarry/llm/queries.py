@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, ngram_join, outputs, secrets, spm, tokencount, toxicity
+from quarry.llm import annq, ego_join, mixing, ngram_join, outputs, secrets, spm, tokencount, toxicity
 from quarry.llm.common import table
 
 #: Where the vocabulary files lie; None: the installed public_tokenizers package.
@@ -31,6 +31,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.link(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -45,6 +49,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "ids_crc32", "round_trip")
 
 
+def op7_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annq.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokencount.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -60,5 +68,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outputs.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_source_mix, op5_ngram_jaccard, op6_sentencepiece, op8_token_counts, op9_toxicity, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ego_join, op4_source_mix, op5_ngram_jaccard, op6_sentencepiece, op7_additive_search, op8_token_counts, op9_toxicity, op10_token_output)}
 ORACLE: dict[str, str] = {}
