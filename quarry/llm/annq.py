@@ -16,11 +16,12 @@ from quarry.llm.common import cut, small_batches
 from quarry.llm.vectors import matrix, parted
 
 #: Codebooks, codewords of each, and width of the beam.
-BOOKS, WORDS, BEAM = 16, 128, 4
-#: Vectors in the sample that codebooks are fitted to, at most, the first by a hash; rounds of each fit.
-SAMPLE, ROUNDS = 8192, 6
+BOOKS, WORDS, BEAM = 32, 64, 4
+#: Vectors in the sample that codebooks are fitted to, at most, the first by a hash; rounds of each fit, and
+#: of refitting all together.
+SAMPLE, ROUNDS, REFITS = 8192, 5, 2
 #: Codes of a query that are scored exactly, for k = 20.
-RERANK = 200
+RERANK = 300
 #: Vectors of a block of codes, queries of a block, and about as many vectors as one task compares a block of queries with.
 CODES, QUERIES, SHARD = 1024, 64, 1 << 20
 
@@ -44,11 +45,13 @@ def fit_codebooks(x: np.ndarray, books: int = BOOKS, words: int = WORDS, beam: i
                 c[n == 0] = rest[rng.choice(len(rest), int((n == 0).sum()))]
         out = np.concatenate([out, c[None]])
         rest = rest - c[(rest @ c.T * 2 - (c * c).sum(1)).argmax(1)]
-    codes, _ = encode(x, out, beam)
-    hot = np.zeros((len(x), books * words))
-    hot[np.arange(len(x))[:, None], codes + words * np.arange(books)] = 1
-    gram = hot.T @ hot + 0.1 * np.eye(books * words)
-    return np.linalg.solve(gram, hot.T @ x + 0.1 * out.reshape(books * words, -1)).reshape(out.shape)
+    for _ in range(REFITS):
+        codes, _ = encode(x, out, beam)
+        hot = np.zeros((len(x), books * words))
+        hot[np.arange(len(x))[:, None], codes + words * np.arange(books)] = 1
+        gram = hot.T @ hot + np.eye(books * words)
+        out = np.linalg.solve(gram, hot.T @ x + out.reshape(books * words, -1)).reshape(out.shape)
+    return out
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import annq, ego_join, mixing, ngram_join, outputs, secrets, spm, tokencount, toxicity
+from quarry.llm import annq, ego_join, mixing, ngram_join, outputs, pii, secrets, spm, tokencount, toxicity
 from quarry.llm.common import table
 
 #: Where the vocabulary files lie; None: the installed public_tokenizers package.
@@ -35,6 +35,11 @@ def op2_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego_join.link(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.train(docs))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -68,5 +73,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outputs.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ego_join, op4_source_mix, op5_ngram_jaccard, op6_sentencepiece, op7_additive_search, op8_token_counts, op9_toxicity, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ego_join, op3_personal_data, op4_source_mix, op5_ngram_jaccard, op6_sentencepiece, op7_additive_search, op8_token_counts, op9_toxicity, op10_token_output)}
 ORACLE: dict[str, str] = {}
