@@ -3,7 +3,9 @@ in ascending order of document, so that readers can pick rows and columns; and t
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -16,44 +18,72 @@ from quarry.llm.common import cut, new_path, small_batches
 
 #: Bytes of a row group and of a page before compression, and rows of a page. The page index has an entry a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 128 << 10, 256
-#: Entries of each of the two generations of a worker's memo of words.
-MEMO = 200_000
-#: Characters that Python counts as white space and the tokenizer doesn't; texts with them go through the library whole.
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
+#: Entries of each of the two generations of a worker's memos of words and of strings between white space; a full
+#: generation replaces the older one.
+MEMO = 400_000
+#: Other characters than these, separators that Python alone counts as white space, and what could begin an added token
+#: send a text through the library whole. Without them Python's lower case and character classes are the library's.
+_STRANGE = re.compile("[^\0-\u0130\u0132-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
+_APART = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+# The tokenizer's pattern of words, spelled out for that range.
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
+_KNOWN = '[{"type":"NFC"},{"type":"Replace","pattern":{"Regex":"\\\\s+"},"content":" "},{"type":"Lowercase"}]', "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _held: dict[str, _Encoder] = {}
 
 
+class _Memo(dict):
+    """Remembers what a function of a short string gave."""
+
+    def __init__(self, f) -> None:
+        super().__init__()
+        self.f, self.older = f, {}
+
+    def __missing__(self, x: str) -> bytes:
+        if (got := self.older.get(x)) is None:
+            got = self.f(x)
+        if len(self) >= MEMO:
+            self.older = dict(self)
+            self.clear()
+        if len(x) <= 64:
+            self[x] = got
+        return got
+
+
 class _Encoder:
-    """The library's tokenizer with a memo of words between white space.
+    """The library's tokenizer with memos of words.
 
-    Its normaliser and splitter act within such words (composition, lower case and the pattern's matches never reach across
-    white space), so a text's ids are its words' ids in a row. Texts in which added tokens could stand go to the library."""
+    Its normaliser composes, joins white space and lowers case; its splitter takes the words and drops white space. Words
+    never reach across white space and are merged each for itself, so a text's ids are its words' ids in a row. Tokenizers that are built otherwise are
+    given every text whole."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        state = json.loads(self.lib.to_str())
+        split = (state["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        self.by_word = json.dumps((state["normalizer"] or {}).get("normalizers"), separators=(",", ":")) == _KNOWN[0] and split.get("behavior") == "Removed" and split.get("invert") is True and split["pattern"]["Regex"].endswith(_KNOWN[1]) and not state["model"].get("ignore_merges")
+        self.chunks = _Memo(self.chunk)
+        self.words = _Memo(self.word)
+        # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
+        own = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
+        rest = [b for b in range(256) if b not in own]
+        self.letters = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+    def word(self, word: str) -> bytes:
+        tokens = self.lib.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))
+        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+
+    def chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, _WORD.findall(chunk.lower())))
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def text(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if not self.by_word or any(x in text for x in _APART) or (not text.isascii() and _STRANGE.search(text)):
             return self.whole(text)
-        words = text.split()
-        memo = self.memo
-        if missing := [w for w in dict.fromkeys(words) if w not in memo]:
-            older = self.older
-            rest = [w for w in missing if w not in older]
-            memo.update((w, older[w]) for w in missing if w in older)
-            if rest:
-                memo.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True))
-        out = b"".join(map(memo.__getitem__, words))
-        if len(memo) > MEMO:
-            self.older, self.memo = memo, {}
-        return out
+        return b"".join(map(self.chunks.__getitem__, unicodedata.normalize("NFC", text).split()))
 
 
 def encode_ids(docs: DataFrame, tokenizer: str, end_id: int, *, text: str = "text") -> DataFrame:
