@@ -31,7 +31,7 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def version(self) -> str | None:
-        pointer = f"{self.root}/_current"
+        pointer = f"{self.root}/CURRENT"
         if not exists(self.spark, pointer):
             return None
         rows = self.spark.read.text(pointer).collect()
@@ -49,11 +49,11 @@ class Store:
         for name in TABLES:
             df = tables.get(name, None)
             (self.read(name) if df is None else df).write.parquet(f"{self.root}/{v}/{name}")
-        at, fs = _fs(self.spark, f"{self.root}/_current.{v}")
+        at, fs = _fs(self.spark, f"{self.root}/CURRENT.{v}")
         out = fs.create(at, True)
         out.write(bytearray(v.encode()))
         out.close()
-        to, _ = _fs(self.spark, f"{self.root}/_current")
+        to, _ = _fs(self.spark, f"{self.root}/CURRENT")
         fs.delete(to, False)
         fs.rename(at, to)
         return v
@@ -92,12 +92,15 @@ def ingest(spark: SparkSession, root: str, store: Store, settings: Settings | No
     todo = st.needs_index(files.drop("content"), store.read("file_state")).select("path")
     if todo.isEmpty():
         return None
+    # written before use: contents are read and extracted once, and a lost executor costs none of it
+    staged = f"{store.root}/staged-{uuid.uuid4().hex[:8]}"
     docs = src.extract_distinct(files.join(todo, "path", "left_semi"))
-    docs.persist()
+    docs.write.parquet(staged)
     try:
-        return store.apply(docs, spark.createDataFrame([], "path string"), int(time.time()) if now is None else now)
+        return store.apply(spark.read.schema(docs.schema).parquet(staged), spark.createDataFrame([], "path string"), int(time.time()) if now is None else now)
     finally:
-        docs.unpersist()
+        at, fs = _fs(spark, staged)
+        fs.delete(at, True)
 
 
 def rebuild(spark: SparkSession, root: str, store: Store, settings: Settings | None = None, *, now: int | None = None) -> str | None:
