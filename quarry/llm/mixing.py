@@ -38,11 +38,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     t = (
         t.withColumn("total", F.lit(float(share)) * F.sum("source_size").over(whole))
         .withColumn("full", F.coalesce(F.sum("most").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+        .withColumn("at", F.row_number().over(by))
         .withColumn("rest", F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("level", (F.col("total") - F.col("full")) / F.col("rest"))
     )
     # the first source, by r, whose level stays below its r sets the level for all after it
-    t = t.withColumn("level", F.min(F.when(F.col("level") <= F.col("most") / F.col("weight"), F.struct((F.col("most") / F.col("weight")).alias("r"), "level"))).over(whole)["level"])
+    t = t.withColumn("level", F.min(F.when(F.col("level") <= F.col("most") / F.col("weight"), F.struct("at", "level"))).over(whole)["level"])
     return t.select("source", "source_size", F.least(F.col("most"), F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
 
 
