@@ -45,14 +45,19 @@ LOOKS = str.maketrans({"4": "a", "@": "a", "3": "e", "0": "o", "1": "l", "!": "i
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 
 
-def _neighbours() -> dict[str, set[str]]:
-    """Keys that touch: beside each other in a row, or above and below with the half-key offset of the rows."""
-    at = {c: (r, i + r / 2) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
-    return {a: {b for b, (s, y) in at.items() if b != a and abs(r - s) <= 1 and abs(x - y) <= 1} for a, (r, x) in at.items()}
+#: Places of the keys: row, and column with the half-key offset of the rows.
+KEYS = {c: (r, i + r / 2) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
 
 
-NEAR = _neighbours()
-_DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d|(?:19|20)\d\d)")
+def _step(a: str, b: str) -> tuple[int, int] | None:
+    """The direction from a key to one that it touches; None if they don't touch."""
+    if a not in KEYS or b not in KEYS or a == b:
+        return None
+    (r, x), (s, y) = KEYS[a], KEYS[b]
+    return (s - r, 1 if y > x else -1) if abs(r - s) <= 1 and abs(x - y) <= 1 else None
+
+
+_DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:1[0-2]|0?[1-9])[-/.]?(?:[12]\d|3[01]|0?[1-9])|(?:[12]\d|3[01]|0?[1-9])[-/.]?(?:1[0-2]|0?[1-9])[-/.]?(?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d)")
 _REPEAT = re.compile(r"(.{1,8}?)\1+")
 
 
@@ -82,12 +87,11 @@ def guess_cost(value: str) -> float:
     i = 0
     while i < n:
         j, turns, way = i + 1, 0, None
-        while j < n and low[j] in NEAR.get(low[j - 1], ()):
-            step = ord(low[j]) - ord(low[j - 1])
+        while j < n and (step := _step(low[j - 1], low[j])) is not None:
             turns, way = turns + (step != way), step
             j += 1
         if j - i >= 4:
-            ends[j].append((i, math.log10(len(NEAR)) + math.log10(4) * min(turns, j - i - 1) / 2 + math.log10(j - i)))
+            ends[j].append((i, math.log10(len(KEYS)) + math.log10(4) * min(turns, j - i - 1) / 2 + math.log10(j - i)))
         i = max(j - 1, i + 1)
     best, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
     for j in range(1, n + 1):
