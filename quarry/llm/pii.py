@@ -26,6 +26,10 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Mentions that the weights are fitted to, at most, the first by a hash; what makes a label sure; rounds of messages.
 SAMPLE, SURE, ROUNDS = 20_000, 0.9, 12
+#: Log-potential that two similar mentions have one label.
+SKIP = 4.0
+#: Code points between mentions that are neighbours, at most.
+NEAR = 100
 
 # The base patterns, as the contract of the query has them. A leading look-behind starts a match where a run of
 # digits starts, as the leftmost match does anyway, and keeps long runs from being tried at each digit.
@@ -169,7 +173,7 @@ def fit(rows: list[tuple[list[str], int, int]]) -> Model:
             trans[before, label] += 1
     joint = trans / trans.sum()
     chain = np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)))
-    return Model({f: w[i] for f, i in at.items()}, np.clip(chain, -1.5, 1.5), 3.0)
+    return Model({f: w[i] for f, i in at.items()}, np.clip(chain, -1.5, 1.5), SKIP)
 
 
 def marginals(model: Model, ms: list[Mention], fixed: list[int]) -> np.ndarray:
@@ -180,7 +184,7 @@ def marginals(model: Model, ms: list[Mention], fixed: list[int]) -> np.ndarray:
     for i, label in enumerate(fixed):
         if label > 0:
             phi[i] = np.where(np.arange(k) == label, 12.0, -12.0)
-    edges, seen = [(i, i + 1, model.chain) for i in range(n - 1)], {}
+    edges, seen = [(i, i + 1, model.chain) for i in range(n - 1) if ms[i + 1].start - ms[i].end <= NEAR], {}
     same = model.skip * np.eye(k)
     for i, m in enumerate(ms):
         key = (m.is_at, m.key)
