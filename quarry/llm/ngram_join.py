@@ -7,10 +7,14 @@ Over a cluster:
 1. A pass over the texts counts shingles into a table of fixed size; it orders shingles from rare to frequent.
 2. Each distinct set puts its rarest elements, size - ceil(p size / 100) + 1 of them, into inverted lists: the short lists.
    Equal sets are one from here on. The shuffle's sort merges the lists.
-3. Each list's members meet its pivot, its smallest set, if sizes and positions leave T in reach. Candidates are probed: the
+3. Each list's members meet its pivot, the set in whose order the element comes first, so the one with the fewest rarer elements
+   of its own, if sizes and positions leave T in reach. Candidates are probed: the
    elements that are not in the short lists are sought by binary search, ending as soon as T is reached or out of reach.
 4. Components of the links found settle most lists: those whose members are all in one component are done. From the others all
    pairs of members from two components, again within reach of T, are probed. That is exact, and no list is capped.
+
+Each set has a parity sketch: a bit for each residue of its elements' hashes, set if their number is odd. Two sketches differ in at
+most as many bits as the sets in elements, so pairs whose sketches differ too much for T are left out before texts are fetched.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from quarry.llm.common import components, cut, release, small_batches
 
 #: log2 of the slots that shingles are counted in; the table is broadcast, half a megabyte whatever the input.
 SLOT_BITS = 16
+#: Long words of a parity sketch.
+SKETCH = 8
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -85,25 +91,26 @@ def _count_slots(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
-    """(doc_id, sid, n, prefix): the set's id (a hash of its elements; null if it is empty), size, and rarest elements."""
+    """(doc_id, sid, n, prefix, sketch): the set's id (a hash of its elements; null if it is empty), size, rarest elements, parities."""
 
     def run(batches):
         order = counts.value
         for batch in batches:
-            sid, size, prefix = [], [], []
+            sid, size, prefix, odd = [], [], [], []
             for x in batch.column(batch.schema.get_field_index("text")).to_pylist():
                 s = shingles(x, k)
                 n = len(s)
                 size.append(n)
                 sid.append(int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True) if n else None)
+                odd.append(np.packbits((np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1).astype(bool)).view(np.int64))
                 first = n + percent * n // -100 + 1
                 rank = order[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
                 prefix.append(s[np.lexsort((s, rank))[:first]].view(np.int64) if n else s.view(np.int64))
             ends = np.cumsum([0, *map(len, prefix)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefix, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(sid, pa.int64()), pa.array(size, pa.int64()), lists], names=["doc_id", "sid", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(sid, pa.int64()), pa.array(size, pa.int64()), lists, pa.array([o.tolist() for o in odd], pa.list_(pa.int64()))], names=["doc_id", "sid", "n", "prefix", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid long, n long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid long, n long, prefix array<long>, sketch array<long>")
 
 
 def _in_reach(n: str, i: str, m: str, j: str, percent: int) -> str:
@@ -111,6 +118,12 @@ def _in_reach(n: str, i: str, m: str, j: str, percent: int) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and (100 + {percent}) * least({n} - {i}, {m} - {j}) >= {percent} * ({n} + {m})"
 
 
+def _alike(n: str, x: str, m: str, y: str, percent: int) -> str:
+    """SQL: the sketches x and y differ in no more bits than sets of sizes n and m may in elements, if they share T."""
+    bits = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(SKETCH))
+    return f"(100 + {percent}) * ({bits}) <= (100 - {percent}) * ({n} + {m})"
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, percent: int) -> DataFrame:
     """Links among pairs (a, b) of set ids. owners: (sid, doc_id), a document of each set. Texts travel, as they are smaller
     than sets of hashes; only those of candidates do."""
@@ -154,16 +167,20 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = spark.sparkContext.broadcast(_count_slots(docs, k))
-    info = cut(_sets(docs, k, percent, counts))
-    full = info.where("sid is not null")
-    reps = full.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = cut(_sets(docs, k, percent, counts))
+    info = cut(sets.select("doc_id", "sid", "n"))
+    reps = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+    reps = cut(reps)
+    release(sets)
+    sketches = reps.select("sid", F.col("n").cast("int").alias("size"), "sketch")
     lists = reps.select("sid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    heads = lists.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("n", "sid", "pos")).alias("p")).where("c > 1")
+    heads = lists.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("pos", "n", "sid")).alias("p")).where("c > 1")
     short = cut(lists.join(heads, "token").select("token", "sid", "n", "pos", "c", F.col("p.sid").alias("pivot"), F.col("p.n").alias("m"), F.col("p.pos").alias("at")))
-    owners = full.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    owners = reps.select("sid", "doc_id")
 
     near = short.where("sid <> pivot").where(_in_reach("n", "pos", "m", "at", percent)).select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
-    near = cut(near)
+    side = lambda c: sketches.select(F.col("sid").alias(c), F.col("size").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_s"))
+    near = cut(near.join(side("a"), "a").join(side("b"), "b").where(_alike("a_n", "a_s", "b_n", "b_s", percent)).select("a", "b"))
     links = _verify(near, docs, owners, k, percent)
     roots = cut(components(links))
 
@@ -171,11 +188,11 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     held = short.where("c > 2").select("token", "sid", "n", "pos").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     held = cut(held)
     mixed = held.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("token")
-    step = np.log(100 / percent)
-    held = held.join(mixed, "token").withColumn("band", F.floor(F.ln("n") / float(step)).cast("int"))
-    left = held.select("token", "band", *(F.col(c).alias(f"l_{c}") for c in ("sid", "n", "pos", "root")))
+    step = np.log(100 / percent) * (1 + 1e-6)
+    held = held.join(mixed, "token").join(sketches.select("sid", "sketch"), "sid").withColumn("band", F.floor(F.ln("n") / float(step)).cast("int"))
+    left = held.select("token", "band", *(F.col(c).alias(f"l_{c}") for c in ("sid", "n", "pos", "root", "sketch")))
     right = held.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    rest = left.join(right, ["token", "band"]).where("l_sid < sid and l_root <> root").where(_in_reach("n", "pos", "l_n", "l_pos", percent))
+    rest = left.join(right, ["token", "band"]).where("l_sid < sid and l_root <> root").where(_in_reach("n", "pos", "l_n", "l_pos", percent)).where(_alike("n", "sketch", "l_n", "l_sketch", percent))
     rest = cut(rest.select(F.col("l_sid").alias("a"), F.col("sid").alias("b")).distinct().join(near, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = cut(links.unionByName(_verify(rest, docs, owners, k, percent)))
