@@ -19,18 +19,25 @@ VERSION = "1"
 SALT = 64
 
 
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """(path, dl, pos, term): texts are cut into tokens once, and the length travels with them."""
+    tokens = docs.select("path", fn.tokenise(F.col("content")).alias("tokens"))
+    return tokens.select("path", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """(term, path, tf, dl, positions): one document's rows come from one row, so the counts need a map-side sum only."""
-    words = docs.select("path", F.posexplode(fn.tokenise(F.col("content"))).alias("pos", "term"))
-    sizes = docs.select("path", F.size(fn.tokenise(F.col("content"))).alias("dl"))
-    rows = words.groupBy("path", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return rows.join(sizes, "path").select("term", "path", "tf", "dl", "positions")
+    """(term, path, tf, dl, positions). A document's rows come from one row, so most of the sum is done before the one shuffle."""
+    rows = _occurrences(docs).groupBy("path", "dl", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    return rows.select("term", "path", "tf", "dl", "positions")
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """(term, df, cf): documents and occurrences of each term."""
-    words = docs.select(F.explode(fn.tokenise(F.col("content"))).alias("term"), "path").groupBy("path", "term").agg(F.count("*").alias("tf"))
-    return words.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """(term, df, cf): documents and occurrences of each term. Distinct terms and their counts are taken within each row, so what
+    is shuffled is a partial sum for each term and task."""
+    tokens = docs.select("path", fn.tokenise(F.col("content")).alias("tokens"))
+    occurrences = tokens.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
+    documents = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return documents.join(occurrences, "term").select("term", "df", "cf")
 
 
 def _fs(spark: SparkSession, path: str):
