@@ -47,10 +47,14 @@ def fit_codebooks(x: np.ndarray, books: int = BOOKS, words: int = WORDS, beam: i
         rest = rest - c[(rest @ c.T * 2 - (c * c).sum(1)).argmax(1)]
     for _ in range(REFITS):
         codes, _ = encode(x, out, beam)
-        hot = np.zeros((len(x), books * words))
-        hot[np.arange(len(x))[:, None], codes + words * np.arange(books)] = 1
-        gram = hot.T @ hot + np.eye(books * words)
-        out = np.linalg.solve(gram, hot.T @ x + out.reshape(books * words, -1)).reshape(out.shape)
+        gram, right = np.eye(books * words), out.reshape(books * words, -1).copy()
+        for i in range(0, len(x), 1024):
+            part = codes[i : i + 1024]
+            hot = np.zeros((len(part), books * words))
+            hot[np.arange(len(part))[:, None], part + words * np.arange(books)] = 1
+            gram += hot.T @ hot
+            right += hot.T @ x[i : i + 1024]
+        out = np.linalg.solve(gram, right).reshape(out.shape)
     return out
 
 
