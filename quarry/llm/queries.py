@@ -74,4 +74,20 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ego_join, op3_personal_data, op4_source_mix, op5_ngram_jaccard, op6_sentencepiece, op7_additive_search, op8_token_counts, op9_toxicity, op10_token_output)}
-ORACLE: dict[str, str] = {}
+
+_CLOSURE = """e AS (SELECT i, j FROM l UNION ALL SELECT j, i FROM l),
+ c AS (SELECT id AS a, id AS b FROM n UNION SELECT c.a, e.j FROM c JOIN e ON c.b = e.i)"""
+#: Exact operators; the others learn models, draw by hashes or stand on a library, and are tested against plain versions.
+ORACLE: dict[str, str] = {
+    "op2_ego_join": f"""WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings),
+ g AS (SELECT * FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+ n AS (SELECT id FROM v), l AS (SELECT a.id AS i, b.id AS j FROM g a JOIN g b ON a.id < b.id AND list_cosine_similarity(a.x, b.x) >= 0.9), {_CLOSURE},
+ k AS (SELECT i, count(*) AS n_links FROM e GROUP BY i)
+ SELECT a AS vec_id, coalesce(any_value(n_links), 0) AS n_links, min(b) AS component_id, a = min(b) AS kept FROM c LEFT JOIN k ON k.i = c.a GROUP BY a""",
+    "op5_ngram_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id AS id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+ s AS (SELECT id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+ n AS (SELECT id, len(sh) AS size FROM s), x AS (SELECT id, unnest(sh) AS g FROM s),
+ p AS (SELECT a.id AS i, b.id AS j, count(*) AS o FROM x a JOIN x b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+ l AS (SELECT i, j FROM p JOIN n a ON a.id = i JOIN n b ON b.id = j WHERE 100 * o >= 90 * (a.size + b.size - o)), {_CLOSURE}
+ SELECT n.id AS doc_id, any_value(size) AS n_shingles, min(b) AS component_id FROM n JOIN c ON c.a = n.id GROUP BY n.id""",
+}
