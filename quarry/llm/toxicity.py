@@ -21,8 +21,9 @@ from quarry.llm.common import small_batches
 
 #: Labelled documents in the sample, of each label, and features at most: the bounds of what the driver gets.
 SAMPLE, FEATURES = 3000, 20_000
-#: A feature is kept if this many sampled documents have it.
-LEAST_DOCS = 6
+#: A feature is kept if this many sampled documents have it, and its shares in the labels are so many standard errors apart:
+#: what is kept by chance would add up in very long texts.
+LEAST_DOCS, APART = 6, 3.5
 THRESHOLD = 0.7
 RIDGE, COUNTERFACTUAL, ROUNDS = 5e-5, 1.0, 250
 
@@ -89,27 +90,44 @@ def fit(docs: list[tuple[int, set[str]]]) -> Model:
     pos = labels.sum()
     if not 0 < pos < len(labels):
         return Model(-4.0 if not pos else 4.0, {})
-    sets = [{f for w in ws for f in features(w)} for _, ws in docs]
-    count: dict[str, list[int]] = {}
-    for y, s in zip(labels, sets, strict=True):
-        for f in s:
-            count.setdefault(f, [0, 0])[int(y)] += 1
+    # features by number; a word's are found once, so that each string is held once
+    number: dict[str, int] = {}
+    known: dict[str, tuple[int, ...]] = {}
+
+    def of(word: str) -> tuple[int, ...]:
+        if (got := known.get(word)) is None:
+            got = known[word] = tuple(number.setdefault(f, len(number)) for f in features(word))
+        return got
+
+    for w in SWAP:
+        of(w)
+    rows_of = [np.unique(np.fromiter((i for w in ws for i in of(w)), np.int32)) for _, ws in docs]
+    pairs = [(k, np.unique(np.fromiter((i for w in ws for i in of(SWAP.get(w, w))), np.int32))) for k, (_, ws) in enumerate(docs) if not ws.isdisjoint(SWAP)]
+    known.clear()
+    count = np.stack([np.bincount(np.concatenate([np.empty(0, np.int32), *(r for r, y in zip(rows_of, labels, strict=True) if y == v)]), minlength=len(number)) for v in (0, 1)])
     least = min(LEAST_DOCS, max(2, len(docs) // 200))
-    ratio = lambda c: abs(c[1] / pos - c[0] / (len(labels) - pos)) / math.sqrt(c[0] + c[1])
-    names = sorted((f for f, c in count.items() if sum(c) >= least), key=lambda f: (-ratio(count[f]), f))[:FEATURES]
-    names += sorted(set(SWAP) - set(names))
-    at = {f: i for i, f in enumerate(names)}
+    both = count.sum(0)
+    neg, share = len(labels) - pos, both / len(labels)
+    # how far a feature's shares in the two labels are apart, in standard errors
+    ratio = np.abs(count[1] / pos - count[0] / neg) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / pos + 1 / neg))
+    every = np.array(list(number))
+    number.clear()
+    kept = np.flatnonzero((both >= least) & (ratio >= APART))
+    kept = kept[np.lexsort((every[kept], -ratio[kept]))][:FEATURES]
+    kept = np.concatenate([kept, np.setdiff1d(np.arange(len(SWAP)), kept)])
+    names = every[kept].tolist()
+    column = np.full(len(every), -1, np.int64)
+    column[kept] = np.arange(len(kept))
+    del every, count, both, ratio
 
     def matrix(rows):
-        idx = [sorted(at[f] for f in s if f in at) for s in rows]
-        return np.array([i for r in idx for i in r], np.int64), np.array([k for k, r in enumerate(idx) for _ in r], np.int64)
-
-    xi, xr = matrix(sets)
-    pairs = [(k, ws) for k, (_, ws) in enumerate(docs) if not ws.isdisjoint(SWAP)]
-    swapped = [{f for w in ws for f in features(SWAP.get(w, w))} for _, ws in pairs]
-    own = [sets[k] for k, _ in pairs]
-    ai, ar = matrix([a - b for a, b in zip(own, swapped, strict=True)])
-    bi, br = matrix([b - a for a, b in zip(own, swapped, strict=True)])
+        at = [c[c >= 0] for c in (column[r] for r in rows)]
+        return np.concatenate([np.empty(0, np.int64), *at]), np.repeat(np.arange(len(at)), [len(c) for c in at])
+
+    xi, xr = matrix(rows_of)
+    ai, ar = matrix([np.setdiff1d(rows_of[k], r) for k, r in pairs])
+    bi, br = matrix([np.setdiff1d(r, rows_of[k]) for k, r in pairs])
+    at = {f: i for i, f in enumerate(names)}
     n, d = len(docs), len(names)
     # Adam on the full sample, from zero
     row = np.where(labels == 1, 0.5 / pos, 0.5 / (n - pos))
