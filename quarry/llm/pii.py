@@ -3,7 +3,8 @@
 Nodes are a text's candidate mentions: chunks of digits that could be a number, and strings with an at-sign, plain or spelled out.
 Prose between them is outside by definition, so nothing else needs a label. A node's potentials come from its shape and the
 words before it; neighbours in the text share a chain potential; and mentions that repeat or resemble one another, however
-far apart, share a skip potential that draws them to one label. Loopy belief propagation gives each node's marginals; a
+far apart, share a skip potential that draws them to one label, by way of a hub node for each key. A hub is settled by the base
+patterns' labels of its mentions, if there are any. Loopy belief propagation gives each node's marginals; a
 mention that no base pattern covers is added where one label is nearly sure. Weights are fitted to the base patterns' labels
 on a bounded sample, seen without the patterns themselves.
 """
@@ -24,10 +25,11 @@ from quarry.llm.common import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-#: Mentions that the weights are fitted to, at most, the first by a hash; what makes a label sure; rounds of messages.
-SAMPLE, SURE, ROUNDS = 20_000, 0.9, 12
-#: Log-potential that two similar mentions have one label.
-SKIP = 4.0
+#: Mentions that the weights are fitted to, at most, the first by a hash; what makes a label sure.
+SAMPLE, SURE = 20_000, 0.9
+#: Log-potential that two similar mentions have one label; and that a mention has the label settled for its key, which outweighs
+#: what shapes that no base pattern covers have for 'none'.
+SKIP, SETTLED = 4.0, 8.0
 #: Code points between mentions that are neighbours, at most.
 NEAR = 100
 
@@ -178,19 +180,32 @@ def fit(rows: list[tuple[list[str], int, int]]) -> Model:
 
 def marginals(model: Model, ms: list[Mention], fixed: list[int]) -> np.ndarray:
     """Loopy belief propagation; fixed: a label that evidence settles, or -1. Edges: neighbours in the text, and each mention with
-    the next of its key, so that a key of many mentions has a chain of skips and costs no more than its number."""
+    the hub of its key, so that a key of many mentions costs no more than its number. Two mentions at a hub have between them
+    just the skip potential. A hub with fixed mentions is settled by them: it has their labels' shares, which each other
+    mention gets as evidence, however many there are. Messages pass until they have
+    converged."""
     n, k = len(ms), len(LABELS)
     phi = np.array([model.unary(m) for m in ms])
     for i, label in enumerate(fixed):
         if label > 0:
             phi[i] = np.where(np.arange(k) == label, 12.0, -12.0)
-    edges, seen = [(i, i + 1, model.chain) for i in range(n - 1) if ms[i + 1].start - ms[i].end <= NEAR], {}
-    same = model.skip * np.eye(k)
+    edges, keys = [(i, i + 1, model.chain) for i in range(n - 1) if ms[i + 1].start - ms[i].end <= NEAR], {}
     for i, m in enumerate(ms):
-        key = (m.is_at, m.key)
-        if key in seen:
-            edges.append((seen[key], i, same))
-        seen[key] = i
+        keys.setdefault((m.is_at, m.key), []).append(i)
+    # two such edges in a row are, up to a factor, one of the skip potential
+    more = np.expm1(model.skip)
+    half = np.log1p(more + np.sqrt(more * more + k * more)) * np.eye(k)
+    hubs = n
+    for members in keys.values():
+        if settled := [fixed[i] for i in members if fixed[i] > 0]:
+            evidence = np.log(np.bincount(settled, minlength=k) / len(settled) @ np.exp(SETTLED * np.eye(k)))
+            for i in members:
+                if fixed[i] <= 0:
+                    phi[i] += evidence
+        elif len(members) > 1:
+            edges += [(hubs, i, half) for i in members]
+            hubs += 1
+    phi = np.concatenate([phi, np.zeros((hubs - n, k))])
     if not edges:
         b = phi
     else:
@@ -198,8 +213,8 @@ def marginals(model: Model, ms: list[Mention], fixed: list[int]) -> np.ndarray:
         c = np.array([e[1] for e in edges] + [e[0] for e in edges])
         pot = np.array([e[2] for e in edges] + [e[2].T for e in edges])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        msg = np.zeros((len(a), k))
-        for _ in range(ROUNDS + 2 * min(n, 50)):
+        msg, step, rounds = np.zeros((len(a), k)), 0.5, 0
+        while step > 1e-3:
             b = phi.copy()
             np.add.at(b, c, msg)
             out = (b[a] - msg[back])[:, :, None] + pot
@@ -208,10 +223,15 @@ def marginals(model: Model, ms: list[Mention], fixed: list[int]) -> np.ndarray:
             new -= new.max(1, keepdims=True)
             if np.abs(new - msg).max() < 1e-4:
                 break
-            msg = 0.5 * msg + 0.5 * new
+            msg = (1 - step) * msg + step * new
+            # rounds enough for a message to pass along all edges; those that then still go round in circles are damped more and
+            # more, until they stand still
+            rounds += 1
+            if rounds % (200 + 2 * n) == 0:
+                step /= 2
         b = phi.copy()
         np.add.at(b, c, msg)
-    p = np.exp(b - b.max(1, keepdims=True))
+    p = np.exp(b[:n] - b[:n].max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
 

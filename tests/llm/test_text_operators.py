@@ -163,6 +163,34 @@ def test_skip_chains_carry_labels(spark, docs, edge, empty):
     assert pii.find(empty, pii.train(empty)).count() == 0
 
 
+@pytest.mark.parametrize("times", [5, 400])
+@pytest.mark.parametrize("none", [0.0, 4.0])
+def test_settled_labels_reach_all_repeats(times, none):
+    """Repeats far apart, whose own shape says nothing or 'none', get the label of the one that a base pattern covers."""
+    model = pii.Model({"plus:False": np.array([none, 0, 0, 0, 0])}, np.zeros((5, 5)), pii.SKIP)
+    far = " Prose goes on." * 20
+    t = f"Call +1 (743) 555-3824.{far}" + f" Then (743) 555-3824 again.{far}" * times + " 99120043 is a count, and so is 99120044."
+    more = pii.added_spans(t, pii.base_spans(t), model)
+    assert [(k, t[a:b]) for k, a, b in more] == [("phone", "(743) 555-3824")] * times
+
+
+def test_messages_converge_on_long_chains():
+    """One settled end of 400 neighbours: against the product of the transitions."""
+    chain = np.log(np.eye(5) * 500 + 1)
+    ms = [pii.Mention(9 * i, 9 * i + 8, str(10**7 + i), "") for i in range(400)]
+    p = pii.marginals(pii.Model({}, chain, pii.SKIP), ms, [4] + [-1] * 399)
+    step = np.exp(chain) / np.exp(chain).sum(1)
+    assert np.allclose(p[150], np.linalg.matrix_power(step, 150)[4], atol=1e-2) and p[150][4] > 0.3
+
+
+def test_two_mentions_share_the_skip_potential():
+    """A key of two mentions, none settled: against enumeration with one edge."""
+    w = np.array([0.3, 0, 0, 0.2, 0.5])
+    ms = [pii.Mention(0, 8, "12345678", ""), pii.Mention(900, 908, "12345678", "")]
+    joint = np.exp(w[:, None] + w[None, :] + pii.SKIP * np.eye(5))
+    assert np.allclose(pii.marginals(pii.Model({"bias": w}, np.zeros((5, 5)), pii.SKIP), ms, [-1, -1])[0], joint.sum(1) / joint.sum(), atol=1e-3)
+
+
 def test_marginals_are_exact_on_trees():
     """Two mentions and one edge: against enumeration."""
     m = pii.Model({"bias": np.array([0.3, 0, 0, 0.2, 0.5])}, np.log(np.eye(5) * 3 + 1), 0.0)
