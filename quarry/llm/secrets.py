@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quarry.llm.common import small_batches
+from quarry.llm.words import COMMON
 
 # The base patterns, as the contract of the query has them.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -30,7 +31,7 @@ _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Values as dear as this, in powers of ten guesses, count as secrets.
 LEAST_COST = 10.0
 
-# Words that people choose, by rank.
+# Words that people choose, by rank; after them come the words of prose.
 WORDS = (
     "password love hello welcome admin login letmein monkey dragon master sunshine princess football baseball shadow michael "
     "superman batman trustno ninja mustang access flower freedom whatever starwars computer summer winter spring autumn "
@@ -39,8 +40,8 @@ WORDS = (
     "joshua matthew chelsea arsenal liverpool london paris berlin madrid system server database change default temp public "
     "private token key example sample my your the and for you me is pass word com net org"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *COMMON]))}
+LONGEST = max(map(len, RANK))
 LOOKS = str.maketrans({"4": "a", "@": "a", "3": "e", "0": "o", "1": "l", "!": "i", "5": "s", "$": "s", "7": "t", "8": "b"})
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 
@@ -112,8 +113,8 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def guessed_spans(text: str, base: list[tuple[int, str, int]], least: float = LEAST_COST) -> list[tuple[int, str, int, float]]:
-    """Values in a credential's context that no base span meets, that mix letters with digits or signs, and whose guess
-    cost is at least that."""
+    """Values in a credential's context that no base span meets and whose guess cost is at least that, whatever characters
+    they consist of."""
     low = text.lower()
     if not any(h in low for h in _CONTEXT_HINTS):
         return []
@@ -121,7 +122,7 @@ def guessed_spans(text: str, base: list[tuple[int, str, int]], least: float = LE
     for m in CONTEXT.finditer(text):
         value, a, b = m[1].rstrip(".:)]}!?"), m.start(1), 0
         b = a + len(value)
-        if len(value) >= 8 and re.search(r"[A-Za-z]", value) and re.search(r"[^A-Za-z.\-_]", value) and not any(s < b and a < e for s, _, e in base):
+        if len(value) >= 8 and not any(s < b and a < e for s, _, e in base):
             if (cost := guess_cost(value)) >= least:
                 out.append((a, "guess", b, cost))
     return out

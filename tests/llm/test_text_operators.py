@@ -114,6 +114,15 @@ def test_guess_cost():
     assert more("the pwd is xK9#mQ2$vL7! now") == ["xK9#mQ2$vL7"] and more("passphrase: password1") == [] and more("auth is something") == []
 
 
+def test_guess_cost_decides_for_all_values():
+    """Values of letters alone, of digits alone and with separators, and words of prose."""
+    more = lambda t: [t[a:b] for a, _, b, _ in secrets.guessed_spans(t, secrets.base_spans(t))]
+    for t in ("pwd: QzKvXwJpLmRtYbNd", "passphrase: kdjqwpoxmznvbc", "passcode = 83910472655183", "pwd: xqzk-vwjp_lmrt.ybnd", "auth is жшщфюяэхцчъы"):
+        assert more(t) == [t.split()[-1]]
+    for word in "international responsibilities understanding authentication straightforward necessarily environment information disappointed unfortunately configuration Gesellschaft développement importante 19840217 1234567890".split():
+        assert more(f"the passphrase is {word} here") == [], word
+
+
 def test_guess_cost_is_the_least():
     """Against all segmentations, by recursion, of short values into brute force and words."""
     import functools
