@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, small_batches
-from quarry.llm.vectors import matrix, parted
+from quarry.llm.vectors import by_length, matrix, parted
 
 #: Codebooks, codewords of each, and width of the beam.
 BOOKS, WORDS, BEAM = 32, 64, 4
@@ -108,20 +108,28 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, rerank: int = RE
     """vectors: vec_id, embedding. Queries are the rows whose vec_id is divisible by `every`; each gets its k nearest of all other
     rows by inner product: query_id, rank, vec_id, score, ties to the smaller vec_id; fewer rows if there are fewer candidates.
 
-    Vectors that are null, empty, zero, hold null or non-finite components, or are of another than the most frequent
-    length take no part. Equal vectors are searched as one class and each returned: a class hands on its k + 1 smallest
+    Vectors that are null, empty, zero, or hold null or non-finite components take no part. Those of each length are searched
+    among themselves, with codebooks of their own. Equal vectors are searched as one class and each returned: a class hands on its k + 1 smallest
     vec_ids, more than which no list can hold. Repeated rows of a query's vec_id are one query and not its own candidates.
-    An empty table gives an empty result; other columns are not read. To the driver comes the sample alone."""
+    An empty table gives an empty result; other columns are not read. To the driver comes a sample
+    of each length alone."""
     spark = vectors.sparkSession
     small_batches(spark)
     good, _ = parted(vectors)
-    good = good.where("vec_id is not null")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for i, part in enumerate(by_length(good.where("vec_id is not null"))):
+        found = _search(part, every, k, rerank)
+        out = out.unionByName(found) if i else found
+    return out
+
+
+def _search(good: DataFrame, every: int, k: int, rerank: int) -> DataFrame:
+    """search() of vectors that all take part and are of one length, one at least."""
+    spark = good.sparkSession
     w = Window.partitionBy("embedding").orderBy("vec_id")
     members = good.withColumn("at", F.row_number().over(w)).where(F.col("at") <= k + 1)
     members = cut(members.groupBy("embedding").agg(F.min("vec_id").alias("cid"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
     sample = members.orderBy(F.xxhash64("cid"), "cid").select("embedding").limit(SAMPLE).toPandas()
-    if not len(sample):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     books = spark.sparkContext.broadcast(fit_codebooks(np.array(sample["embedding"].tolist(), np.float64)))
     n = members.count()
     shards = max(1, -(-n // SHARD))

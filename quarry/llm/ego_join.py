@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import components, cut, small_batches
-from quarry.llm.vectors import classes, matrix, parted, unit
+from quarry.llm.vectors import by_length, classes, matrix, parted, unit
 
 #: Axes of the grid, vectors of a block and of the smallest interval, and intervals that one is divided into at a step.
 AXES, BLOCK, LEAF, FAN_BITS = 6, 4096, 512, 3
@@ -168,19 +168,25 @@ def link(vectors: DataFrame, *, cosine: float = 0.9, axes: int = AXES, block: in
     """vectors: vec_id, embedding (array of float or double). Returns a row for each input row: vec_id, n_links (other vectors of
     cosine >= the threshold), component_id (the smallest vec_id reachable by links, itself included), kept (whether it is that).
 
-    Vectors that are null, empty, zero, hold null or non-finite components, or are of another than the most frequent length,
-    have no links and are their own component. Equal vectors are one class in the join and count each for themselves;
-    repeated vec_ids each have their row. An empty table gives an empty result; other columns are not read. Every pair
+    Vectors that are null, empty, zero, or hold null or non-finite components have no links and are their own component.
+    Vectors of different lengths have no cosine: those of each length are joined among themselves. Equal vectors are one class
+    in the join and count each for themselves; repeated vec_ids each have their row. An empty table gives an empty result; other columns are not read. Every pair
     within reach is compared. Moved are blocks of bounded size; only sums over axes and intervals come to the driver."""
     spark = vectors.sparkSession
     small_batches(spark)
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     good, others = parted(every)
+    out = others.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    for part in by_length(good):
+        out = _link(part, cosine, axes, block, leaf).unionByName(out)
+    return out
+
+
+def _link(good: DataFrame, cosine: float, axes: int, block: int, leaf: int) -> DataFrame:
+    """link() of vectors that all take part and are of one length, one at least."""
+    spark = good.sparkSession
     distinct = cut(classes(good))
     n = distinct.count()
-    nothing = every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not n:
-        return nothing
     epsilon = float(np.sqrt(2 - 2 * cosine))
     base = principal_axes(distinct, axes)
     m = base.shape[1]
@@ -225,5 +231,4 @@ def link(vectors: DataFrame, *, cosine: float = 0.9, axes: int = AXES, block: in
     roots = components(found.select("a", "b"))
     labelled = distinct.join(sums, distinct["cid"] == sums["a"], "left").join(roots, F.col("cid") == F.col("node"), "left")
     labelled = labelled.select("embedding", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("root", "cid").alias("component_id"))
-    linked = good.join(labelled, "embedding").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return linked.unionByName(others.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")))
+    return good.join(labelled, "embedding").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))

@@ -13,15 +13,18 @@ _GOOD = "embedding is not null and size(embedding) > 0 and forall(d, x -> x is n
 
 def parted(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vec_id, embedding) of the vectors that take part, and of the others. Those take part that are not null or empty, have no
-    null or non-finite components, are not zero, and, if lengths differ, are of the most frequent length (the longest
-    of those)."""
+    null or non-finite components, and are not zero."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("d"), "embedding")
     good = F.coalesce(F.expr(_GOOD), F.lit(False))
-    best = rows.where(good).groupBy(F.size("embedding").alias("n")).count().agg(F.max(F.struct("count", "n"))["n"]).first()[0]
-    good = good & (F.size("embedding") == F.lit(best or 0))
     return rows.where(good).select("vec_id", "embedding"), rows.where(~good).select("vec_id", "embedding")
 
 
+def by_length(good: DataFrame) -> list[DataFrame]:
+    """The vectors of each length, which are joined and searched among themselves."""
+    lengths = sorted(r[0] for r in good.select(F.size("embedding")).distinct().collect())
+    return [good.where(F.size("embedding") == n) for n in lengths]
+
+
 def classes(good: DataFrame) -> DataFrame:
     """(cid, n, embedding): equal vectors are one class, named by its smallest vec_id."""
     return good.groupBy("embedding").agg(F.min("vec_id").alias("cid"), F.count("*").alias("n")).select("cid", "n", "embedding")

@@ -62,6 +62,26 @@ def test_search(table):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_each_length_is_served(spark):
+    """Vectors of 16 and, fewer, of 8 components: each length has its links and its neighbours."""
+    rng = np.random.default_rng(8)
+    sets = [(i0, x[rng.integers(0, 6, n)] + 0.1 * rng.normal(size=(n, x.shape[1]))) for i0, n, x in ((0, 60, rng.normal(size=(6, 16))), (60, 40, rng.normal(size=(6, 8))))]
+    sets = [(i0, x.astype(np.float32).astype(float)) for i0, x in sets]
+    df = spark.createDataFrame([(i0 + i, v.tolist(), 0, "") for i0, x in sets for i, v in enumerate(x)], SCHEMA)
+    links = {r["vec_id"]: r["n_links"] for r in ego_join.link(df).collect()}
+    found = {}
+    for r in annq.search(df, every=20, k=5).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert sorted(found) == [0, 20, 40, 60, 80]
+    for i0, x in sets:
+        u = x / np.sqrt((x * x).sum(1, keepdims=True))
+        assert [links[i0 + i] for i in range(len(x))] == ((u @ u.T >= 0.9).sum(1) - 1).tolist()
+        for q in range(-i0 % 20, len(x), 20):
+            s = x @ x[q]
+            s[q] = -np.inf
+            assert [found[i0 + q][r] - i0 for r in range(1, 6)] == np.lexsort((np.arange(len(x)), -s))[:5].tolist()
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 0, ""), (20, [1.0, 0.0], 0, ""), (20, [1.0, 0.0], 0, ""), (3, [0.5, 0.5], 0, "")], SCHEMA)
     assert [tuple(r) for r in annq.search(df).orderBy("query_id", "rank").collect()] == [(0, 1, 20, 1.0), (0, 2, 20, 1.0), (0, 3, 3, 0.5), (20, 1, 0, 1.0), (20, 2, 3, 0.5)]
