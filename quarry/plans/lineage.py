@@ -1,16 +1,32 @@
-"""Cutting lineage for loops, in the folder that the cluster shares."""
+"""The folder that the cluster shares, and cutting lineage for loops in it."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Where that is unset, a session of one machine gets a temporary one of its own;
+    on a cluster that would be another folder on each machine, so there it is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="quarry-")
+        named = _own[app]
+    return named.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """An eager reliable checkpoint in spark.checkpoint.dir; in a temporary folder only where that is unset (tests)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """An eager reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

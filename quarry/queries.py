@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as fn
 from quarry.operators import filename, index, preview, search, sinks, state, stats
 from quarry.plans import query as q
+from quarry.plans.lineage import shared_folder
 from quarry.sources.tree import folder_paths
 from quarry.streaming import watch
 
@@ -102,12 +103,7 @@ def ft_index_search(spark, d):
     """The same scores from a written index, in the shared folder."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="quarry-index-")
-    path = f"{root.rstrip('/')}/quarry-index-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quarry-index-{uuid.uuid4().hex}"
     index.write(corpus(spark, d), path)
     return index.search(spark, path, q.plan("the of OR threr", limit=100))
 
