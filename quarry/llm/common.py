@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import re
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.plans.lineage import shared_folder
+
 #: Rows and bytes of an Arrow batch given to Python: long texts must not fill a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Keys that may be broadcast as hot; a hot key has more rows than this, and than all rows by this.
+MOST_HOT = 1000
 
 _written: list[tuple[SparkSession, str]] = []
-_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,19 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of the session's Python stages."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = _own.setdefault(spark.sparkContext.applicationId, "")
-        if not named:
-            named = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="quarry-")
-    return named.rstrip("/")
+    """Bounds the Arrow batches of the session's Python stages: lowers the session's own bounds where they are above, and leaves
+    them so, as plans run after the operators have returned."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None)
+        size = int(re.sub(r"[bB]$", "", now)) if now and re.fullmatch(r"-?\d+[bB]?", now) else 0
+        if not 0 < size <= most:
+            spark.conf.set(name, str(most))
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -79,40 +74,51 @@ def release(*frames: DataFrame) -> None:
             _written[:] = [x for x in _written if x[1] != path]
 
 
-def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    return lambda batches: map(f, batches)
+def join_hot(rows: DataFrame, keyed: DataFrame, on: str, weight: str, total: int) -> DataFrame:
+    """rows joined with keyed, which has one row a key and in `weight` the number of rows with it; total: at least the sum of
+    those. Keys that hold more than a thousandth of all rows, so fewer than a thousand of them, are broadcast and their rows
+    stay where they are; the others are shuffled by key. No task gets more than about a thousandth for one key."""
+    least = max(total // MOST_HOT, MOST_HOT)
+    # both sides are read more than once: they are to be cut()
+    hot = keyed.where(F.col(weight) > least)
+    cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(keyed.where(F.col(weight) <= least), on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     links: columns a, b of one orderable type. Returns (node, root), root being the smallest node of the component; nodes
-    without links are absent. Each step is cut(), so lineage stays short; a star's rows are spread over the tasks by its
-    leaves, only its minimum is aggregated (with map-side combine). Null ends are ignored, self-links keep their node.
+    without links are absent. Each step is cut(), so lineage stays short. Minima are combined before they are shuffled, and the
+    rows of a star with a large part of all edges stay where they are (join_hot). Self-links and links with a null
+    end are ignored.
     """
-    nodes = links.where("a is not null and b is not null").select("a", "b")
-    edges = nodes.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = cut(edges)
-    every = edges
+    edges = links.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges, settled = cut(edges.where("u <> v").distinct()), False
+    n = edges.count()
     for _ in range(rounds):
-        if edges.isEmpty():
+        if not n:
             break
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("rows")))
         # large star: each neighbour larger than u is linked to the least of u's neighbourhood
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(join_hot(both.where("v > u"), least, "u", "rows", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        release(least)
         # small star: each neighbour not above u, and u, are linked to the least of them
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        down = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")))
+        small = join_hot(large, down, "u", "rows", large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         new = cut(small.unionAll(down.select("u", F.col("m").alias("v"))).distinct())
+        release(large, down)
         # it ended when every node hangs on one root that is itself nobody's leaf
-        done = new.count() == new.select("u").distinct().count() and new.join(new.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
-        if edges is not every:
-            release(edges)
+        n = new.count()
+        settled = n == new.select("u").distinct().count() and new.join(new.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+        release(edges)
         edges = new
-        if done:
+        if settled:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
+    hung = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = cut(hung.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root")))
+    release(edges)
+    return out

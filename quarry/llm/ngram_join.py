@@ -1,17 +1,20 @@
 """N-gram Jaccard join by T-occurrence search, for components of near-identical texts.
 
 Two sets of sizes a and b reach Jaccard p/100 if they share at least T = ceil(p (a + b) / (100 + p)) elements. DivideSkip divides
-a query's inverted lists: the T - 1 longest are only probed, so a result must turn up in one of the others, the short ones.
-Over a cluster:
+a query's inverted lists: the longest are only probed, the others, the short ones, are merged, and what turns up in them often
+enough is probed for. Over a cluster:
 
 1. A pass over the texts counts shingles into a table of fixed size; it orders shingles from rare to frequent.
-2. Each distinct set puts its rarest elements, size - ceil(p size / 100) + 1 of them, into inverted lists: the short lists.
-   Equal sets are one from here on. The shuffle's sort merges the lists.
+2. Equal sets are one from here on. Each puts its rarest elements, size - ceil(p size / 100) + SHORT of them, into inverted lists:
+   the short lists. Sets that reach Jaccard p/100 share SHORT of them at least (or T, if that is less).
 3. Each list's members meet its pivot, the set in whose order the element comes first, so the one with the fewest rarer elements
-   of its own, if sizes and positions leave T in reach. Candidates are probed: the
-   elements that are not in the short lists are sought by binary search, ending as soon as T is reached or out of reach.
-4. Components of the links found settle most lists: those whose members are all in one component are done. From the others all
-   pairs of members from two components, again within reach of T, are probed. That is exact, and no list is capped.
+   of its own, if sizes and positions leave T in reach.
+4. Components of the links found settle most lists: those whose members are all in one component are done. The others are merged:
+   tiles of bounded size of the lists are dealt to tasks, each task merges the lists of each query set in it and counts
+   occurrences; sums over the tasks are the occurrences in all short lists, as sets of two components meet in none that is done.
+   Sets that occur SHORT times (or T) go on. That is exact, and no list is capped.
+5. Candidates of both kinds are probed: elements of the smaller set are sought in the larger by binary search, ending as soon as T
+   is reached or out of reach. A query set travels once to each group of its candidates.
 
 Each set has a parity sketch: a bit for each residue of its elements' hashes, set if their number is odd. Two sketches differ in at
 most as many bits as the sets in elements, so pairs whose sketches differ too much for T are left out before texts are fetched.
@@ -26,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import components, cut, release, small_batches
+from quarry.llm.common import components, cut, join_hot, release, small_batches
 
 #: log2 of the slots that shingles are counted in; the table is broadcast, half a megabyte whatever the input.
 SLOT_BITS = 16
 #: Long words of a parity sketch.
 SKETCH = 8
+#: Elements that must turn up in short lists; members of a tile's side; candidates that a query's text is sent with, about.
+SHORT, TILE, GROUP = 2, 1024, 256
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -91,7 +96,8 @@ def _count_slots(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
-    """(doc_id, sid, n, prefix, sketch): the set's id (a hash of its elements; null if it is empty), size, rarest elements, parities."""
+    """docs with rid, sid, n, prefix and sketch: rid numbers the rows; sid is the set's id (a 128-bit hash of its elements; null if
+    it is empty), then its size, rarest elements and parities."""
 
     def run(batches):
         order = counts.value
@@ -101,16 +107,19 @@ def _sets(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
                 s = shingles(x, k)
                 n = len(s)
                 size.append(n)
-                sid.append(int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True) if n else None)
+                sid.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
                 odd.append(np.packbits((np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1).astype(bool)).view(np.int64))
-                first = n + percent * n // -100 + 1
+                first = n + percent * n // -100 + SHORT
                 rank = order[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
                 prefix.append(s[np.lexsort((s, rank))[:first]].view(np.int64) if n else s.view(np.int64))
-            ends = np.cumsum([0, *map(len, prefix)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefix, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(sid, pa.int64()), pa.array(size, pa.int64()), lists, pa.array([o.tolist() for o in odd], pa.list_(pa.int64()))], names=["doc_id", "sid", "n", "prefix", "sketch"])
+            lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)], dtype=np.int32)), pa.array(np.concatenate([*xs, np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(sid, pa.binary()), pa.array(size, pa.int32()), lists(prefix), lists(odd)], names=[*kept, "sid", "n", "prefix", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid long, n long, prefix array<long>, sketch array<long>")
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), *docs.columns)
+    kept = numbered.columns
+    longs = T.ArrayType(T.LongType())
+    new = [T.StructField("sid", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", longs), T.StructField("sketch", longs)]
+    return numbered.mapInArrow(run, T.StructType([*numbered.schema.fields, *new]))
 
 
 def _in_reach(n: str, i: str, m: str, j: str, percent: int) -> str:
@@ -124,80 +133,192 @@ def _alike(n: str, x: str, m: str, y: str, percent: int) -> str:
     return f"(100 + {percent}) * ({bits}) <= (100 - {percent}) * ({n} + {m})"
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links among pairs (a, b) of set ids. owners: (sid, doc_id), a document of each set. Texts travel, as they are smaller
-    than sets of hashes; only those of candidates do."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(owners, "sid")
-    texts = cut(docs.join(wanted, "doc_id").select("sid", "text"))
-    sized = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("y")), "b")
-
-    def own(s: np.ndarray) -> int | None:
-        return int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True) if len(s) else None
+def _verify(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links among pairs (q, x) of query and candidate, distinct. Texts travel, as they are smaller than sets of hashes, and only those
+    of candidates; a query's goes once to each group of its candidates."""
+    wanted = pairs.select(F.explode(F.array("q", "x")).alias("rid")).distinct()
+    texts = cut(sets.select("rid", "text").join(wanted, "rid"), compression="zstd")
+    degrees = cut(pairs.groupBy("q").agg(F.count("*").alias("rows")).withColumn("groups", F.ceil(F.col("rows") / GROUP).cast("int")))
+    asked = degrees.join(texts.withColumnRenamed("rid", "q"), "q").select("q", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast("long").alias("x"), "text")
+    given = join_hot(pairs, degrees, "q", "rows", pairs.count()).select("q", F.pmod(F.xxhash64("x"), F.col("groups")).cast("int").alias("g"), F.col("x").alias("rid"))
+    given = given.join(texts, "rid").select("q", "g", F.col("rid").alias("x"), "text")
 
     def run(batches):
+        query = None
         for batch in batches:
-            a, b, x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in "abxy")
-            keep, sets = [], {}
-            for i in range(len(a)):
-                for s, t in ((a[i], x[i]), (b[i], y[i])):
-                    if s not in sets:
-                        if len(sets) > 64:
-                            sets.clear()
-                        sets[s] = shingles(t, k)
-                s, t = sets.get(a[i]), sets.get(b[i])
-                s, t = shingles(x[i], k) if s is None else s, shingles(y[i], k) if t is None else t
-                # a doc_id that stands for several texts: only the text of the set asked for counts
-                if reaches(s, t, percent) and own(s) == a[i] and own(t) == b[i]:
+            q, x, t = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("q", "x", "text"))
+            keep = []
+            for i in range(len(q)):
+                if x[i] is None:  # nulls come first: the query itself
+                    query = shingles(t[i], k)
+                elif reaches(query, shingles(t[i], k), percent):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([q[i] for i in keep], pa.int64()), pa.array([x[i] for i in keep], pa.int64())], names=["a", "b"])
 
-    links = cut(sized.mapInArrow(run, "a long, b long").distinct())
-    release(texts)
+    met = given.unionByName(asked).repartition("q", "g").sortWithinPartitions("q", "g", F.col("x").asc_nulls_first())
+    links = cut(met.select("q", "x", "text").mapInArrow(run, "a long, b long"))
+    release(texts, degrees)
     return links
 
 
+def merge_lists(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What occurs in the lists, ascending, and how often: their merge by sorting. No list holds anything twice."""
+    return np.unique(np.concatenate(lists), return_counts=True)
+
+
+def _occurrences(held: DataFrame, percent: int) -> DataFrame:
+    """(a, b, occ, n, m): pairs of sets of different components, in how many lists they meet, and their sizes, if they are in reach of
+    T by one list at least. held: (token, node, n, pos, root), lists of sets of several components.
+
+    A list is cut into parts of TILE members, and a tile is a pair of parts, one the queries', one the members' that they meet."""
+    sizes = held.groupBy("token").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    own = held.join(sizes, "token").withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # part i is the queries' of tiles (i, j) with j >= i, and the members' of tiles (j, i) with j <= i
+    tiles = own.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j")).select("token", F.least("i", "j").alias("t"), F.greatest("i", "j").alias("u"), (F.col("i") <= F.col("j")).alias("asks"), (F.col("j") <= F.col("i")).alias("meets"), "node", "n", "pos", "root")
+
+    def flush(group):
+        cols = [np.concatenate(c) for c in zip(*group, strict=True)]
+        tile, asks, meets, node, n, pos, root = cols
+        order = np.lexsort((node, tile))
+        tile, asks, meets, node, n, pos, root = (c[order] for c in cols)
+        starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+        ends = np.r_[starts[1:], len(tile)]
+        lists = {}  # by query: the members that it meets in each of its lists, as row numbers
+        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+            rows = np.arange(s, e)[meets[s:e]]
+            both = asks[s:e].all() and meets[s:e].all()
+            for i in (np.arange(s, e)[asks[s:e]]).tolist():
+                part = rows[rows > i] if both else rows
+                part = part[root[part] != root[i]]
+                if len(part):
+                    lists.setdefault(int(node[i]), []).append((i, part))
+        for q, of in lists.items():
+            ids, occ = merge_lists([node[part] for _, part in of])
+            m, reach = np.empty(len(ids), np.int64), np.zeros(len(ids), bool)
+            for i, part in of:
+                at = np.searchsorted(ids, node[part])
+                size, left = n[i] + n[part], np.minimum(n[i] - pos[i], n[part] - pos[part])
+                m[at] = n[part]
+                reach[at] |= (100 * np.minimum(n[i], n[part]) >= percent * np.maximum(n[i], n[part])) & ((100 + percent) * left >= percent * size)
+            if reach.any():
+                yield q, int(n[of[0][0]]), ids[reach], m[reach], occ[reach]
+
+    def run(batches):
+        group, size = [], 0
+
+        def out():
+            for q, n, ids, m, occ in flush(group):
+                swap = ids < q
+                full = lambda v: np.full(len(ids), v, np.int64)  # noqa: B023, E731
+                cols = [np.where(swap, ids, q), np.where(swap, q, ids), occ, np.where(swap, m, full(n)), np.where(swap, full(n), m)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["a", "b", "occ", "n", "m"])
+
+        last = None
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            token, t, u = cols[:3]
+            # a number for each tile of the batch's run of tiles, by hashing, to tell neighbours apart
+            tile = token.astype(np.int64) * np.int64(1_000_003) + t.astype(np.int64) * np.int64(7_368_787) + u
+            rows = [tile, *(c.astype(bool) for c in cols[3:5]), *(c.astype(np.int64) for c in cols[5:])]
+            cut_at = 0
+            if size > 64 * TILE and last is not None:
+                new = np.flatnonzero(tile != last)
+                if len(new):
+                    cut_at = int(new[0])
+                    group.append([c[:cut_at] for c in rows])
+                    yield from out()
+                    group, size = [], 0
+            if len(tile) > cut_at:
+                group.append([c[cut_at:] for c in rows])
+                size, last = size + len(tile) - cut_at, tile[-1]
+        if size:
+            yield from out()
+
+    dealt = tiles.repartition("token", "t", "u").sortWithinPartitions("token", "t", "u")
+    found = dealt.select("token", "t", "u", "asks", "meets", "node", "n", "pos", "root").mapInArrow(run, "a long, b long, occ long, n long, m long")
+    return found.groupBy("a", "b").agg(F.sum("occ").alias("occ"), F.first("n").alias("n"), F.first("m").alias("m"))
+
+
+def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (q, x) whose sketches leave T in reach."""
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_s"))
+    degrees = cut(pairs.groupBy("q").agg(F.count("*").alias("rows")).join(side("q"), "q"))
+    out = cut(join_hot(pairs.join(side("x"), "x"), degrees, "q", "rows", pairs.count()).where(_alike("q_n", "q_s", "x_n", "x_s", percent)).select("q", "x"))
+    release(degrees)
+    return out
+
+
 def join(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """docs: doc_id long, text. Returns a row for each input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by
     links of Jaccard >= percent/100, itself included).
 
     Null or empty texts, and those without words, have no shingles and are linked with nothing. Repeated rows and equal
-    texts are one set, so they are linked. A null doc_id is never a component_id unless all of the component are null. Very
-    long texts are taken whole. An empty table gives an empty result; other columns are not read. Sets are told apart by 64-bit hashes."""
+    texts are one set, so they are linked. A null doc_id links as any other and is no component_id unless all of the component are
+    null; rows that share a doc_id but not the text are told apart. Very long texts are taken whole. An empty table gives an empty
+    result; other columns are not read. Sets are told apart by 128-bit hashes of their shingles' 64-bit hashes."""
+    rows, sets = _rooted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent)
+    release(sets)
+    least = cut(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
+    out = join_hot(rows.select("doc_id", "n", "root"), least, "root", "rows", rows.count()).select("doc_id", "n", "least")
+    out = out.unionByName(rows.where("root is null").select("doc_id", "n", F.col("doc_id").alias("least")))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs (doc_id, text and any others), one of each component that join() finds: the one of the smallest doc_id,
+    null being the largest, and of the smallest hash of the text among equals. Rows without shingles are nobody's copies: all stay."""
+    others = [c for c in docs.columns if c != "text"]
+    rows, sets = _rooted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*(docs[c] for c in others)).alias("row")), k, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "rid"))
+    kept = rows.where("root is not null").groupBy("root").agg(first.alias("first")).select("first.rid")
+    kept = kept.unionByName(rows.where("root is null").select("rid"))
+    return sets.join(kept, "rid", "left_semi").select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def _rooted(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """((rid, doc_id, n, h, root), sets): a row for each row of docs (doc_id long, text, and a row struct or nothing), n shingles, a hash of the text and the
+    component that it is in, null if it has no shingles; and the table of _sets(). Both are cut()."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = spark.sparkContext.broadcast(_count_slots(docs, k))
-    sets = cut(_sets(docs, k, percent, counts))
-    info = cut(sets.select("doc_id", "sid", "n"))
-    reps = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
-    reps = cut(reps)
-    release(sets)
-    sketches = reps.select("sid", F.col("n").cast("int").alias("size"), "sketch")
-    lists = reps.select("sid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    heads = lists.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("pos", "n", "sid")).alias("p")).where("c > 1")
-    short = cut(lists.join(heads, "token").select("token", "sid", "n", "pos", "c", F.col("p.sid").alias("pivot"), F.col("p.n").alias("m"), F.col("p.pos").alias("at")))
-    owners = reps.select("sid", "doc_id")
-
-    near = short.where("sid <> pivot").where(_in_reach("n", "pos", "m", "at", percent)).select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
-    side = lambda c: sketches.select(F.col("sid").alias(c), F.col("size").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_s"))
-    near = cut(near.join(side("a"), "a").join(side("b"), "b").where(_alike("a_n", "a_s", "b_n", "b_s", percent)).select("a", "b"))
-    links = _verify(near, docs, owners, k, percent)
-    roots = cut(components(links))
+    sets = cut(_sets(docs, k, percent, counts), compression="zstd")
+    firsts = cut(sets.where("sid is not null").groupBy("sid").agg(F.min("rid").alias("node"), F.count("*").alias("rows")))
+    reps = cut(sets.select(F.col("rid").alias("node"), "n", "prefix", "sketch").join(firsts.select("node"), "node"))
+    sketches = reps.select("node", "n", "sketch")
+    lists = reps.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    # the pivot: first by place, then by size
+    place = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")
+    heads = cut(lists.groupBy("token").agg(F.count("*").alias("c"), F.min_by("node", place).alias("pivot"), F.min(place).alias("place")).where("c > 1"))
+    total = reps.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    short = cut(join_hot(lists, heads, "token", "c", total).select("token", "node", "n", "pos", "c", "pivot", F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("m"), F.shiftright("place", 32).alias("at")))
+    release(heads)
+
+    near = cut(short.where("node <> pivot").where(_in_reach("n", "pos", "m", "at", percent)).select(F.col("pivot").alias("q"), F.col("node").alias("x")).distinct())
+    met = _sketched(near, sketches, percent)
+    release(near)
+    links = _verify(met, sets, k, percent)
+    roots = components(links)
 
     # lists that still hold sets of several components
-    held = short.where("c > 2").select("token", "sid", "n", "pos").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    held = short.where("c > 2").select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     held = cut(held)
-    mixed = held.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("token")
-    step = np.log(100 / percent) * (1 + 1e-6)
-    held = held.join(mixed, "token").join(sketches.select("sid", "sketch"), "sid").withColumn("band", F.floor(F.ln("n") / float(step)).cast("int"))
-    left = held.select("token", "band", *(F.col(c).alias(f"l_{c}") for c in ("sid", "n", "pos", "root", "sketch")))
-    right = held.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    rest = left.join(right, ["token", "band"]).where("l_sid < sid and l_root <> root").where(_in_reach("n", "pos", "l_n", "l_pos", percent)).where(_alike("n", "sketch", "l_n", "l_sketch", percent))
-    rest = cut(rest.select(F.col("l_sid").alias("a"), F.col("sid").alias("b")).distinct().join(near, ["a", "b"], "left_anti"))
+    release(short)
+    mixed = cut(held.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("c")).where("r <> s").select("token", "c"))
+    held_mixed = cut(join_hot(held, mixed, "token", "c", total).drop("c"))
+    release(held, mixed)
+    least = f"least({SHORT}, ceil({percent} * (n + m) / {100 + percent}))"
+    rest = cut(_occurrences(held_mixed, percent).where(f"occ >= {least}").select(F.col("a").alias("q"), F.col("b").alias("x")))
+    release(held_mixed)
     if not rest.isEmpty():
-        links = cut(links.unionByName(_verify(rest, docs, owners, k, percent)))
-        roots = cut(components(links))
-
-    at = info.select("doc_id", "sid", "n").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = at.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return at.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+        known = met.select("q", "x").unionByName(met.select(F.col("x").alias("q"), F.col("q").alias("x")))
+        more = _sketched(rest.join(known, ["q", "x"], "left_anti"), sketches, percent)
+        links = links.unionByName(_verify(more, sets, k, percent))
+        roots = components(links)
+    release(rest)
+
+    at = join_hot(sets.select("rid", "doc_id", "n", F.xxhash64("text").alias("h"), "sid"), firsts, "sid", "rows", sets.count()).join(roots, "node", "left")
+    at = at.select("rid", "doc_id", "n", "h", F.coalesce("root", "node").alias("root"))
+    none = sets.where("sid is null").select("rid", "doc_id", "n", F.xxhash64("text").alias("h"), F.lit(None).cast("long").alias("root"))
+    out = cut(at.unionByName(none))
+    release(firsts, reps, met, links, roots)
+    return out, sets

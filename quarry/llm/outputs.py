@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import cut, new_path, small_batches
+from quarry.llm.common import new_path, small_batches
 
 #: Bytes of a row group and of a page before compression, and rows of a page. The page index has an entry a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 128 << 10, 256
@@ -70,24 +70,35 @@ class _Encoder:
         rest = [b for b in range(256) if b not in own]
         self.letters = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
+        self.codes = [i.to_bytes(4, "little") for i in range(self.lib.get_vocab_size())]
+
     def word(self, word: str) -> bytes:
-        tokens = self.lib.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))
-        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        # printable ASCII stands for itself in the alphabet
+        spelled = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
+        codes = self.codes
+        return b"".join([codes[t.id] for t in self.lib.model.tokenize(spelled)])
 
     def chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, _WORD.findall(chunk.lower())))
+        low = chunk.lower()
+        if chunk.isalpha():
+            return self.words[low]
+        return b"".join([self.words[m[0]] for m in _WORD.finditer(low)])
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def text(self, text: str) -> bytes:
-        if not self.by_word or any(x in text for x in _APART) or (not text.isascii() and _STRANGE.search(text)):
+        plain = text.isascii()
+        if not self.by_word or any(x in text for x in _APART) or not plain and _STRANGE.search(text):
             return self.whole(text)
-        return b"".join(map(self.chunks.__getitem__, unicodedata.normalize("NFC", text).split()))
+        return b"".join(map(self.chunks.__getitem__, (text if plain else unicodedata.normalize("NFC", text)).split()))
 
 
 def encode_ids(docs: DataFrame, tokenizer: str, end_id: int, *, text: str = "text") -> DataFrame:
-    """Replaces the text by ids array<int>, the end id after each document's. A null text has the end id alone. Narrow."""
+    """Replaces the text by ids array<int>, the end id after each document's.
+
+    A null or empty text has the end id alone; long texts are taken whole; rows, ties and repeated rows stay as they are; an
+    empty table stays empty; other columns stay, one named ids is replaced. Narrow."""
     spark = docs.sparkSession
     small_batches(spark)
     kept = [c for c in docs.columns if c not in (text, "ids")]
@@ -99,27 +110,33 @@ def encode_ids(docs: DataFrame, tokenizer: str, end_id: int, *, text: str = "tex
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if tokenizer not in _held:
             _held[tokenizer] = _Encoder(tokenizer)
+        encode = _held[tokenizer].text
         for batch in batches:
-            coded = [(_held[tokenizer].text(x) if x else b"") + end for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            coded = [(encode(x) if x else b"") + end for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             ends = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), lists], names=[*kept, "ids"])
 
-    return docs.select(*kept, text).mapInArrow(run, T.StructType([*docs.select(*kept).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.select(*kept, F.col(text).alias(text)).mapInArrow(run, T.StructType([*docs.select(*kept).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str, *, encoding: str = "delta", doc_id: str = "doc_id", text: str = "text") -> None:
-    """Writes (doc_id, part, n_tokens, ids) to path, files and rows in ascending doc_id, nulls first.
+    """Writes (doc_id, part, row, n_tokens, ids) to path: files (part) and their rows (row, from 0) in ascending doc_id, nulls
+    first, equal doc_ids by a hash of the text, then the text.
 
-    encoding: "delta" (version 2 pages: DELTA_BINARY_PACKED) or "dictionary". The texts are dealt by ranges of doc_id
-    before they are encoded, as text is dearer to encode than to move; one shuffle. Equal doc_ids stay together in one file,
-    ordered by a hash of the text and then its bytes. An empty table writes an empty folder with the schema."""
+    encoding: "delta" (version 2 pages: DELTA_BINARY_PACKED) or "dictionary". The texts are dealt by ranges of that order
+    before they are encoded, as text is dearer to encode than to move; one shuffle, and a doc_id of many texts may fill several
+    files. Null texts have the end id alone; repeated rows follow one another; other columns are not read. An empty table writes an
+    empty folder with the schema."""
     if encoding not in ("delta", "dictionary"):
         raise ValueError(encoding)
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = texts.repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    out = encode_ids(dealt, tokenizer, end_id).select("doc_id", F.spark_partition_id().alias("part"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    dealt = texts.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
+    # rows of a task are numbered in the low 33 bits
+    placed = dealt.select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"), "text")
+    out = encode_ids(placed, tokenizer, end_id).select("doc_id", "part", "row", F.size("ids").cast("long").alias("n_tokens"), "ids")
     out.write.options(**{
         "compression": "zstd", "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.page.row.count.limit": PAGE_ROWS,
         "parquet.writer.version": "v2" if encoding == "delta" else "v1", "parquet.enable.dictionary": str(encoding == "dictionary").lower(), "parquet.page.write-checksum.enabled": "true",
@@ -127,26 +144,28 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str, *, encodi
 
 
 def read_ids(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
-    """Reads documents back: (doc_id, part, n_tokens, ids). A condition on doc_id, part or n_tokens reaches the row groups
-    and, by the page index, the pages; columns that the plan does not use are not read."""
-    df = spark.read.schema("doc_id long, part int, n_tokens long, ids array<int>").parquet(path)
+    """Reads documents back: (doc_id, part, row, n_tokens, ids). A condition on doc_id, part, row or n_tokens reaches the row
+    groups and, by the page index, the pages; columns that the plan does not use are not read. An empty folder gives an empty table."""
+    df = spark.read.schema("doc_id long, part int, row long, n_tokens long, ids array<int>").parquet(path)
     return df if where is None else df.where(where)
 
 
 def starts(ids: DataFrame) -> DataFrame:
-    """(doc_id, part, n_tokens, start, ordinal): start is the number of ids of all documents before it. Only the narrow
-    columns are read; a prefix sum within each part follows one over the parts' sums (a row a file)."""
-    narrow = ids.select("doc_id", "part", "n_tokens")
-    sums = narrow.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    """ids with start: the number of ids of all documents before it in the files' order (part, row), which tells rows of one
+    doc_id apart. A column named start is replaced; other columns stay. A prefix sum within each file follows one over the files'
+    sums (a row a file)."""
+    ids = ids.drop("start")
+    sums = ids.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = sums.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    w = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    own = narrow.withColumn("own", F.sum("n_tokens").over(w) - F.col("n_tokens"))
-    return own.join(before, "part").select("doc_id", "part", "n_tokens", (F.col("before") + F.col("own")).alias("start"))
+    w = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    own = ids.withColumn("own", F.sum("n_tokens").over(w) - F.col("n_tokens"))
+    return own.join(before, "part").withColumn("start", F.col("before") + F.col("own")).select(*ids.columns, "start")
 
 
 def digest(ids: DataFrame) -> DataFrame:
-    """Adds ids_crc32, the checksum of the ids as little-endian unsigned 32-bit integers, and drops the ids."""
-    kept = [c for c in ids.columns if c != "ids"]
+    """Replaces the ids by ids_crc32, the checksum of the ids as little-endian unsigned 32-bit integers. Null ids count as none;
+    other columns stay, one named ids_crc32 is replaced; rows stay as they are. Narrow."""
+    kept = [c for c in ids.columns if c not in ("ids", "ids_crc32")]
 
     def run(batches):
         for batch in batches:
@@ -168,9 +187,4 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int, *, encoding: str =
     spark = docs.sparkSession
     path = new_path(spark)
     write_ids(docs, tokenizer, end_id, path, encoding=encoding)
-    back = read_ids(spark, path)
-    sums = back.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = cut(sums.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before")))
-    w = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, 0)
-    own = digest(back).withColumn("own", F.sum("n_tokens").over(w) - F.col("n_tokens"))
-    return own.join(before, "part").select("doc_id", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
+    return starts(digest(read_ids(spark, path))).select("doc_id", "start", "n_tokens", "ids_crc32")
