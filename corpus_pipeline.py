@@ -18,11 +18,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of Jaccard 0.8 or more over five-word shingles. Of rows with one
-    doc_id one stays; rows without doc_id all stay."""
-    first = ngram_join.join(docs, k=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of Jaccard 0.8 or more over five-word shingles: the one of the smallest doc_id, null being the
+    largest, and of the smallest hash of the text among equals. Documents without words are nobody's copies and stay."""
+    return ngram_join.one_of_each(docs, k=5, percent=80)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
