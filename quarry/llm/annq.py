@@ -3,16 +3,22 @@
 A vector is coded as a sum of codewords, one from each full-dimensional codebook. Codebooks are fitted in turn to the residuals
 of a bounded sample; encoding keeps a beam of the best partial sums. A query's score for a code is a sum of looked-up inner
 products of the query with codewords. The best codes of each query are then scored exactly on the vectors themselves.
+
+The index (codes, norms of the coded sums, vectors) is dealt in shards that fit a task's memory. A task holds a shard and all queries
+pass by it, in blocks, or a group of the queries if that moves fewer bytes. Scores by inner product need no norms; they are stored
+for readers that search by distance.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, small_batches
+from quarry.llm.common import cut, join_hot, release, small_batches
 from quarry.llm.vectors import by_length, matrix, parted
 
 #: Codebooks, codewords of each, and width of the beam.
@@ -20,10 +26,17 @@ BOOKS, WORDS, BEAM = 32, 64, 4
 #: Vectors in the sample that codebooks are fitted to, at most, the first by a hash; rounds of each fit, and
 #: of refitting all together.
 SAMPLE, ROUNDS, REFITS = 8192, 5, 2
-#: Codes of a query that are scored exactly, for k = 20.
-RERANK = 300
-#: Vectors of a block of codes, queries of a block, and about as many vectors as one task compares a block of queries with.
-CODES, QUERIES, SHARD = 1024, 64, 1 << 20
+#: Codes of a query that are scored exactly, for each of the k that it gets: at least, and for this root of the number of vectors.
+RERANK, PER_ROOT = 15, 8
+#: Vectors of a block of codes, queries of a block, codes looked up at a time, bytes of a shard, tasks at least, and comparisons of a task.
+CODES, QUERIES, CHUNK, SHARD, TILES, WORK = 1024, 64, 8192, 64 << 20, 12, 1 << 33
+#: Bytes that a query and its results take, about.
+QUERY_BYTES = 900
+
+
+def rerank_of(n: int, k: int) -> int:
+    """Codes of a query that are scored exactly: RERANK times k, more where many vectors are nearly as near."""
+    return k * max(RERANK, math.isqrt(n) // PER_ROOT)
 
 
 def fit_codebooks(x: np.ndarray, books: int = BOOKS, words: int = WORDS, beam: int = BEAM, seed: int = 7) -> np.ndarray:
@@ -77,42 +90,40 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return codes[np.arange(n), best], ((x - left) ** 2).sum(1)
 
 
-class _Best:
-    """The best codes of a block of queries so far."""
+def best_codes(q: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int) -> np.ndarray:
+    """For each query the places of the k codes (or all) with the largest looked-up scores, in no order."""
+    table = np.einsum("qd,mwd->mqw", q, books).astype(np.float32)
+    scores, places = np.empty((len(q), 0), np.float32), np.empty((len(q), 0), np.int64)
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, books: np.ndarray, k: int) -> None:
-        self.ids, self.k = ids, k
-        self.table = np.einsum("qd,mwd->mqw", q, books).astype(np.float32)
-        self.scores, self.cids = np.empty((len(ids), 0), np.float32), np.empty((len(ids), 0), np.int64)
+    def shrink():
+        nonlocal scores, places
+        if scores.shape[1] > k:
+            top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+            scores, places = np.take_along_axis(scores, top, 1), np.take_along_axis(places, top, 1)
 
-    def add(self, cids: np.ndarray, codes: np.ndarray) -> None:
-        s = np.zeros((len(self.ids), len(cids)), np.float32)
+    for i in range(0, len(codes), CHUNK):
+        part = codes[i : i + CHUNK]
+        s = np.zeros((len(q), len(part)), np.float32)
         for m in range(codes.shape[1]):
-            s += self.table[m][:, codes[:, m]]
-        self.scores = np.concatenate([self.scores, s], 1)
-        self.cids = np.concatenate([self.cids, np.broadcast_to(cids, s.shape)], 1)
-        if self.scores.shape[1] > 8 * self.k:
-            self.shrink()
+            s += table[m].take(part[:, m], axis=1)
+        scores = np.concatenate([scores, s], 1)
+        places = np.concatenate([places, np.broadcast_to(np.arange(i, i + len(part)), s.shape)], 1)
+        if scores.shape[1] > 8 * k:
+            shrink()
+    shrink()
+    return places
 
-    def shrink(self) -> None:
-        if self.scores.shape[1] > self.k:
-            top = np.argpartition(-self.scores, self.k - 1, axis=1)[:, : self.k]
-            self.scores, self.cids = np.take_along_axis(self.scores, top, 1), np.take_along_axis(self.cids, top, 1)
 
-    def rows(self) -> pa.RecordBatch:
-        self.shrink()
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, self.cids.shape[1])), pa.array(self.cids.ravel()), pa.array(self.scores.ravel())], names=["query_id", "cid", "near"])
-
-
-def search(vectors: DataFrame, *, every: int = 20, k: int = 20, rerank: int = RERANK) -> DataFrame:
+def search(vectors: DataFrame, *, every: int = 20, k: int = 20, rerank: int | None = None) -> DataFrame:
     """vectors: vec_id, embedding. Queries are the rows whose vec_id is divisible by `every`; each gets its k nearest of all other
     rows by inner product: query_id, rank, vec_id, score, ties to the smaller vec_id; fewer rows if there are fewer candidates.
+    rerank: codes of a query that are scored exactly, about; rerank_of() by default.
 
-    Vectors that are null, empty, zero, or hold null or non-finite components take no part. Those of each length are searched
-    among themselves, with codebooks of their own. Equal vectors are searched as one class and each returned: a class hands on its k + 1 smallest
-    vec_ids, more than which no list can hold. Repeated rows of a query's vec_id are one query and not its own candidates.
-    An empty table gives an empty result; other columns are not read. To the driver comes a sample
-    of each length alone."""
+    Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without vec_id. Those of
+    each length are searched among themselves, with codebooks of their own. Equal vectors are searched as one class and each
+    returned: a class hands on its k + 1 smallest distinct vec_ids, each with its number of rows, k at most, more than which no list can hold. Repeated rows of a query's
+    vec_id are one query and not its own candidates. An empty table gives an empty result; other columns are not read. To the driver
+    comes a sample of each length alone."""
     spark = vectors.sparkSession
     small_batches(spark)
     good, _ = parted(vectors)
@@ -123,64 +134,84 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, rerank: int = RE
     return out
 
 
-def _search(good: DataFrame, every: int, k: int, rerank: int) -> DataFrame:
+def _search(good: DataFrame, every: int, k: int, rerank: int | None) -> DataFrame:
     """search() of vectors that all take part and are of one length, one at least."""
     spark = good.sparkSession
-    w = Window.partitionBy("embedding").orderBy("vec_id")
-    members = good.withColumn("at", F.row_number().over(w)).where(F.col("at") <= k + 1)
-    members = cut(members.groupBy("embedding").agg(F.min("vec_id").alias("cid"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    sample = members.orderBy(F.xxhash64("cid"), "cid").select("embedding").limit(SAMPLE).toPandas()
+    kind = "<f4" if dict(good.dtypes)["embedding"] == "array<float>" else "<f8"
+    own = good.groupBy("embedding", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("rows"))
+    few = own.withColumn("at", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("at") <= k + 1)
+    members = cut(few.groupBy("embedding").agg(F.min("vec_id").alias("cid"), F.sort_array(F.collect_list(F.struct("vec_id", "rows"))).alias("ids")))
+    first = members.agg(F.count("*"), F.first(F.size("embedding"))).first()
+    n, d = first
+    # a share of the classes by a hash, so that what tasks send does not grow with their number
+    share = min(1.0, (SAMPLE + 6 * SAMPLE**0.5) / n)
+    h = F.xxhash64("cid")
+    sample = members.where(F.shiftrightunsigned(h, 11) <= int(share * (1 << 53))).orderBy(h, "cid").select("embedding").limit(SAMPLE).toPandas()
     books = spark.sparkContext.broadcast(fit_codebooks(np.array(sample["embedding"].tolist(), np.float64)))
-    n = members.count()
-    shards = max(1, -(-n // SHARD))
     queries = cut(good.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumnRenamed("vec_id", "query_id"))
-    groups = max(1, -(-queries.count() // QUERIES))
+    asked = queries.count()
+    size = n * (int(kind[2]) * d + BOOKS + 12)
+    tiles = max(TILES, -(-n * asked // WORK))
+    groups = max(1, math.isqrt(tiles * asked * QUERY_BYTES // size))
+    shards = max(-(-size // SHARD), -(-tiles // groups))
+    rerank = rerank or rerank_of(n, k)
+    # a shard has its share of a query's best codes, give or take
+    rerank = min(rerank, k + -(-2 * rerank // shards)) if shards > 1 else rerank
 
     def code(batches):
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId()
         for batch in batches:
-            if batch.num_rows:
-                codes, norms = encode(matrix(batch.column(1)), books.value)
-                cids = batch.column(0).to_numpy().astype("<i8")
-                for i in range(0, len(cids), CODES):
-                    j = min(i + CODES, len(cids))
-                    yield pa.RecordBatch.from_arrays([pa.array([int(cids[i]) % shards], pa.int64()), pa.array([cids[i:j].tobytes()], pa.binary()), pa.array([codes[i:j].tobytes()], pa.binary()), pa.array([norms[i:j].astype("<f4").tobytes()], pa.binary())], names=["shard", "cids", "codes", "norms"])
-
-    # the stored index: codes and norms of all classes
-    index = cut(members.select("cid", "embedding").repartition(max(1, min(groups, -(-n // CODES)))).mapInArrow(code, "shard long, cids binary, codes binary, norms binary"))
-    sent = index.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "shard", F.lit(1).alias("kind"), "cids", "codes")
-    asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(0).alias("kind"), "query_id", F.col("embedding").cast("array<double>").alias("vector"))
-    both = asked.unionByName(sent, allowMissingColumns=True).repartition("g", "shard").sortWithinPartitions("g", "shard", "kind")
+            x = matrix(batch.column(1)) if batch.num_rows else None
+            for i in range(0, batch.num_rows, CODES):
+                j = min(i + CODES, batch.num_rows)
+                codes, norms = encode(x[i:j], books.value)
+                raw = [batch.column(0).to_numpy()[i:j].astype("<i8"), codes, norms.astype("<f4"), x[i:j].astype(kind)]
+                yield pa.RecordBatch.from_arrays([pa.array([at % shards], pa.int64()), *(pa.array([r.tobytes()], pa.binary()) for r in raw)], names=["shard", "cids", "codes", "norms", "vectors"])
+                at += 1
+
+    # the stored index
+    index = cut(members.select("cid", "embedding").repartition(max(1, min(4 * shards, -(-n // CODES)))).mapInArrow(code, "shard long, cids binary, codes binary, norms binary, vectors binary"))
+    of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    sent = index.select("shard", of(groups).alias("g"), F.lit(0).alias("kind"), "cids", "codes", "vectors")
+    sent = sent.unionByName(queries.select(of(shards).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("long").alias("g"), F.lit(1).alias("kind"), "query_id", "embedding"), allowMissingColumns=True)
+    dealt = sent.repartition(shards * groups, "shard", "g").sortWithinPartitions("shard", "g", "kind")
 
     def look(batches):
-        best, at, ids, rows = None, None, [], []
+        at, parts, index = None, [], None
         for batch in batches:
-            for r in batch.to_pylist():
-                if (r["g"], r["shard"]) != at:
-                    if best is not None:
-                        yield best.rows()
-                    best, at, ids, rows = None, (r["g"], r["shard"]), [], []
-                if r["kind"] == 0:
-                    ids.append(r["query_id"])
-                    rows.append(r["vector"])
-                elif ids:
-                    best = best or _Best(np.array(ids, np.int64), np.array(rows), books.value, rerank)
-                    cids = np.frombuffer(r["cids"], "<i8")
-                    best.add(cids, np.frombuffer(r["codes"], np.uint8).reshape(len(cids), -1))
-        if best is not None:
-            yield best.rows()
-
-    near = both.select("g", "shard", "kind", "query_id", "vector", "cids", "codes").mapInArrow(look, "query_id long, cid long, near float")
-    if shards > 1:
-        near = near.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "cid"))).where(F.col("at") <= rerank).drop("at")
-    pairs = near.select("query_id", "cid").join(members, "cid").join(queries.withColumnRenamed("embedding", "q"), "query_id")
-
-    def exact(batches):
-        for b in batches:
-            at = b.schema.get_field_index
-            s = (matrix(b.column(at("embedding"))) * matrix(b.column(at("q")))).sum(1) if b.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([b.column(at("query_id")), b.column(at("ids")), pa.array(s)], names=["query_id", "ids", "score"])
-
-    scored = pairs.select("query_id", "ids", "embedding", "q").mapInArrow(exact, "query_id long, ids array<long>, score double")
-    rows = scored.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+            col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            shard, g, what = (col[c].to_numpy() for c in ("shard", "g", "kind"))
+            cuts = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (g[1:] != g[:-1]) | (what[1:] != what[:-1]), True]) if len(shard) else [0]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if (shard[i], g[i]) != at:
+                    at, parts, index = (shard[i], g[i]), [], None
+                if what[i] == 0:
+                    parts += zip(*(col[c].slice(i, j - i).to_pylist() for c in ("cids", "codes", "vectors")), strict=True)
+                    continue
+                if index is None and parts:
+                    cids, codes, vecs = (b"".join(p) for p in zip(*parts, strict=True))
+                    cids = np.frombuffer(cids, "<i8")
+                    index, parts = (cids, np.frombuffer(codes, np.uint8).reshape(len(cids), -1), np.frombuffer(vecs, kind).reshape(len(cids), -1)), []
+                if index is None:
+                    continue  # a shard without vectors
+                cids, codes, vecs = index
+                ids, q = col["query_id"].slice(i, j - i).to_numpy(), matrix(col["embedding"].slice(i, j - i))
+                for a in range(0, len(ids), QUERIES):
+                    out = []
+                    for b, places in enumerate(best_codes(q[a : a + QUERIES], codes, books.value, rerank), a):
+                        score = (vecs[places].astype(np.float64) * q[b]).sum(1)
+                        top = np.lexsort((cids[places], -score))[: k + 1]
+                        out.append((np.full(len(top), ids[b]), cids[places[top]], score[top]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "cid", "score"])
+
+    near = dealt.select("shard", "g", "kind", "query_id", "embedding", "cids", "codes", "vectors").mapInArrow(look, "query_id long, cid long, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "cid")
+    near = cut(near.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).drop("at"))
+    release(index, queries)
+    wanted = cut(near.groupBy("cid").agg(F.count("*").alias("n")).join(members.select("cid", "ids"), "cid"))
+    rows = join_hot(near, wanted, "cid", "n", near.count()).select("query_id", F.explode("ids").alias("id"), "score").where("id.vec_id <> query_id")
+    rows = rows.select("query_id", F.col("id.vec_id").alias("vec_id"), "score", F.explode(F.sequence(F.lit(1), F.col("id.rows"))))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

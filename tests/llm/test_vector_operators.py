@@ -82,6 +82,45 @@ def test_each_length_is_served(spark):
             assert [found[i0 + q][r] - i0 for r in range(1, 6)] == np.lexsort((np.arange(len(x)), -s))[:5].tolist()
 
 
+def test_recall_with_few_reranked(spark):
+    """6,000 vectors, 300 of them queries, of which rerank_of() scores 300 codes each exactly: a twentieth."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0, "") for i, v in enumerate(x)], SCHEMA)
+    assert annq.rerank_of(6000, 20) == 300
+    got = {}
+    for r in annq.search(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    x = x.astype(float)
+    hits = 0
+    for q in range(0, 6000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argpartition(-s, 20)[:20].tolist()))
+    assert hits / 6000 >= 0.9
+    # and the codes tell: random ones would find about a twentieth
+    codes, _ = annq.encode(x, books := annq.fit_codebooks(x))
+    shuffled = annq.best_codes(x[:64], codes[rng.permutation(len(codes))], books, 300)
+    true = np.argpartition(-(x[:64] @ x.T), 20, axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(shuffled.tolist(), true.tolist(), strict=True)]) / 20 < 0.2
+
+
+def test_large_k_and_repeated_queries(spark, monkeypatch):
+    """k beyond RERANK times 20, several shards and query groups, classes whose query repeats more than k times."""
+    monkeypatch.setattr(annq, "SHARD", 1 << 14)
+    monkeypatch.setattr(annq, "QUERY_BYTES", 1 << 20)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1000, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0, "") for i, v in enumerate(x)], SCHEMA)
+    n = {r["query_id"]: r["count"] for r in annq.search(df, every=500, k=500).groupBy("query_id").count().collect()}
+    assert n == {0: 500, 500: 500}
+    same = [(20, [1.0, 0.0], 0, "")] * 9 + [(i, [1.0, 0.0], 0, "") for i in (7, 41, 42, 43, 44)] + [(3, [0.5, 0.5], 0, "")] * 2
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in annq.search(spark.createDataFrame(same, SCHEMA), k=6).orderBy("rank").collect()]
+    assert got == [(1, 7, 1.0), (2, 41, 1.0), (3, 42, 1.0), (4, 43, 1.0), (5, 44, 1.0), (6, 3, 0.5)]
+    other = [(i, [1.0, 0.0], 0, "") for i in (20, 21, 22)] + [(21, [1.0, 0.0], 0, "")] * 9
+    assert [r["vec_id"] for r in annq.search(spark.createDataFrame(other, SCHEMA), k=4).collect()] == [21] * 4
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 0, ""), (20, [1.0, 0.0], 0, ""), (20, [1.0, 0.0], 0, ""), (3, [0.5, 0.5], 0, "")], SCHEMA)
     assert [tuple(r) for r in annq.search(df).orderBy("query_id", "rank").collect()] == [(0, 1, 20, 1.0), (0, 2, 20, 1.0), (0, 3, 3, 0.5), (20, 1, 0, 1.0), (20, 2, 3, 0.5)]
