@@ -19,7 +19,7 @@ def table(spark):
     return x.astype(float), odd, spark.createDataFrame(rows + odd, SCHEMA)
 
 
-@pytest.mark.parametrize(("block", "leaf"), [(4096, 512), (32, 8)])
+@pytest.mark.parametrize(("block", "leaf"), [(None, 512), (32, 8)])
 def test_epsilon_join(table, block, leaf):
     x, odd, df = table
     u = x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -37,6 +37,40 @@ def test_epsilon_join(table, block, leaf):
     assert all((got[o[0]]["n_links"], got[o[0]]["component_id"], got[o[0]]["kept"]) == (0, o[0], True) for o in odd)
 
 
+def test_distant_blocks_are_skipped(spark):
+    """Twenty clusters on a sphere of three of 24 dimensions: most pairs of blocks and of vectors are left out, no link is."""
+    rng = np.random.default_rng(6)
+    c = np.zeros((20, 24))
+    c[:, :3] = rng.normal(size=(20, 3))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    x = (np.repeat(c, 100, 0) + 0.01 * rng.normal(size=(2000, 24))).astype(np.float32)
+    report = []
+    out = ego_join.link(spark.createDataFrame([(i, v.tolist(), 0, "") for i, v in enumerate(x)], SCHEMA), block=100, leaf=25, report=report)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert {r["vec_id"]: r["n_links"] for r in out.collect()} == dict(enumerate(want.tolist()))
+    n, blocks, pairs, _, compared = report[0]
+    assert n == 2000 and pairs < blocks * (blocks + 1) / 2 / 2 and compared < 2000 * 2000 / 2 / 4
+
+
+def test_places_bound_distances():
+    rng = np.random.default_rng(7)
+    u = rng.normal(size=(60, 12))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    p = ego_join.places(u, np.linalg.qr(rng.normal(size=(12, 12)))[0][:, :4])
+    far = lambda v: np.linalg.norm(v[:, None] - v[None], axis=2)
+    assert (far(p) <= far(u) + 1e-9).all()
+
+
+def test_a_hot_vector(spark, monkeypatch):
+    from quarry.llm import common
+
+    monkeypatch.setattr(common, "MOST_HOT", 3)
+    rows = [(i, [1.0, 0.0] if i % 3 else [0.0, float(i + 1)], 0, "") for i in range(30)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in ego_join.link(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: (19, 1) if i % 3 else (9, 0) for i in range(30)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert ego_join.link(none).count() == 0 and annq.search(none).count() == 0
