@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 import zlib
 
 import numpy as np
@@ -18,11 +17,11 @@ from quarry.llm.common import new_path, small_batches
 
 #: Bytes of a row group and of a page before compression, and rows of a page. The page index has an entry a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 128 << 10, 256
-#: Entries of each of the two generations of a worker's memos of words and of strings between white space; a full
-#: generation replaces the older one.
-MEMO = 400_000
+#: Entries of each of the two generations of a worker's memo of strings between white space; a full generation replaces the
+#: older one.
+MEMO = 800_000
 #: Other characters than these, separators that Python alone counts as white space, and what could begin an added token
-#: send a text through the library whole. Without them Python's lower case and character classes are the library's.
+#: send a text through the library whole. Without them Python's lower case and character classes are the library's, and composing changes nothing.
 _STRANGE = re.compile("[^\0-\u0130\u0132-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
 _APART = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 # The tokenizer's pattern of words, spelled out for that range.
@@ -64,7 +63,7 @@ class _Encoder:
         split = (state["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         self.by_word = json.dumps((state["normalizer"] or {}).get("normalizers"), separators=(",", ":")) == _KNOWN[0] and split.get("behavior") == "Removed" and split.get("invert") is True and split["pattern"]["Regex"].endswith(_KNOWN[1]) and not state["model"].get("ignore_merges")
         self.chunks = _Memo(self.chunk)
-        self.words = _Memo(self.word)
+        self.signs = _Memo(self.word)  # digits and short runs of signs
         # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
         own = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
         rest = [b for b in range(256) if b not in own]
@@ -80,18 +79,17 @@ class _Encoder:
 
     def chunk(self, chunk: str) -> bytes:
         low = chunk.lower()
-        if chunk.isalpha():
-            return self.words[low]
-        return b"".join([self.words[m[0]] for m in _WORD.finditer(low)])
+        if low.isalpha():
+            return self.word(low)
+        return b"".join([self.signs[m[0]] if len(m[0]) < 3 else self.word(m[0]) for m in _WORD.finditer(low)])
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def text(self, text: str) -> bytes:
-        plain = text.isascii()
-        if not self.by_word or any(x in text for x in _APART) or not plain and _STRANGE.search(text):
+        if not self.by_word or any(x in text for x in _APART) or (not text.isascii() and _STRANGE.search(text)):
             return self.whole(text)
-        return b"".join(map(self.chunks.__getitem__, (text if plain else unicodedata.normalize("NFC", text)).split()))
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 def encode_ids(docs: DataFrame, tokenizer: str, end_id: int, *, text: str = "text") -> DataFrame:
@@ -122,18 +120,18 @@ def encode_ids(docs: DataFrame, tokenizer: str, end_id: int, *, text: str = "tex
 
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str, *, encoding: str = "delta", doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes (doc_id, part, row, n_tokens, ids) to path: files (part) and their rows (row, from 0) in ascending doc_id, nulls
-    first, equal doc_ids by a hash of the text, then the text.
+    first; part and row tell the order of equal doc_ids, which is that of their places in the input's partitions.
 
     encoding: "delta" (version 2 pages: DELTA_BINARY_PACKED) or "dictionary". The texts are dealt by ranges of that order
-    before they are encoded, as text is dearer to encode than to move; one shuffle, and a doc_id of many texts may fill several
+    before they are encoded, as text is dearer to encode than to move; one shuffle, and a doc_id of many rows may fill several
     files. Null texts have the end id alone; repeated rows follow one another; other columns are not read. An empty table writes an
     empty folder with the schema."""
     if encoding not in ("delta", "dictionary"):
         raise ValueError(encoding)
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    dealt = texts.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("at"), F.col(text).alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("at").asc()]
+    dealt = texts.repartitionByRange(n, *order).sortWithinPartitions(*order)
     # rows of a task are numbered in the low 33 bits
     placed = dealt.select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"), "text")
     out = encode_ids(placed, tokenizer, end_id).select("doc_id", "part", "row", F.size("ids").cast("long").alias("n_tokens"), "ids")
@@ -150,12 +148,12 @@ def read_ids(spark: SparkSession, path: str, where: Column | None = None) -> Dat
     return df if where is None else df.where(where)
 
 
-def starts(ids: DataFrame) -> DataFrame:
+def starts(ids: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """ids with start: the number of ids of all documents before it in the files' order (part, row), which tells rows of one
     doc_id apart. A column named start is replaced; other columns stay. A prefix sum within each file follows one over the files'
-    sums (a row a file)."""
+    sums (a row a file), which are taken from sizes, the same rows with part and n_tokens, if ids is dear to compute twice."""
     ids = ids.drop("start")
-    sums = ids.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    sums = (ids if sizes is None else sizes).groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = sums.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     w = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     own = ids.withColumn("own", F.sum("n_tokens").over(w) - F.col("n_tokens"))
@@ -187,4 +185,5 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int, *, encoding: str =
     spark = docs.sparkSession
     path = new_path(spark)
     write_ids(docs, tokenizer, end_id, path, encoding=encoding)
-    return starts(digest(read_ids(spark, path))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    ids = read_ids(spark, path)
+    return starts(digest(ids), ids).select("doc_id", "start", "n_tokens", "ids_crc32")
