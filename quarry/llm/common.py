@@ -13,8 +13,10 @@ from quarry.plans.lineage import shared_folder
 
 #: Rows and bytes of an Arrow batch given to Python: long texts must not fill a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-#: Keys that may be broadcast as hot; a hot key has more rows than this, and than all rows by this.
-MOST_HOT = 1000
+#: Keys that may be broadcast as hot: a hot key has more rows than all rows by this, and some at least.
+MOST_HOT, LEAST_HOT = 1000, 100
+#: Bitmaps of 4 KB that may be broadcast to pick rows by: 64 MB, 500 million rows.
+MOST_MAPS = 16_384
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -74,11 +76,28 @@ def release(*frames: DataFrame) -> None:
             _written[:] = [x for x in _written if x[1] != path]
 
 
+def pick(rows: DataFrame, ids: DataFrame, key: str = "rid") -> DataFrame:
+    """The rows whose key (a long, 0 or more, as monotonically_increasing_id() gives it) is among ids. Wide rows don't move: ids
+    become bitmaps of 32,768 numbers each, which are broadcast if they take no more than MOST_MAPS of them; beyond that it is a
+    semi-join."""
+    ids = ids.select(key).withColumn("bucket", F.bitmap_bucket_number(key))
+    # dealt by bucket before they are set in bitmaps, so that no task has all buckets
+    maps = cut(ids.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("bits")))
+    if maps.count() > MOST_MAPS:
+        release(maps)
+        return rows.join(ids.select(key).distinct(), key, "left_semi")
+    at = F.bitmap_bit_position(key).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    bucketed = rows.withColumn("_bucket", F.bitmap_bucket_number(key))
+    there = bucketed.join(F.broadcast(maps), F.col("_bucket") == F.col("bucket")).where(F.getbit(byte, at % 8) == 1)
+    return there.select(*rows.columns)
+
+
 def join_hot(rows: DataFrame, keyed: DataFrame, on: str, weight: str, total: int) -> DataFrame:
     """rows joined with keyed, which has one row a key and in `weight` the number of rows with it; total: at least the sum of
     those. Keys that hold more than a thousandth of all rows, so fewer than a thousand of them, are broadcast and their rows
     stay where they are; the others are shuffled by key. No task gets more than about a thousandth for one key."""
-    least = max(total // MOST_HOT, MOST_HOT)
+    least = max(total // MOST_HOT, LEAST_HOT)
     # both sides are read more than once: they are to be cut()
     hot = keyed.where(F.col(weight) > least)
     cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(keyed.where(F.col(weight) <= least), on)

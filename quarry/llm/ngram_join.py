@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import components, cut, join_hot, release, small_batches
+from quarry.llm.common import components, cut, join_hot, pick, release, small_batches
 
 #: log2 of the slots that shingles are counted in; the table is broadcast, half a megabyte whatever the input.
 SLOT_BITS = 16
@@ -37,6 +37,8 @@ SLOT_BITS = 16
 SKETCH = 8
 #: Elements that must turn up in short lists; members of a tile's side; candidates that a query's text is sent with, about.
 SHORT, TILE, GROUP = 2, 1024, 256
+#: Pairs of members that a task counts at a time, and members of lists of a task, about.
+PAIRS, TASK = 1 << 21, 50_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -137,7 +139,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFram
     """Links among pairs (q, x) of query and candidate, distinct. Texts travel, as they are smaller than sets of hashes, and only those
     of candidates; a query's goes once to each group of its candidates."""
     wanted = pairs.select(F.explode(F.array("q", "x")).alias("rid")).distinct()
-    texts = cut(sets.select("rid", "text").join(wanted, "rid"), compression="zstd")
+    texts = cut(pick(sets.select("rid", "text"), wanted), compression="zstd")
     degrees = cut(pairs.groupBy("q").agg(F.count("*").alias("rows")).withColumn("groups", F.ceil(F.col("rows") / GROUP).cast("int")))
     asked = degrees.join(texts.withColumnRenamed("rid", "q"), "q").select("q", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast("long").alias("x"), "text")
     given = join_hot(pairs, degrees, "q", "rows", pairs.count()).select("q", F.pmod(F.xxhash64("x"), F.col("groups")).cast("int").alias("g"), F.col("x").alias("rid"))
@@ -161,82 +163,80 @@ def _verify(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFram
     return links
 
 
-def merge_lists(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """What occurs in the lists, ascending, and how often: their merge by sorting. No list holds anything twice."""
-    return np.unique(np.concatenate(lists), return_counts=True)
+def merge_lists(tile, asks, meets, node, n, pos, root, percent: int):
+    """Arrays of list members: the tile, whether they ask and are met there, the set, its size, the element's place in it and the set's
+    component. Yields (a, b, occ, n, m): sets a < b of different components, how often one asks where the other is met,
+    and their sizes. The lists of each set are merged by sorting, some PAIRS of members at a time.
+
+    The i-th element that two sets share leaves them T - i + 1 to share from there on, at least; what leaves fewer than that for
+    i = SHORT is not counted."""
+    order = np.lexsort((meets & ~asks, tile))
+    tile, asks, meets, node, n, pos, root = (c[order] for c in (tile, asks, meets, node, n, pos, root))
+    rows = np.arange(len(tile))
+    starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]) if len(tile) else rows
+    sizes = np.diff(np.r_[starts, len(tile)])
+    # in a tile those that only ask come first; others ask of those after them
+    met_from = starts + np.add.reduceat((asks & ~meets).astype(np.int64), starts) if len(tile) else rows
+    low = np.maximum(rows + 1, np.repeat(met_from, sizes))
+    count = np.where(asks, np.maximum(np.repeat(starts + sizes, sizes) - low, 0), 0)
+    ids, local = np.unique(node, return_inverse=True)
+    size_of = np.zeros(len(ids), np.int64)
+    size_of[local] = n
+    total, first = np.r_[0, np.cumsum(count)], 0
+    while first < len(rows):
+        last = max(first + 1, int(np.searchsorted(total, total[first] + PAIRS, "right")) - 1)
+        i = np.repeat(rows[first:last], count[first:last])
+        j = np.repeat(low[first:last] - total[first:last], count[first:last]) + np.arange(total[first], total[last])
+        first = last
+        least, both, left = np.minimum(n[i], n[j]), n[i] + n[j], np.minimum(n[i] - pos[i], n[j] - pos[j])
+        ok = (root[i] != root[j]) & (100 * least >= percent * (both - least)) & ((100 + percent) * (left + SHORT - 1) >= percent * both)
+        x, y = local[i[ok]], local[j[ok]]
+        pair, occ = np.unique(np.minimum(x, y) * len(ids) + np.maximum(x, y), return_counts=True)
+        a, b = np.divmod(pair, max(len(ids), 1))
+        if len(pair):
+            yield ids[a], ids[b], occ, size_of[a], size_of[b]
 
 
 def _occurrences(held: DataFrame, percent: int) -> DataFrame:
-    """(a, b, occ, n, m): pairs of sets of different components, in how many lists they meet, and their sizes, if they are in reach of
-    T by one list at least. held: (token, node, n, pos, root), lists of sets of several components.
-
-    A list is cut into parts of TILE members, and a tile is a pair of parts, one the queries', one the members' that they meet."""
-    sizes = held.groupBy("token").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    own = held.join(sizes, "token").withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    # part i is the queries' of tiles (i, j) with j >= i, and the members' of tiles (j, i) with j <= i
+    """(a, b, occ, n, m): pairs of sets of different components, in how many lists they meet, and their sizes, if T is in
+    reach. held: (token, node, n, pos, root), lists of sets of several components, cut().
+
+    A list is cut into parts of TILE members, and a tile is a pair of parts, one that asks, one that is met."""
+    sizes = held.groupBy("token").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"), F.count("*").alias("rows"))
+    sizes = cut(sizes)
+    rows = held.count()
+    own = join_hot(held, sizes, "token", "rows", rows).withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # part i asks in tiles (i, j) with j >= i, and is met in tiles (j, i) with j <= i
     tiles = own.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j")).select("token", F.least("i", "j").alias("t"), F.greatest("i", "j").alias("u"), (F.col("i") <= F.col("j")).alias("asks"), (F.col("j") <= F.col("i")).alias("meets"), "node", "n", "pos", "root")
+    tiles = tiles.select(F.xxhash64("token", "t", "u").alias("tile"), "token", "t", "u", "asks", "meets", "node", "n", "pos", "root")
 
-    def flush(group):
-        cols = [np.concatenate(c) for c in zip(*group, strict=True)]
-        tile, asks, meets, node, n, pos, root = cols
-        order = np.lexsort((node, tile))
-        tile, asks, meets, node, n, pos, root = (c[order] for c in cols)
-        starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
-        ends = np.r_[starts[1:], len(tile)]
-        lists = {}  # by query: the members that it meets in each of its lists, as row numbers
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            rows = np.arange(s, e)[meets[s:e]]
-            both = asks[s:e].all() and meets[s:e].all()
-            for i in (np.arange(s, e)[asks[s:e]]).tolist():
-                part = rows[rows > i] if both else rows
-                part = part[root[part] != root[i]]
-                if len(part):
-                    lists.setdefault(int(node[i]), []).append((i, part))
-        for q, of in lists.items():
-            ids, occ = merge_lists([node[part] for _, part in of])
-            m, reach = np.empty(len(ids), np.int64), np.zeros(len(ids), bool)
-            for i, part in of:
-                at = np.searchsorted(ids, node[part])
-                size, left = n[i] + n[part], np.minimum(n[i] - pos[i], n[part] - pos[part])
-                m[at] = n[part]
-                reach[at] |= (100 * np.minimum(n[i], n[part]) >= percent * np.maximum(n[i], n[part])) & ((100 + percent) * left >= percent * size)
-            if reach.any():
-                yield q, int(n[of[0][0]]), ids[reach], m[reach], occ[reach]
+    def out(group):
+        for cols in merge_lists(*(np.concatenate(c) for c in zip(*group, strict=True)), percent):
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["a", "b", "occ", "n", "m"])
 
     def run(batches):
-        group, size = [], 0
-
-        def out():
-            for q, n, ids, m, occ in flush(group):
-                swap = ids < q
-                full = lambda v: np.full(len(ids), v, np.int64)  # noqa: B023, E731
-                cols = [np.where(swap, ids, q), np.where(swap, q, ids), occ, np.where(swap, m, full(n)), np.where(swap, full(n), m)]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["a", "b", "occ", "n", "m"])
-
-        last = None
+        group, size, last = [], 0, None
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-            token, t, u = cols[:3]
-            # a number for each tile of the batch's run of tiles, by hashing, to tell neighbours apart
-            tile = token.astype(np.int64) * np.int64(1_000_003) + t.astype(np.int64) * np.int64(7_368_787) + u
-            rows = [tile, *(c.astype(bool) for c in cols[3:5]), *(c.astype(np.int64) for c in cols[5:])]
-            cut_at = 0
-            if size > 64 * TILE and last is not None:
-                new = np.flatnonzero(tile != last)
-                if len(new):
-                    cut_at = int(new[0])
-                    group.append([c[:cut_at] for c in rows])
-                    yield from out()
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            tile, new = rows[0], 0
+            if size > 64 * TILE:
+                # a group ends with a tile
+                new = int(np.argmax(tile != last)) if (tile != last).any() else len(tile)
+                group.append([c[:new] for c in rows])
+                if new < len(tile):
+                    yield from out(group)
                     group, size = [], 0
-            if len(tile) > cut_at:
-                group.append([c[cut_at:] for c in rows])
-                size, last = size + len(tile) - cut_at, tile[-1]
-        if size:
-            yield from out()
+            if new < len(tile):
+                group.append([c[new:] for c in rows])
+                size, last = size + len(tile) - new, tile[-1]
+        if group:
+            yield from out(group)
 
-    dealt = tiles.repartition("token", "t", "u").sortWithinPartitions("token", "t", "u")
-    found = dealt.select("token", "t", "u", "asks", "meets", "node", "n", "pos", "root").mapInArrow(run, "a long, b long, occ long, n long, m long")
-    return found.groupBy("a", "b").agg(F.sum("occ").alias("occ"), F.first("n").alias("n"), F.first("m").alias("m"))
+    # merging takes time where the rows are few bytes: tasks by their number
+    parts = max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK))
+    dealt = tiles.repartition(parts, "token", "t", "u").sortWithinPartitions("tile")
+    found = dealt.select("tile", "asks", "meets", "node", "n", "pos", "root").mapInArrow(run, "a long, b long, occ long, n long, m long")
+    return found.groupBy("a", "b").agg(F.sum("occ").alias("occ"), F.min("n").alias("n"), F.min("m").alias("m"))
 
 
 def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -272,7 +272,7 @@ def one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "rid"))
     kept = rows.where("root is not null").groupBy("root").agg(first.alias("first")).select("first.rid")
     kept = kept.unionByName(rows.where("root is null").select("rid"))
-    return sets.join(kept, "rid", "left_semi").select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+    return pick(sets, kept).select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def _rooted(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -283,7 +283,7 @@ def _rooted(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     counts = spark.sparkContext.broadcast(_count_slots(docs, k))
     sets = cut(_sets(docs, k, percent, counts), compression="zstd")
     firsts = cut(sets.where("sid is not null").groupBy("sid").agg(F.min("rid").alias("node"), F.count("*").alias("rows")))
-    reps = cut(sets.select(F.col("rid").alias("node"), "n", "prefix", "sketch").join(firsts.select("node"), "node"))
+    reps = cut(pick(sets.select("rid", "n", "prefix", "sketch"), firsts.select(F.col("node").alias("rid"))).withColumnRenamed("rid", "node"))
     sketches = reps.select("node", "n", "sketch")
     lists = reps.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     # the pivot: first by place, then by size

@@ -293,7 +293,7 @@ def test_lists_in_parts(spark, monkeypatch):
 
     monkeypatch.setattr(ngram_join, "TILE", 8)
     monkeypatch.setattr(ngram_join, "GROUP", 4)
-    monkeypatch.setattr(common, "MOST_HOT", 3)
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
     rng = np.random.default_rng(4)
     pairs = []
     for i in range(90):
@@ -307,9 +307,37 @@ def test_lists_in_parts(spark, monkeypatch):
     assert got == sorted(((i, n, None if c >= 1000 else c) for i, n, c in want), key=repr) and 2 < len({c for _, _, c in want}) < 90
 
 
-def test_merged_lists():
-    ids, occ = ngram_join.merge_lists([np.array([1, 5, 9]), np.array([5]), np.array([2, 5, 9])])
-    assert ids.tolist() == [1, 2, 5, 9] and occ.tolist() == [1, 1, 3, 2]
+@pytest.mark.parametrize("pairs", [1, 7, 10_000])
+def test_merged_lists(monkeypatch, pairs):
+    """Occurrences in lists, whole or cut into parts, against counting them one by one."""
+    import collections
+
+    monkeypatch.setattr(ngram_join, "PAIRS", pairs)
+    rng = np.random.default_rng(1)
+    lists = [rng.choice(40, rng.integers(2, 12), replace=False) for _ in range(25)]
+    want = collections.Counter((a, b) for x in lists for a in x for b in x if a < b and a % 3 != b % 3)
+    rows = []
+    for t, x in enumerate(lists):
+        parts = [x[: len(x) // 2], x[len(x) // 2 :]] if t % 2 else [x]
+        rows += [(4 * t + 2 * i + j, k == i, k == j, v) for i in range(len(parts)) for j in range(i, len(parts)) for k in {i, j} for v in parts[k]]
+    rng.shuffle(rows)
+    tile, asks, meets, node = (np.array(c) for c in zip(*rows, strict=True))
+    got = collections.Counter()
+    for a, b, occ, n, m in ngram_join.merge_lists(tile, asks.astype(bool), meets.astype(bool), node.astype(np.int64), np.full(len(node), 100), np.zeros(len(node), np.int64), node % 3, 80):
+        assert (n == 100).all() and (m == 100).all()
+        got.update(dict(zip(zip(a.tolist(), b.tolist(), strict=True), occ.tolist(), strict=True)))
+    assert got == want
+
+
+def test_pick(spark, monkeypatch):
+    from quarry.llm import common
+
+    df = spark.range(0, 300_000, 1, 5).select(F.monotonically_increasing_id().alias("rid"), "id")
+    ids = df.where("id % 7 = 3 or id in (0, 299999)").select("rid")
+    for most in (common.MOST_MAPS, 0):
+        monkeypatch.setattr(common, "MOST_MAPS", most)
+        assert [tuple(r) for r in common.pick(df, ids).agg(F.count("*"), F.sum("id")).collect()] == [tuple(r) for r in df.where("id % 7 = 3 or id in (0, 299999)").agg(F.count("*"), F.sum("id")).collect()]
+        assert common.pick(df, ids.limit(0)).count() == 0
 
 
 def test_overlap_bound():

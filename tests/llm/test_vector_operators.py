@@ -65,7 +65,7 @@ def test_places_bound_distances():
 def test_a_hot_vector(spark, monkeypatch):
     from quarry.llm import common
 
-    monkeypatch.setattr(common, "MOST_HOT", 3)
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
     rows = [(i, [1.0, 0.0] if i % 3 else [0.0, float(i + 1)], 0, "") for i in range(30)]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in ego_join.link(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i: (19, 1) if i % 3 else (9, 0) for i in range(30)}
