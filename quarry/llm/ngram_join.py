@@ -33,6 +33,8 @@ from quarry.llm.common import components, cut, join_hot, pick, release, small_ba
 
 #: log2 of the slots that shingles are counted in; the table is broadcast, half a megabyte whatever the input.
 SLOT_BITS = 16
+#: log2 of the bits of the filter of elements that several lists hold: broadcast, 16 MB at most.
+FILTER_BITS = 27
 #: Long words of a parity sketch.
 SKETCH = 8
 #: Elements that must turn up in short lists; members of a tile's side; candidates that a query's text is sent with, about.
@@ -290,6 +292,9 @@ def _rooted(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     place = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")
     heads = cut(lists.groupBy("token").agg(F.count("*").alias("c"), F.min_by("node", place).alias("pivot"), F.min(place).alias("place")).where("c > 1"))
     total = reps.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    # most elements are in one list alone: a filter of fixed size keeps those lists from being shuffled
+    slot = F.shiftrightunsigned("token", 64 - FILTER_BITS).alias("slot")
+    lists = pick(lists.select("*", slot), heads.select(slot), "slot").drop("slot")
     short = cut(join_hot(lists, heads, "token", "c", total).select("token", "node", "n", "pos", "c", "pivot", F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("m"), F.shiftright("place", 32).alias("at")))
     release(heads)
 
