@@ -2,8 +2,8 @@
 
 The guess cost of a value is the least cost, in powers of ten, of cutting it into spans that an attacker would try in turn:
 known words (with capitals and look-alike characters), dates, repeats, keyboard walks, and brute force for the rest. Each
-cut costs a further power. The table runs over end positions; brute-force spans grow by one character at a time, so long
-values take time in proportion to their length.
+cut costs a further power. The table runs over end positions; walks, repeats and brute force are states that grow from one position
+to the next, so every segmentation counts and long values take time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "guess")
 #: What makes a context in which a value's guess cost is measured.
 CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|bearer|(?:api|access|private|client|secret)[_-]?(?:key|secret))["']?[\x20\t]*(?:[:=]|=>|\bis\b)[\x20\t]*["']?([^\s"'<>,;]{8,})""", re.I | re.A)
+#: The same in headers.
+HEADER = re.compile(r"""(?<![A-Za-z0-9])(?:authorization["']?[\x20\t]*[:=][\x20\t]*["']?(?:bearer|basic|token)|bearer)[\x20\t]+([^\s"'<>,;]{8,})""", re.I | re.A)
 _CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "key")
 _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Values as dear as this, in powers of ten guesses, count as secrets.
@@ -59,46 +61,73 @@ def _step(a: str, b: str) -> tuple[int, int] | None:
 
 
 _DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:1[0-2]|0?[1-9])[-/.]?(?:[12]\d|3[01]|0?[1-9])|(?:[12]\d|3[01]|0?[1-9])[-/.]?(?:1[0-2]|0?[1-9])[-/.]?(?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d)")
-_REPEAT = re.compile(r"(.{1,8}?)\1+")
+#: Characters of a date; of a repeated unit, at most; of a walk, at least.
+DATES, UNIT, WALK = range(4, 11), 8, 4
+#: What a walk costs for its first key and length, and for each turn; what a repeat costs for its number.
+FIRST_KEY, TURN, TIMES = math.log10(len(KEYS)) + 1, math.log10(4) / 2, 1.0
 
 
 def _alphabet(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
 
+def word_cost(value: str) -> float | None:
+    """What a known word of three letters at least costs, by rank, capitals and look-alikes; None for others."""
+    low = value.lower()
+    plain = low.translate(LOOKS)
+    rank = RANK.get(plain) if len(value) >= 3 else None
+    return math.log10(rank) + 0.3 * (value != low) + 0.3 * (low != plain) if rank else None
+
+
+def date_cost(value: str) -> float | None:
+    return math.log10(365 * 120 if len(value) > 4 else 120) if len(value) in DATES and _DATE.fullmatch(value) else None
+
+
+def unit_cost(value: str) -> float:
+    """What the unit of a repeat costs: as a word or by brute force."""
+    return min(sum(map(_alphabet, value)), word_cost(value) or math.inf)
+
+
 def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation takes; 0 for an empty value."""
+    """log10 of the guesses that the cheapest segmentation takes; 0 for an empty value.
+
+    Spans: a word, a date, a unit of up to UNIT characters two or more times in a row, a walk of WALK or more keys, and any span
+    by brute force. Each costs its own, and 1 more unless it is the first."""
     n = len(value)
-    if not n:
-        return 0.0
     low = value.lower()
     plain = low.translate(LOOKS)
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: start and cost
-    for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
-            if rank := RANK.get(plain[i:j]):
-                own = value[i:j]
-                ends[j].append((i, math.log10(rank) + 0.3 * (own != own.lower()) + 0.3 * (low[i:j] != plain[i:j])))
-        if low[i].isdigit() and (m := _DATE.match(low, i)):
-            ends[m.end()].append((i, math.log10(365 * 120 if len(m[0]) > 4 else 120)))
-    for m in _REPEAT.finditer(value):
-        unit = m[1]
-        cost = math.log10(RANK[unit.lower()]) if unit.lower() in RANK else sum(map(_alphabet, unit))
-        ends[m.end()].append((m.start(), cost + math.log10(len(m[0]) / len(unit))))
-    i = 0
-    while i < n:
-        j, turns, way = i + 1, 0, None
-        while j < n and (step := _step(low[j - 1], low[j])) is not None:
-            turns, way = turns + (step != way), step
-            j += 1
-        if j - i >= 4:
-            ends[j].append((i, math.log10(len(KEYS)) + math.log10(4) * min(turns, j - i - 1) / 2 + math.log10(j - i)))
-        i = max(j - 1, i + 1)
     best, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
+    walks = [[math.inf] * (n + 1) for _ in range(WALK)]  # by keys so far, the last of them for WALK or more
+    repeats = [[math.inf] * (n + 1) for _ in range(UNIT + 1)]
+    same = [0] * (UNIT + 1)  # characters in a row that equal the ones a unit before
+    way = None
     for j in range(1, n + 1):
-        a = _alphabet(value[j - 1])
-        brute[j] = min(brute[j - 1], best[j - 1] + (j > 1)) + a
-        best[j] = min([brute[j], *(best[i] + c + (i > 0) for i, c in ends[j])])
+        brute[j] = min(brute[j - 1], best[j - 1] + (j > 1)) + _alphabet(value[j - 1])
+        least = brute[j]
+        for i in range(max(0, j - LONGEST), j - 2):
+            if plain[i:j] in RANK:
+                least = min(least, best[i] + (i > 0) + word_cost(value[i:j]))
+        if low[j - 1].isdigit():
+            for i in range(max(0, j - DATES[-1]), j - DATES[0] + 1):
+                if low[i].isdigit() and (cost := date_cost(low[i:j])) is not None:
+                    least = min(least, best[i] + (i > 0) + cost)
+        before, way = way, _step(low[j - 2], low[j - 1]) if j > 1 else None
+        if low[j - 1] in KEYS:
+            walks[0][j] = best[j - 1] + (j > 1) + FIRST_KEY
+        if way is not None:
+            walks[1][j] = walks[0][j - 1] + TURN
+            on = TURN * (way != before)
+            for k in range(2, WALK):
+                walks[k][j] = walks[k - 1][j - 1] + on
+            walks[-1][j] = min(walks[-1][j], walks[-1][j - 1] + on)
+            least = min(least, walks[-1][j])
+        for p in range(1, UNIT + 1):
+            same[p] = same[p] + 1 if j > p and value[j - 1] == value[j - 1 - p] else 0
+            if same[p] >= p:
+                i = j - 2 * p
+                repeats[p][j] = min(repeats[p][j - p], best[i] + (i > 0) + unit_cost(value[j - p : j]) + TIMES)
+                least = min(least, repeats[p][j])
+        best[j] = least
     return best[n]
 
 
@@ -119,27 +148,33 @@ def guessed_spans(text: str, base: list[tuple[int, str, int]], least: float = LE
     if not any(h in low for h in _CONTEXT_HINTS):
         return []
     out = []
-    for m in CONTEXT.finditer(text):
-        value, a, b = m[1].rstrip(".:)]}!?"), m.start(1), 0
+    for m in sorted([*CONTEXT.finditer(text), *HEADER.finditer(text)], key=lambda m: m.start(1)):
+        value, a = m[1].rstrip(".:)]}!?"), m.start(1)
         b = a + len(value)
-        if len(value) >= 8 and not any(s < b and a < e for s, _, e in base):
+        if len(value) >= 8 and not any(s < b and a < e for s, _, e in base) and not (out and a < out[-1][2]):
             if (cost := guess_cost(value)) >= least:
                 out.append((a, "guess", b, cost))
     return out
 
 
+def assigned_cost(text: str, base: list[tuple[int, str, int]]) -> float | None:
+    """The largest guess cost of the values of assignments that base spans hold; None if there is none."""
+    return max((guess_cost(ASSIGN.match(text, a)[2]) for a, kind, _ in base if kind == "assign"), default=None)
+
+
 def join_spans(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(spans, key=lambda x: (x[0], KINDS.index(x[1]), x[2])))
 
 
 def scan(docs: DataFrame, *, text: str = "text", least: float = LEAST_COST) -> DataFrame:
-    """Replaces the text by n_assign, n_access, n_hex, n_guess long, base_sha256 string, spans string and max_guess_cost
-    double (of the added spans; null if there is none). Spans are kind:start:end in code points, end exclusive.
+    """Replaces the text by n_assign, n_access, n_hex, n_guess long, base_sha256 string, spans string, max_guess_cost
+    double (of the added spans; null if there is none) and max_assign_cost double (of the values that the base pattern of assignments
+    finds, which count whatever they cost). Spans are kind:start:end in code points, end exclusive.
 
     A null text counts as empty; long texts are scanned whole; rows, ties and repeated rows stay as they are; an empty
     table gives an empty table; other columns stay, those with a new column's name are replaced. Narrow, no shuffle."""
     small_batches(docs.sparkSession)
-    new = ["n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans", "max_guess_cost"]
+    new = ["n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans", "max_guess_cost", "max_assign_cost"]
     kept = [c for c in docs.columns if c not in new and c != text]
 
     def run(batches):
@@ -149,10 +184,10 @@ def scan(docs: DataFrame, *, text: str = "text", least: float = LEAST_COST) -> D
                 base = base_spans(x or "")
                 more = guessed_spans(x or "", base, least)
                 kinds = [k for _, k, _ in base]
-                rows.append((*(kinds.count(k) for k in KINDS[:3]), len(more), hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans([*base, *(m[:3] for m in more)]), max((m[3] for m in more), default=None)))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
+                rows.append((*(kinds.count(k) for k in KINDS[:3]), len(more), hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans([*base, *(m[:3] for m in more)]), max((m[3] for m in more), default=None), assigned_cost(x or "", base)))
+            cols = list(zip(*rows, strict=True)) or [()] * 8
             arrays = [pa.array(c, pa.int64() if i < 4 else pa.string() if i < 6 else pa.float64()) for i, c in enumerate(cols)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *arrays], names=[*kept, *new])
 
-    kinds = [T.LongType()] * 4 + [T.StringType()] * 2 + [T.DoubleType()]
+    kinds = [T.LongType()] * 4 + [T.StringType()] * 2 + [T.DoubleType()] * 2
     return docs.select(*kept, text).mapInArrow(run, T.StructType([*docs.select(*kept).schema.fields, *(T.StructField(n, k) for n, k in zip(new, kinds, strict=True))]))

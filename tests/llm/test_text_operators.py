@@ -146,9 +146,20 @@ def test_guess_cost_decides_for_all_values():
 
 
 def test_guess_cost_is_the_least():
-    """Against all segmentations, by recursion, of short values into brute force and words."""
+    """Against all segmentations, by recursion, of short values into all kinds of spans."""
     import functools
 
+    def walk(v):
+        v = v.lower()
+        steps = [secrets._step(a, b) for a, b in zip(v, v[1:], strict=False)]
+        if len(v) < secrets.WALK or None in steps:
+            return None
+        return secrets.FIRST_KEY + secrets.TURN * (1 + sum(a != b for a, b in zip(steps, steps[1:], strict=False)))
+
+    def repeat(v):
+        found = [secrets.unit_cost(v[:p]) + secrets.TIMES for p in range(1, secrets.UNIT + 1) if len(v) >= 2 * p and len(v) % p == 0 and v == v[:p] * (len(v) // p)]
+        return min(found, default=None)
+
     def plain(v):
         @functools.cache
         def go(i):
@@ -157,15 +168,37 @@ def test_guess_cost_is_the_least():
             out = []
             for j in range(i + 1, len(v) + 1):
                 part = v[i:j]
-                out.append(sum(map(secrets._alphabet, part)) + (i > 0) + go(j))
-                if part in secrets.RANK and len(part) >= 3:
-                    out.append(np.log10(secrets.RANK[part]) + (i > 0) + go(j))
+                costs = [sum(map(secrets._alphabet, part)), secrets.word_cost(part), secrets.date_cost(part.lower()), walk(part), repeat(part)]
+                out += [c + (i > 0) + go(j) for c in costs if c is not None]
             return min(out)
 
         return go(0)
 
-    for v in ("love", "xlove", "loveking", "kxqz", "welcomexqz"):
-        assert secrets.guess_cost(v) == pytest.approx(plain(v), abs=1e-9)
+    values = ["love", "xlove", "loveking", "kxqz", "welcomexqz", "asdfghjklove", "asdfghjkl", "qwqwqwqwert", "abababab1984", "19840217x", "P@ssw0rd2001-02-03", "aaaaaaab", "lovelovelove", "zaqxsw12", "1234567890", "zxcvbnmm", "ññññ", "éaéaéa"]
+    rng = np.random.default_rng(9)
+    values += ["".join(rng.choice(list("asdfqw12"), rng.integers(1, 14))) for _ in range(60)]
+    for v in values:
+        assert secrets.guess_cost(v) == pytest.approx(plain(v), abs=1e-9), v
+    assert secrets.guess_cost("asdfghjklove") < 6
+
+
+def test_secrets_in_headers_and_costs_of_assignments(spark):
+    more = lambda t: [t[a:b] for a, _, b, _ in secrets.guessed_spans(t, secrets.base_spans(t))]
+    assert more("Authorization: Bearer xK9mQ2vL7pZr4") == ["xK9mQ2vL7pZr4"] and more("use bearer xK9mQ2vL7pZr4.") == ["xK9mQ2vL7pZr4"]
+    assert more('"authorization": "Basic eHk5bVEydkw3cFpyNA"') == ["eHk5bVEydkw3cFpyNA"] and more("a bearer straightforward") == [] and more("basic xK9mQ2vL7pZr4") == []
+    rows_ = secrets.scan(spark.createDataFrame([(1, "password=hunter2hunter2 token: xK9mQ2vL7pZr4"), (2, "password=password1"), (3, "none")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["n_assign"] for r in rows_] == [2, 1, 0] and rows_[0]["max_assign_cost"] > 15 > 5 > rows_[1]["max_assign_cost"] and rows_[2]["max_assign_cost"] is None
+
+
+def test_secret_base_spans_are_the_patterns(docs):
+    """All texts of the smallest table against the contract's patterns, written once more."""
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+    for r in docs.collect():
+        t = r["text"] or ""
+        want = [(m.start(), "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 8]
+        want += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        want += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        assert sorted(secrets.base_spans(t)) == sorted(want)
 
 
 def test_pii_base_spans_are_the_patterns():
