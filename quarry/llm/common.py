@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +95,17 @@ def pick(rows: DataFrame, ids: DataFrame, key: str = "rid") -> DataFrame:
     return there.select(*rows.columns)
 
 
+@contextmanager
+def only_result(spark: SparkSession) -> Iterator[None]:
+    """Of what cut() writes within, the last alone is kept, which must be the result."""
+    known = {path for _, path in _written}
+    yield
+    gone = [path for _, path in _written if path not in known][:-1]
+    for path in gone:
+        _delete(spark, path)
+    _written[:] = [x for x in _written if x[1] not in gone]
+
+
 def join_hot(rows: DataFrame, keyed: DataFrame, on: str, weight: str, total: int) -> DataFrame:
     """rows joined with keyed, which has one row a key and in `weight` the number of rows with it; total: at least the sum of
     those. Keys that hold more than a thousandth of all rows, so fewer than a thousand of them, are broadcast and their rows

@@ -47,23 +47,23 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return t.select("source", "source_size", F.least(F.col("most"), F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 1) -> DataFrame:
-    """docs: doc_id, text, source. quality: (doc_id, weight > 0), a row a document at most; documents without have weight 1.
+def mix(docs: DataFrame, quality: DataFrame | None = None, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs: doc_id, text, source, and the columns to keep, of other names than the result's. quality: (doc_id, weight > 0), a row a document at most; documents without have weight 1.
 
-    Returns doc_id, source, size, source_size, target and taken: size times the number of times that the mix has the
-    document. A source's taken words differ from its target by less than half its largest fractional document. Null texts
+    Returns the kept columns, doc_id, source, size, source_size, target, times and taken: times is how often the mix has the
+    document, and taken size times that. A source's taken words differ from its target by less than half its largest fractional document. Null texts
     have size 0 and nothing taken; null sources are one source, last; repeated rows count each for themselves, with
-    ties of keys broken by size; an empty table gives an empty result; other columns are not read. Reruns agree, as u comes from a
-    hash of the doc_id and seed. The sizes are cut(), so texts are read once. Shuffles carry sums of (source, slice) only;
+    ties of keys broken by size; rows that share a doc_id, or have none, have keys of their own unless their texts are equal; an
+    empty table gives an empty result; other columns are not read. Reruns agree, as u comes from a hash of doc_id, text and seed. The sizes are cut(), so texts are read once. Shuffles carry sums of (source, slice) only;
     rows of the one slice that a budget ends in are ordered, one small window a source."""
-    names = ["doc_id", "source", "size", "key", "slice"]
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    names = [*keep, "doc_id", "source", "size", "key", "slice"]
+    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text", F.lit(seed))
+    rows = docs.select(*keep, "doc_id", "source", n_words(F.col("text")).alias("size"), h.alias("_h"))
     if quality is not None:
-        rows = rows.join(quality.where("weight > 0").groupBy("doc_id").agg(F.max("weight").alias("weight")), "doc_id", "left")
+        rows = rows.join(quality.where("weight > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("weight").alias("weight")), "doc_id", "left")
     else:
         rows = rows.withColumn("weight", F.lit(1.0))
-    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))
-    u = (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
+    u = (F.shiftrightunsigned("_h", 11).cast("double") + 0.5) / float(1 << 53)
     # 1 - exp(-key) is uniform for weight 1: slices of it are about even whatever the weights' mix
     rows = rows.withColumn("key", -F.ln(u) / F.coalesce("weight", F.lit(1.0))).withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * SLICES).cast("int"))
     rows = cut(rows.select(*names))
@@ -86,7 +86,8 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, *, weights: tuple[flo
     part = at.where("slice = end").withColumn("through", F.col("before") + F.sum("size").over(w))
     part = part.withColumn("more", (F.col("through") - F.col("size") / 2 <= F.col("left")).cast("long")).drop("through")
     out = whole.unionByName(part)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("more"))).alias("taken"))
+    times = F.when(F.col("size") > 0, F.col("epochs") + F.col("more")).otherwise(0)
+    return out.select(*keep, "doc_id", "source", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
 
 
 def _small(df: DataFrame, rows: int = 10_000) -> DataFrame:

@@ -60,6 +60,7 @@ def count_tokens(docs: DataFrame, model_path: str, *, limit: int = 4096, text: s
     shared = spark.sparkContext.broadcast((model.cut_pattern, whole_tokens(model)))
     new = ["n_bytes", "n_tokens", "over_limit"]
     kept = [c for c in docs.columns if c not in new]
+    read = kept if text in kept else [*kept, text]
 
     def run(batches):
         import sentencepiece
@@ -77,4 +78,4 @@ def count_tokens(docs: DataFrame, model_path: str, *, limit: int = 4096, text: s
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *cols], names=[*kept, *new])
 
     full = T.StructType([*docs.select(*kept).schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
-    return docs.select(*kept).mapInArrow(run, full)
+    return docs.select(*read).mapInArrow(run, full)

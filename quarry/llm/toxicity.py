@@ -148,7 +148,9 @@ def fit(docs: list[tuple[int, set[str]]]) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int = SAMPLE) -> Model:
     """docs (doc_id, text) and labels (doc_id, label 0 or 1): fits on at most `sample` documents of each label, the first by
-    a hash of doc_id. Rows with null label, or labelled documents that are missing, teach nothing."""
+    a hash of doc_id. Rows with null or other labels or null doc_id, and labelled documents that are missing, teach nothing; null
+    texts teach as empty ones; of several labels of a doc_id and label one counts; rows that repeat a labelled doc_id all teach, within
+    twice the sample; empty tables give the model of no weights. Other columns are not read."""
     rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     order = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = None
@@ -172,22 +174,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """Adds score double (0 to 1) and predicted int (1 from THRESHOLD on) to each row.
+def score(docs: DataFrame, model: Model, *, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Adds the score double (0 to 1) and predicted int (1 from THRESHOLD on) to each row, under these names.
 
     Null texts score as empty ones (the bias); long texts are read whole; rows stay as they are, repeated rows score the
-    same; an empty table stays empty; columns named score or predicted are replaced. Narrow; the model (at most FEATURES
+    same; an empty table stays empty; columns that bear these names are replaced. Narrow; the model (at most FEATURES
     weights) is broadcast."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    kept = [c for c in docs.columns if c not in names]
+    read = kept if text in kept else [*kept, text]
 
     def run(batches):
         memo: dict = {}
         m = shared.value
         for batch in batches:
             s = [m.score(words_of(x or ""), memo) for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32())], names=[*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32())], names=[*kept, *names])
 
-    return docs.select(*kept).mapInArrow(run, T.StructType([*docs.select(*kept).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.select(*read).mapInArrow(run, T.StructType([*docs.select(*kept).schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))

@@ -50,6 +50,22 @@ def test_mix_and_ids(stages):
     assert len(out) == sum(times.values()) and all(r["round_trip"] and len(r["token_ids"]) == r["n_tokens"] > 0 for r in out)
 
 
+def test_clashing_columns_and_missing_ids(spark, stages):
+    """Columns named as what the stages add, null doc_ids, repeated ones: all pass as they came."""
+    names = ["score", "predicted", "clean", "times", "copy", "rid", "row", "n", "size", "key", "sid"]
+    few = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in stages[0].orderBy("doc_id").limit(60).collect()]
+    few += [(None, "some words without an id", "en", "s", 24), (None, "quite other words, and no id either", None, None, 35), (3, "a second text of this id", "en", "s", 24), (None, None, None, None, None)]
+    df = spark.createDataFrame([(*r, *(f"{c}{i}" for c in names)) for i, r in enumerate(few)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    marks = {r[5][5:]: r for r in ([*r[:5], f"score{i}"] for i, r in enumerate(few))}
+    for _, f in cp.STAGES[:-1]:
+        df = cut(f(spark, df, SF))
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        for r in df.collect():
+            i = r["score"][5:]
+            assert [r[c] for c in names] == [f"{c}{i}" for c in names] and (r["doc_id"], r["lang"], r["source"]) == (marks[i][0], marks[i][2], marks[i][3])
+    assert cp.STAGES[-1][1](spark, df, SF).count() == df.count() > 0
+
+
 def test_empty_table(spark, stages):
     none = stages[0].limit(0)
     for _, f in cp.STAGES[:-1]:
