@@ -7,14 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import mixing, ngram_join, pii, spm, toxicity
-from quarry.llm.common import cut, release, table
+from quarry.llm.common import cut, only_result, pick, release, table
 from quarry.llm.queries import quality_weights, vocabulary
 
 
+def unused(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with underscores in front until no column of docs bears it."""
+    out = []
+    for n in names:
+        while n.lower() in {c.lower() for c in docs.columns}:
+            n = "_" + n
+        out.append(n)
+    return tuple(out)
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not predict to be toxic."""
+    """Documents that the classifier does not predict to be toxic, as they are. Null and empty texts score as the bias; rows of
+    one text share their fate; an empty table stays empty; other columns pass through, whatever their names."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id"))))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    names = unused(docs, "score", "predicted")
+    return toxicity.score(docs, model, names=names).where(F.col(names[1]) == 0).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,23 +36,32 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind; n_chars follows."""
-    out = pii.find(docs, pii.train(docs), redacted="clean")
-    return out.withColumnRenamed("clean", "text").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Texts with personal data replaced by its kind; n_chars follows. Null texts stay null, with n_chars null; all rows stay; an
+    empty table stays empty; other columns pass through, whatever their names."""
+    out = pii.find(docs, pii.train(docs), redacted="text")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix has it; documents without words are in no mix."""
-    mixed = mixing.mix(docs, quality_weights(spark, sf_dir)).where("taken > 0")
-    times = mixed.groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times"))
-    times = times.withColumnRenamed("doc_id", "mixed_id")
-    both = docs.join(times, docs["doc_id"].eqNullSafe(times["mixed_id"]))
-    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    """Each document as often as the mix has it, by row: rows that share a doc_id, or have none, are mixed each for themselves.
+    Documents without words, null texts among them, are in no mix; null sources are one; an empty table stays empty; other columns pass
+    through, whatever their names."""
+    held = cut(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row")), compression="zstd")
+    rows = held.select("rid", *(F.col("row")[c].alias(c) for c in ("doc_id", "text", "source")))
+    times = cut(mixing.mix(rows, quality_weights(spark, sf_dir), keep=("rid",)).where("times > 0").select("rid", "times"))
+    most = times.agg(F.coalesce(F.max("times"), F.lit(0))).first()[0]
+    out = held.limit(0)
+    for i in range(1, most + 1):
+        out = out.unionByName(pick(held, times.where(F.col("times") >= i)))
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def encode_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document of the mix, and whether decoding them gives its text back."""
-    out = spm.encode(docs, vocabulary("piece_bpe_32k.model"))
+    """Token ids of each document of the mix, and whether decoding them gives its text back. Null texts have no ids; all rows stay,
+    repeated ones with equal ids; an empty table stays empty; other columns are not read."""
+    out = spm.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary("piece_bpe_32k.model"))
     return out.select("doc_id", "lang", "source", "n_bytes", "n_tokens", "ids_crc32", "round_trip", "token_ids")
 
 
@@ -60,10 +81,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents. Null texts pass as empty, are no one's copy and are dropped by the mix; an empty table
     gives an empty result."""
     docs = table(spark, sf_dir, "documents")
-    before = None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-        if before is not None:
-            release(before)
         before = docs
+        with only_result(spark):
+            docs = cut(stage(spark, before, sf_dir))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
