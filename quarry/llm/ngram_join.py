@@ -144,8 +144,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFram
     texts = cut(pick(sets.select("rid", "text"), wanted), compression="zstd")
     degrees = cut(pairs.groupBy("q").agg(F.count("*").alias("rows")).withColumn("groups", F.ceil(F.col("rows") / GROUP).cast("int")))
     asked = degrees.join(texts.withColumnRenamed("rid", "q"), "q").select("q", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast("long").alias("x"), "text")
-    given = join_hot(pairs, degrees, "q", "rows", pairs.count()).select("q", F.pmod(F.xxhash64("x"), F.col("groups")).cast("int").alias("g"), F.col("x").alias("rid"))
-    given = given.join(texts, "rid").select("q", "g", F.col("rid").alias("x"), "text")
+    # written first: as a table of known size it is broadcast where it is small, and the texts stay where they are
+    dealt = cut(join_hot(pairs, degrees, "q", "rows", pairs.count()).select("q", F.pmod(F.xxhash64("x"), F.col("groups")).cast("int").alias("g"), F.col("x").alias("rid")))
+    given = dealt.join(texts, "rid").select("q", "g", F.col("rid").alias("x"), "text")
 
     def run(batches):
         query = None
@@ -161,7 +162,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFram
 
     met = given.unionByName(asked).repartition("q", "g").sortWithinPartitions("q", "g", F.col("x").asc_nulls_first())
     links = cut(met.select("q", "x", "text").mapInArrow(run, "a long, b long"))
-    release(texts, degrees)
+    release(texts, degrees, dealt)
     return links
 
 
@@ -321,9 +322,13 @@ def _rooted(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
         roots = components(links)
     release(rest)
 
-    at = join_hot(sets.select("rid", "doc_id", "n", F.xxhash64("text").alias("h"), "sid"), firsts, "sid", "rows", sets.count()).join(roots, "node", "left")
+    # rows of a set of its own are its node
+    again = cut(firsts.where("rows > 1"))
+    rows = sets.where("sid is not null").select("rid", "doc_id", "n", F.xxhash64("text").alias("h"), "sid")
+    at = join_hot(rows, again, "sid", "rows", sets.count()).select("rid", "doc_id", "n", "h", "node")
+    at = at.unionByName(rows.join(again.select("sid"), "sid", "left_anti").select("rid", "doc_id", "n", "h", F.col("rid").alias("node"))).join(roots, "node", "left")
     at = at.select("rid", "doc_id", "n", "h", F.coalesce("root", "node").alias("root"))
     none = sets.where("sid is null").select("rid", "doc_id", "n", F.xxhash64("text").alias("h"), F.lit(None).cast("long").alias("root"))
     out = cut(at.unionByName(none))
-    release(firsts, reps, met, links, roots)
+    release(firsts, again, reps, met, links, roots)
     return out, sets
