@@ -8,7 +8,7 @@ enough is probed for. Over a cluster:
 2. Equal sets are one from here on. Each puts its rarest elements, size - ceil(p size / 100) + SHORT of them, into inverted lists:
    the short lists. Sets that reach Jaccard p/100 share SHORT of them at least (or T, if that is less).
 3. Each list's members meet its pivot, the set in whose order the element comes first, so the one with the fewest rarer elements
-   of its own, if sizes and positions leave T in reach.
+   of its own, if sizes and positions leave T in reach. Of the pivots that it meets, a set goes on with the one that it meets most often.
 4. Components of the links found settle most lists: those whose members are all in one component are done. The others are merged:
    tiles of bounded size of the lists are dealt to tasks, each task merges the lists of each query set in it and counts
    occurrences; sums over the tasks are the occurrences in all short lists, as sets of two components meet in none that is done.
@@ -25,10 +25,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm import common
 from quarry.llm.common import components, cut, join_hot, pick, release, small_batches
 
 #: log2 of the slots that shingles are counted in; the table is broadcast, half a megabyte whatever the input.
@@ -289,24 +290,32 @@ def _rooted(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     reps = cut(pick(sets.select("rid", "n", "prefix", "sketch"), firsts.select(F.col("node").alias("rid"))).withColumnRenamed("rid", "node"))
     sketches = reps.select("node", "n", "sketch")
     lists = reps.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    # the pivot: first by place, then by size
-    place = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")
-    heads = cut(lists.groupBy("token").agg(F.count("*").alias("c"), F.min_by("node", place).alias("pivot"), F.min(place).alias("place")).where("c > 1"))
     total = reps.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
-    # most elements are in one list alone: a filter of fixed size keeps those lists from being shuffled
+    # most elements are in one list alone: counts are of elements only, and a filter of fixed size drops those before lists move
+    shared = cut(lists.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
     slot = F.shiftrightunsigned("token", 64 - FILTER_BITS).alias("slot")
-    lists = pick(lists.select("*", slot), heads.select(slot), "slot").drop("slot")
-    short = cut(join_hot(lists, heads, "token", "c", total).select("token", "node", "n", "pos", "c", "pivot", F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("m"), F.shiftright("place", 32).alias("at")))
-    release(heads)
-
-    near = cut(short.where("node <> pivot").where(_in_reach("n", "pos", "m", "at", percent)).select(F.col("pivot").alias("q"), F.col("node").alias("x")).distinct())
+    lists = pick(lists.select("*", slot), shared.select(slot), "slot").drop("slot")
+    # the pivot: first by place, then by size. Long lists stay where they are, the others meet by element, once
+    lists = lists.withColumn("place", F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n"))
+    hot = cut(shared.where(F.col("c") > max(total // common.MOST_HOT, common.LEAST_HOT)).select("token"))
+    w = Window.partitionBy("token").orderBy("place", "node")
+    cold = lists.join(F.broadcast(hot), "token", "left_anti").select("*", F.first("node").over(w).alias("pivot"), F.first("place").over(w).alias("first"), F.count("*").over(Window.partitionBy("token")).alias("c")).where("c > 1")
+    long = lists.join(F.broadcast(hot), "token")
+    heads = long.groupBy("token").agg(F.min_by("node", "place").alias("pivot"), F.min("place").alias("first"), F.count("*").alias("c"))
+    short = cold.unionByName(long.join(F.broadcast(heads), "token"))
+    short = cut(short.select("token", "node", "n", "pos", "pivot", F.col("first").bitwiseAND(F.lit((1 << 32) - 1)).alias("m"), F.shiftright("first", 32).alias("at")))
+    release(shared, hot)
+
+    # of the pivots that a set meets, the one that it shares most lists with: step 4 finds what that misses
+    near = short.where("node <> pivot").where(_in_reach("n", "pos", "m", "at", percent)).groupBy("node", "pivot").agg(F.count("*").alias("occ"))
+    near = cut(near.groupBy(F.col("node").alias("x")).agg(F.max_by("pivot", F.shiftleft("occ", 32) - F.pmod("pivot", F.lit(1 << 31))).alias("q")).select("q", "x"))
     met = _sketched(near, sketches, percent)
     release(near)
     links = _verify(met, sets, k, percent)
     roots = components(links)
 
     # lists that still hold sets of several components
-    held = short.where("c > 2").select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = short.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     held = cut(held)
     release(short)
     mixed = cut(held.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("c")).where("r <> s").select("token", "c"))
