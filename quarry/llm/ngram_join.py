@@ -287,7 +287,7 @@ def _rooted(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     counts = spark.sparkContext.broadcast(_count_slots(docs, k))
     sets = cut(_sets(docs, k, percent, counts), compression="zstd")
     firsts = cut(sets.where("sid is not null").groupBy("sid").agg(F.min("rid").alias("node"), F.count("*").alias("rows")))
-    reps = cut(pick(sets.select("rid", "n", "prefix", "sketch"), firsts.select(F.col("node").alias("rid"))).withColumnRenamed("rid", "node"))
+    reps = pick(sets.select("rid", "n", "prefix", "sketch"), firsts.select(F.col("node").alias("rid"))).withColumnRenamed("rid", "node")
     sketches = reps.select("node", "n", "sketch")
     lists = reps.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     total = reps.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
@@ -339,5 +339,5 @@ def _rooted(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     at = at.select("rid", "doc_id", "n", "h", F.coalesce("root", "node").alias("root"))
     none = sets.where("sid is null").select("rid", "doc_id", "n", F.xxhash64("text").alias("h"), F.lit(None).cast("long").alias("root"))
     out = cut(at.unionByName(none))
-    release(firsts, again, reps, met, links, roots)
+    release(firsts, again, met, links, roots)
     return out, sets
