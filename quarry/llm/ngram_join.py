@@ -34,8 +34,8 @@ from quarry.llm.common import components, cut, join_hot, pick, release, small_ba
 
 #: log2 of the slots that shingles are counted in; the table is broadcast, half a megabyte whatever the input.
 SLOT_BITS = 16
-#: log2 of the bits of the filter of elements that several lists hold: broadcast, 16 MB at most.
-FILTER_BITS = 27
+#: log2 of the bits of the filter of elements that several lists hold: broadcast, 4 MB at most.
+FILTER_BITS = 25
 #: Long words of a parity sketch.
 SKETCH = 8
 #: Elements that must turn up in short lists; members of a tile's side; candidates that a query's text is sent with, about.
