@@ -44,8 +44,10 @@ def human_size(size: Column) -> Column:
     return out.when(size >= 1 << 10, F.concat(_fixed(size, 10, 1), F.lit(" KB"))).otherwise(F.concat(size.cast("long").cast("string"), F.lit(" B")))
 
 
-def human_date(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm")
+def human_date(seconds: Column, zone: str | None = None) -> Column:
+    """Date and minute in the zone, the session's by default."""
+    at = F.timestamp_seconds(seconds)
+    return F.date_format(at if zone is None else F.from_utc_timestamp(F.to_utc_timestamp(at, F.current_timezone()), zone), "yyyy-MM-dd HH:mm")
 
 
 # Classes of files by extension.

@@ -308,14 +308,11 @@ def pinned(spark, d):
     return stats.pinned(c.select(F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("path"), F.when(F.col("turn") % 2 == 0, "pin").otherwise("unpin").alias("action"), F.col("turn").alias("at")))
 
 
-WORD = r"(?i)(^|[^\p{L}\p{N}])(the)($|[^\p{L}\p{N}])"
-
-
-@register("snippet_html", f"""WITH {DOCS}, m AS (SELECT path, content, regexp_extract(content, '(?is)^(.*?)(\\bthe\\b)', 1) AS pre FROM docs WHERE language = 'en' AND regexp_matches(content, '(?i)\\bthe\\b'))
- SELECT path, regexp_replace(substr(content, greatest(length(pre) - 75, 0)::BIGINT + 1, 150), '(?i)\\b(the)\\b', '<b>\\1</b>', 'g') AS snippet FROM m""")
+@register("snippet_html", rf"""WITH {DOCS}, m AS (SELECT path, content, regexp_extract(content, '(?is)^(.*?(?:^|[^\p{{L}}\p{{N}}]))the(?:$|[^\p{{L}}\p{{N}}])', 1) AS pre FROM docs WHERE regexp_matches(content, '(?i)(^|[^\p{{L}}\p{{N}}])the($|[^\p{{L}}\p{{N}}])')),
+ c AS (SELECT path, substr(content, greatest(length(pre) - 75, 0)::BIGINT + 1, 150) AS cut FROM m)
+ SELECT path, array_to_string(list_transform(regexp_extract_all(cut, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+'), lambda t: CASE WHEN lower(t) = 'the' THEN '<b>' || t || '</b>' ELSE t END), '') AS snippet FROM c""")
 def snippet_html(spark, d):
-    docs = corpus(spark, d).where("language = 'en'")
-    return docs.select("path", fn.snippet(F.col("content"), ["the"]).alias("snippet")).where("snippet is not null")
+    return corpus(spark, d).select("path", fn.snippet(F.col("content"), ["the"]).alias("snippet")).where("snippet is not null")
 
 
 @register("highlight_spans", f"WITH {DOCS} SELECT path, len(regexp_extract_all(content, '(?i)(the|and)')) AS hits, strlen(content)::BIGINT AS bytes FROM docs")
@@ -349,7 +346,7 @@ def human_size(spark, d):
 
 @register("human_date", f"WITH {DOCS} SELECT path, strftime(to_timestamp(modified) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS human FROM docs")
 def human_date(spark, d):
-    return corpus(spark, d).select("path", F.date_format(F.to_utc_timestamp(F.timestamp_seconds("modified"), F.current_timezone()), "yyyy-MM-dd HH:mm").alias("human"))
+    return corpus(spark, d).select("path", fn.human_date(F.col("modified"), "UTC").alias("human"))
 
 
 @register("badges", f"WITH {DOCS} SELECT path, CASE extension WHEN 'pdf' THEN 'pdf' WHEN 'rs' THEN 'code' WHEN 'json' THEN 'code' ELSE 'text' END AS badge FROM docs")
