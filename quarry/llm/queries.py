@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import annq, ego_join, mixing, ngram_join, outputs, pii, secrets, spm, tokencount, toxicity
+from quarry.llm import annq, ego_join, mixing, ngram_join, outputs, pii, secrets, spm, tokencount, toxicity, words
 from quarry.llm.common import table
 
 #: Where the vocabulary files lie; None: the installed public_tokenizers package.
@@ -28,7 +28,7 @@ def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabularies=[vocabulary(f) for f in words.FILES])
 
 
 def op2_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:

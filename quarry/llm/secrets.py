@@ -11,13 +11,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quarry.llm.common import small_batches
-from quarry.llm.words import COMMON
+from quarry.llm.words import MOST, common, installed
 
 # The base patterns, as the contract of the query has them.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -33,7 +35,7 @@ _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Values as dear as this, in powers of ten guesses, count as secrets.
 LEAST_COST = 10.0
 
-# Words that people choose, by rank; after them come the words of prose.
+# Words that people choose, by rank; after them come the words of the vocabularies.
 WORDS = (
     "password love hello welcome admin login letmein monkey dragon master sunshine princess football baseball shadow michael "
     "superman batman trustno ninja mustang access flower freedom whatever starwars computer summer winter spring autumn "
@@ -42,8 +44,6 @@ WORDS = (
     "joshua matthew chelsea arsenal liverpool london paris berlin madrid system server database change default temp public "
     "private token key example sample my your the and for you me is pass word com net org"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *COMMON]))}
-LONGEST = max(map(len, RANK))
 LOOKS = str.maketrans({"4": "a", "@": "a", "3": "e", "0": "o", "1": "l", "!": "i", "5": "s", "$": "s", "7": "t", "8": "b"})
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 
@@ -71,11 +71,17 @@ def _alphabet(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
 
-def word_cost(value: str) -> float | None:
+@lru_cache(maxsize=4)
+def ranks(vocabularies: tuple[str, ...] | None = None) -> dict[str, int]:
+    """Known words by rank: WORDS, then those of the vocabulary files (None: the installed ones). Kept a worker and choice of files."""
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *common(installed() if vocabularies is None else vocabularies)]))}
+
+
+def word_cost(value: str, known: dict[str, int] | None = None) -> float | None:
     """What a known word of three letters at least costs, by rank, capitals and look-alikes; None for others."""
     low = value.lower()
     plain = low.translate(LOOKS)
-    rank = RANK.get(plain) if len(value) >= 3 else None
+    rank = (ranks() if known is None else known).get(plain) if len(value) >= 3 else None
     return math.log10(rank) + 0.3 * (value != low) + 0.3 * (low != plain) if rank else None
 
 
@@ -83,16 +89,17 @@ def date_cost(value: str) -> float | None:
     return math.log10(365 * 120 if len(value) > 4 else 120) if len(value) in DATES and _DATE.fullmatch(value) else None
 
 
-def unit_cost(value: str) -> float:
+def unit_cost(value: str, known: dict[str, int] | None = None) -> float:
     """What the unit of a repeat costs: as a word or by brute force."""
-    return min(sum(map(_alphabet, value)), word_cost(value) or math.inf)
+    return min(sum(map(_alphabet, value)), word_cost(value, known) or math.inf)
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, known: dict[str, int] | None = None) -> float:
     """log10 of the guesses that the cheapest segmentation takes; 0 for an empty value.
 
     Spans: a word, a date, a unit of up to UNIT characters two or more times in a row, a walk of WALK or more keys, and any span
-    by brute force. Each costs its own, and 1 more unless it is the first."""
+    by brute force. Each costs its own, and 1 more unless it is the first. known: words by rank, ranks() if None."""
+    known = ranks() if known is None else known
     n = len(value)
     low = value.lower()
     plain = low.translate(LOOKS)
@@ -104,9 +111,9 @@ def guess_cost(value: str) -> float:
     for j in range(1, n + 1):
         brute[j] = min(brute[j - 1], best[j - 1] + (j > 1)) + _alphabet(value[j - 1])
         least = brute[j]
-        for i in range(max(0, j - LONGEST), j - 2):
-            if plain[i:j] in RANK:
-                least = min(least, best[i] + (i > 0) + word_cost(value[i:j]))
+        for i in range(max(0, j - MOST), j - 2):
+            if plain[i:j] in known:
+                least = min(least, best[i] + (i > 0) + word_cost(value[i:j], known))
         if low[j - 1].isdigit():
             for i in range(max(0, j - DATES[-1]), j - DATES[0] + 1):
                 if low[i].isdigit() and (cost := date_cost(low[i:j])) is not None:
@@ -125,7 +132,7 @@ def guess_cost(value: str) -> float:
             same[p] = same[p] + 1 if j > p and value[j - 1] == value[j - 1 - p] else 0
             if same[p] >= p:
                 i = j - 2 * p
-                repeats[p][j] = min(repeats[p][j - p], best[i] + (i > 0) + unit_cost(value[j - p : j]) + TIMES)
+                repeats[p][j] = min(repeats[p][j - p], best[i] + (i > 0) + unit_cost(value[j - p : j], known) + TIMES)
                 least = min(least, repeats[p][j])
         best[j] = least
     return best[n]
@@ -141,7 +148,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return out + [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
 
 
-def guessed_spans(text: str, base: list[tuple[int, str, int]], least: float = LEAST_COST) -> list[tuple[int, str, int, float]]:
+def guessed_spans(text: str, base: list[tuple[int, str, int]], least: float = LEAST_COST, known: dict[str, int] | None = None) -> list[tuple[int, str, int, float]]:
     """Values in a credential's context that no base span meets and whose guess cost is at least that, whatever characters
     they consist of."""
     low = text.lower()
@@ -152,24 +159,25 @@ def guessed_spans(text: str, base: list[tuple[int, str, int]], least: float = LE
         value, a = m[1].rstrip(".:)]}!?"), m.start(1)
         b = a + len(value)
         if len(value) >= 8 and not any(s < b and a < e for s, _, e in base) and not (out and a < out[-1][2]):
-            if (cost := guess_cost(value)) >= least:
+            if (cost := guess_cost(value, known)) >= least:
                 out.append((a, "guess", b, cost))
     return out
 
 
-def assigned_cost(text: str, base: list[tuple[int, str, int]]) -> float | None:
+def assigned_cost(text: str, base: list[tuple[int, str, int]], known: dict[str, int] | None = None) -> float | None:
     """The largest guess cost of the values of assignments that base spans hold; None if there is none."""
-    return max((guess_cost(ASSIGN.match(text, a)[2]) for a, kind, _ in base if kind == "assign"), default=None)
+    return max((guess_cost(ASSIGN.match(text, a)[2], known) for a, kind, _ in base if kind == "assign"), default=None)
 
 
 def join_spans(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(spans, key=lambda x: (x[0], KINDS.index(x[1]), x[2])))
 
 
-def scan(docs: DataFrame, *, text: str = "text", least: float = LEAST_COST) -> DataFrame:
+def scan(docs: DataFrame, *, text: str = "text", least: float = LEAST_COST, vocabularies: Sequence[str] | None = None) -> DataFrame:
     """Replaces the text by n_assign, n_access, n_hex, n_guess long, base_sha256 string, spans string, max_guess_cost
     double (of the added spans; null if there is none) and max_assign_cost double (of the values that the base pattern of assignments
-    finds, which count whatever they cost). Spans are kind:start:end in code points, end exclusive.
+    finds, which count whatever they cost). Spans are kind:start:end in code points, end exclusive. vocabularies: paths of the
+    files that known words are read from, by each worker (None: those of the installed public_tokenizers package).
 
     A null text counts as empty; long texts are scanned whole; rows, ties and repeated rows stay as they are; an empty
     table gives an empty table; other columns stay, those with a new column's name are replaced. Narrow, no shuffle."""
@@ -177,14 +185,17 @@ def scan(docs: DataFrame, *, text: str = "text", least: float = LEAST_COST) -> D
     new = ["n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans", "max_guess_cost", "max_assign_cost"]
     kept = [c for c in docs.columns if c not in new and c != text]
 
+    files = None if vocabularies is None else tuple(vocabularies)
+
     def run(batches):
+        known = ranks(files)
         for batch in batches:
             rows = []
             for x in batch.column(batch.schema.get_field_index(text)).to_pylist():
                 base = base_spans(x or "")
-                more = guessed_spans(x or "", base, least)
+                more = guessed_spans(x or "", base, least, known)
                 kinds = [k for _, k, _ in base]
-                rows.append((*(kinds.count(k) for k in KINDS[:3]), len(more), hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans([*base, *(m[:3] for m in more)]), max((m[3] for m in more), default=None), assigned_cost(x or "", base)))
+                rows.append((*(kinds.count(k) for k in KINDS[:3]), len(more), hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans([*base, *(m[:3] for m in more)]), max((m[3] for m in more), default=None), assigned_cost(x or "", base, known)))
             cols = list(zip(*rows, strict=True)) or [()] * 8
             arrays = [pa.array(c, pa.int64() if i < 4 else pa.string() if i < 6 else pa.float64()) for i, c in enumerate(cols)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *arrays], names=[*kept, *new])

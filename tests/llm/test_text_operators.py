@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, ngram_join, outputs, pii, secrets, spm, tokencount, toxicity
+from quarry.llm import mixing, ngram_join, outputs, pii, secrets, spm, tokencount, toxicity, words
 from quarry.llm.queries import vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -136,6 +136,17 @@ def test_guess_cost():
     assert more("the pwd is xK9#mQ2$vL7! now") == ["xK9#mQ2$vL7"] and more("passphrase: password1") == [] and more("auth is something") == []
 
 
+def test_known_words_come_from_the_files_named(spark):
+    """Of all four formats of files; other files give other words, none the chosen ones alone."""
+    for path in words.installed():
+        found = list(words.tokens(path))
+        assert len(found) > 30_000 and {"that", "because"} <= {t.lower() for t in found} and not {"</w>", "▁that", "Ġthat"} & set(found), path
+    assert words.common(()) == () and set(secrets.ranks(())) == set(secrets.WORDS)
+    assert secrets.guess_cost("government") < 5 < secrets.guess_cost("government", secrets.ranks(()))
+    df = spark.createDataFrame([(1, "the passphrase is configuration here")], "doc_id long, text string")
+    assert [secrets.scan(df, vocabularies=v).first()["n_guess"] for v in (None, words.installed(), [])] == [0, 0, 1]
+
+
 def test_guess_cost_decides_for_all_values():
     """Values of letters alone, of digits alone and with separators, and words of prose."""
     more = lambda t: [t[a:b] for a, _, b, _ in secrets.guessed_spans(t, secrets.base_spans(t))]
