@@ -203,13 +203,11 @@ def merge_lists(tile, asks, meets, node, n, pos, root, percent: int):
 
 def _occurrences(held: DataFrame, percent: int) -> DataFrame:
     """(a, b, occ, n, m): pairs of sets of different components, in how many lists they meet, and their sizes, if T is in
-    reach. held: (token, node, n, pos, root), lists of sets of several components, cut().
+    reach. held: (token, node, n, pos, root, c), lists of sets of several components and their numbers of rows, cut().
 
     A list is cut into parts of TILE members, and a tile is a pair of parts, one that asks, one that is met."""
-    sizes = held.groupBy("token").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"), F.count("*").alias("rows"))
-    sizes = cut(sizes)
     rows = held.count()
-    own = join_hot(held, sizes, "token", "rows", rows).withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    own = held.withColumn("parts", F.ceil(F.col("c") / TILE).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # part i asks in tiles (i, j) with j >= i, and is met in tiles (j, i) with j <= i
     tiles = own.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j")).select("token", F.least("i", "j").alias("t"), F.greatest("i", "j").alias("u"), (F.col("i") <= F.col("j")).alias("asks"), (F.col("j") <= F.col("i")).alias("meets"), "node", "n", "pos", "root")
     tiles = tiles.select(F.xxhash64("token", "t", "u").alias("tile"), "token", "t", "u", "asks", "meets", "node", "n", "pos", "root")
@@ -319,7 +317,7 @@ def _rooted(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     held = cut(held)
     release(short)
     mixed = cut(held.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("c")).where("r <> s").select("token", "c"))
-    held_mixed = cut(join_hot(held, mixed, "token", "c", total).drop("c"))
+    held_mixed = cut(join_hot(held, mixed, "token", "c", total))
     release(held, mixed)
     least = f"least({SHORT}, ceil({percent} * (n + m) / {100 + percent}))"
     rest = cut(_occurrences(held_mixed, percent).where(f"occ >= {least}").select(F.col("a").alias("q"), F.col("b").alias("x")))
