@@ -291,7 +291,8 @@ def _rooted(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     total = reps.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     # most elements are in one list alone: counts are of elements only, and a filter of fixed size drops those before lists move
     shared = cut(lists.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
-    slot = F.shiftrightunsigned("token", 64 - FILTER_BITS).alias("slot")
+    # by low bits: the high ones decide what is rare, so the rarest elements crowd in few values of them
+    slot = F.col("token").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("slot")
     lists = pick(lists.select("*", slot), shared.select(slot), "slot").drop("slot")
     # the pivot: first by place, then by size. Long lists stay where they are, the others meet by element, once
     lists = lists.withColumn("place", F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n"))
