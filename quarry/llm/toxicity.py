@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,13 +84,9 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def fit(docs: list[tuple[int, set[str]]]) -> Model:
-    """docs: (label, words). Both labels weigh the same, so a score of 0.5 is where they balance. With one label only, or none,
-    there is nothing to tell apart: no weights."""
-    labels = np.array([y for y, _ in docs], float)
-    pos = labels.sum()
-    if not 0 < pos < len(labels):
-        return Model(-4.0 if not pos else 4.0, {})
+def fit(docs: Iterable[tuple[int, set[str]]]) -> Model:
+    """docs: (label, words), read once and held as numbers of features. Both labels weigh the same, so a score of 0.5 is where they
+    balance. With one label only, or none, there is nothing to tell apart: no weights."""
     # features by number; a word's are found once, so that each string is held once
     number: dict[str, int] = {}
     known: dict[str, tuple[int, ...]] = {}
@@ -101,11 +98,19 @@ def fit(docs: list[tuple[int, set[str]]]) -> Model:
 
     for w in SWAP:
         of(w)
-    rows_of = [np.unique(np.fromiter((i for w in ws for i in of(w)), np.int32)) for _, ws in docs]
-    pairs = [(k, np.unique(np.fromiter((i for w in ws for i in of(SWAP.get(w, w))), np.int32))) for k, (_, ws) in enumerate(docs) if not ws.isdisjoint(SWAP)]
+    given, rows_of, pairs = [], [], []
+    for y, ws in docs:
+        if not ws.isdisjoint(SWAP):
+            pairs.append((len(given), np.unique(np.fromiter((i for w in ws for i in of(SWAP.get(w, w))), np.int32))))
+        given.append(y)
+        rows_of.append(np.unique(np.fromiter((i for w in ws for i in of(w)), np.int32)))
     known.clear()
+    labels = np.array(given, float)
+    pos = labels.sum()
+    if not 0 < pos < len(labels):
+        return Model(-4.0 if not pos else 4.0, {})
     count = np.stack([np.bincount(np.concatenate([np.empty(0, np.int32), *(r for r, y in zip(rows_of, labels, strict=True) if y == v)]), minlength=len(number)) for v in (0, 1)])
-    least = min(LEAST_DOCS, max(2, len(docs) // 200))
+    least = min(LEAST_DOCS, max(2, len(labels) // 200))
     both = count.sum(0)
     neg, share = len(labels) - pos, both / len(labels)
     # how far a feature's shares in the two labels are apart, in standard errors
@@ -128,7 +133,7 @@ def fit(docs: list[tuple[int, set[str]]]) -> Model:
     ai, ar = matrix([np.setdiff1d(rows_of[k], r) for k, r in pairs])
     bi, br = matrix([np.setdiff1d(r, rows_of[k]) for k, r in pairs])
     at = {f: i for i, f in enumerate(names)}
-    n, d = len(docs), len(names)
+    n, d = len(labels), len(names)
     # Adam on the full sample, from zero
     row = np.where(labels == 1, 0.5 / pos, 0.5 / (n - pos))
     w, b = np.zeros(d), 0.0
@@ -166,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: i
 
     small_batches(docs.sparkSession)
     taught = got.select("y", "text").mapInArrow(run, "y int, words string").orderBy("y", F.xxhash64("words"), "words").limit(2 * sample)
-    return fit([(r["y"], set(r["words"].split("\n")) - {""}) for r in taught.toLocalIterator()])
+    return fit((r["y"], set(r["words"].split("\n")) - {""}) for r in taught.toLocalIterator())
 
 
 def held_out(doc_id: Column) -> Column:
