@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -129,6 +129,39 @@ def snippet(text: Column, terms: list[str], width: int = 150) -> Column:
     return F.when(text.rlike(word), F.regexp_replace(cut, word, "<b>$1</b>"))
 
 
+#: Words of a fragment; fragments begin at every half of that.
+FRAGMENT = 24
+
+
+def with_fragments(rows: DataFrame, text: str, terms: list[str], name: str, weights: Column | None = None, most: int = 3) -> DataFrame:
+    """rows with `name`, array<string>: up to `most` disjoint stretches of FRAGMENT words that have terms (single tokens, lower-case), the best
+    first, with the terms in <b>. A stretch's score is the sum of the weights (array<double>, in the terms' order; 1 each by default)
+    of the different terms in it; the earlier is the better among equals. Empty for a null text and without a match."""
+    if not terms:
+        return rows.withColumn(name, F.array().cast("array<string>"))
+    half = FRAGMENT // 2
+    once = lambda df, column, value: df.select("*", F.explode(F.array(value)).alias(column))  # noqa: E731  computed once a row
+    weights = F.array(*[F.lit(1.0)] * len(terms)) if weights is None else weights
+    out = once(rows, "_p", F.coalesce(F.regexp_extract_all(F.col(text), F.lit(r"([\p{L}\p{N}]+[^\p{L}\p{N}]*)"), F.lit(1)), F.array().cast("array<string>")))
+    out = once(out, "_t", F.transform("_p", lambda p: F.lower(F.regexp_extract(p, r"^[\p{L}\p{N}]+", 0))))
+    # for each half stretch, which terms it has
+    halves = F.when(F.size("_t") > 0, F.sequence(F.lit(0), F.floor((F.size("_t") - 1) / half).cast("int")))
+    out = once(out, "_h", F.coalesce(F.transform(halves, lambda k: F.transform(F.array(*map(F.lit, terms)), lambda w: F.array_contains(F.slice("_t", k * half + 1, half), w))), F.array().cast("array<array<boolean>>")))
+    out = once(out, "_w", weights)
+    has = lambda k, i: F.element_at(F.get("_h", k), i + 1) | F.coalesce(F.element_at(F.get("_h", k + 1), i + 1), F.lit(False))
+    score = lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(len(terms) - 1)), F.lit(0.0), lambda a, i: a + F.when(has(k, i), F.get("_w", i)).otherwise(0.0))
+    every = F.filter(F.transform("_h", lambda h, k: F.struct(score(k).alias("score"), (-k).alias("at"))), lambda c: c["score"] > 0)
+    out = once(out, "_c", every)
+    # the best, then the best of those that don't touch it, and so on
+    empty = F.array().cast("array<struct<score:double,at:int>>")
+    pick = lambda left, chosen: F.array_max(F.filter(left, lambda c: ~F.exists(chosen, lambda d: F.abs(c["at"] - d["at"]) < 2)))
+    out = once(out, "_chosen", F.aggregate(F.sequence(F.lit(1), F.lit(most)), empty, lambda a, _: F.concat(a, F.filter(F.array(pick(F.col("_c"), a)), lambda c: c.isNotNull()))))
+    mark = lambda p, t: F.when(t.isin(terms), F.concat(F.lit("<b>"), F.regexp_extract(p, r"^[\p{L}\p{N}]+", 0), F.lit("</b>"), F.regexp_extract(p, r"[^\p{L}\p{N}]*$", 0))).otherwise(p)
+    words = lambda c: F.slice(F.arrays_zip(F.col("_p").alias("p"), F.col("_t").alias("t")), -c["at"] * half + 1, FRAGMENT)
+    shown = F.transform("_chosen", lambda c: F.rtrim(F.array_join(F.transform(words(c), lambda x: mark(x["p"], x["t"])), "")))
+    return out.select(*rows.columns, shown.alias(name))
+
+
 def snippet_spans(snip: Column) -> Column:
     """array<struct<text, hit>> of a snippet with <b> marks."""
     one = lambda t, hit: F.struct(t.alias("text"), F.lit(hit).alias("hit"))

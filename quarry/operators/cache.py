@@ -1,4 +1,4 @@
-"""A cache of result pages by plan: bounded, with a time to live, cleared when the corpus changes."""
+"""A cache of result pages by plan: bounded, with a time to live, cleared when the corpus' version changes."""
 
 from __future__ import annotations
 
@@ -16,9 +16,14 @@ class PageCache:
 
     def __init__(self, entries: int = 100, seconds: float = 300.0, clock: Callable[[], float] = time.monotonic) -> None:
         self.entries, self.seconds, self.clock = entries, seconds, clock
+        self.version: object = None
         self._pages: OrderedDict[SearchPlan, tuple[float, DataFrame]] = OrderedDict()
 
-    def get(self, plan: SearchPlan, make: Callable[[SearchPlan], DataFrame]) -> DataFrame:
+    def get(self, plan: SearchPlan, make: Callable[[SearchPlan], DataFrame], version: object = None) -> DataFrame:
+        """The plan's page of the corpus' version; pages of another version are gone."""
+        if version != self.version:
+            self.clear()
+            self.version = version
         now = self.clock()
         if (held := self._pages.get(plan)) and now - held[0] < self.seconds:
             return held[1]

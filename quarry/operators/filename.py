@@ -33,6 +33,11 @@ def search(files: DataFrame, query: str, limit: int) -> DataFrame:
     return hits.select("path", "name", match_score(F.col("name"), q).alias("score")).orderBy("score", F.lower("name"), "path").limit(limit)
 
 
+def as_hits(found: DataFrame) -> DataFrame:
+    """Hits as a result list shows them: score 1, the name as title, neither size nor time."""
+    return found.select(F.lit(1.0).alias("score"), "path", F.col("name").alias("title"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("modified"))
+
+
 def stats(files: DataFrame) -> DataFrame:
     """Number of names and their bytes: path, name and 32 more for each."""
     return files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum(F.octet_length("path") + F.octet_length("name") + 32), F.lit(0)).alias("n_bytes"))

@@ -1,108 +1,58 @@
-"""Ingest of a folder into the engine's tables, and live changes of them.
-
-Tables lie in versioned folders below a root; a small pointer file names the current version, and is replaced last, so readers see
-all of a change or nothing of it.
-"""
+"""Ingest of a folder into a store, and live changes of it."""
 
 from __future__ import annotations
 
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from quarry.operators import state as st
-from quarry.operators.index import _fs, exists
+from quarry.operators.store import Store
 from quarry.plans.settings import Settings
 from quarry.sources import files as src
+from quarry.streaming import watch
 
-TABLES = {
-    "documents": "path string, content string, title string, extension string, language string, keywords string, modified long, size long, content_hash string, indexed_at long",
-    "file_state": "path string, modified long, size long, content_hash string, indexed_at long",
-    "filenames": "path string, name string",
-}
-
-
-class Store:
-    """The three tables of a corpus."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def version(self) -> str | None:
-        pointer = f"{self.root}/CURRENT"
-        if not exists(self.spark, pointer):
-            return None
-        rows = self.spark.read.text(pointer).collect()
-        return rows[0][0] if rows else None
-
-    def read(self, table: str) -> DataFrame:
-        v = self.version()
-        if v is None:
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{v}/{table}")
-
-    def commit(self, tables: dict[str, DataFrame]) -> str:
-        """Writes a new version of all tables; those not given are taken over."""
-        v = f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:6]}"
-        for name in TABLES:
-            df = tables.get(name, None)
-            (self.read(name) if df is None else df).write.parquet(f"{self.root}/{v}/{name}")
-        at, fs = _fs(self.spark, f"{self.root}/CURRENT.{v}")
-        out = fs.create(at, True)
-        out.write(bytearray(v.encode()))
-        out.close()
-        to, _ = _fs(self.spark, f"{self.root}/CURRENT")
-        fs.delete(to, False)
-        fs.rename(at, to)
-        return v
-
-    def clear(self) -> None:
-        self.commit({n: self.spark.createDataFrame([], s) for n, s in TABLES.items()})
-
-    def purge(self, folder: str) -> None:
-        self.commit({n: st.purge(self.read(n), folder) for n in TABLES})
-
-    def get_metadata(self, path: str) -> DataFrame:
-        return self.read("file_state").where(F.col("path") == path)
-
-    def all_paths(self) -> DataFrame:
-        return self.read("file_state").select("path")
-
-    def apply(self, docs: DataFrame, removed: DataFrame, now: int) -> str:
-        """Removes paths, then puts documents in: the same path's older row goes."""
-        docs = docs.withColumn("indexed_at", F.lit(now).cast("long"))
-        new = {
-            "documents": docs.where("error is null").select(*(c.split()[0] for c in TABLES["documents"].split(", "))),
-            "file_state": docs.select("path", "modified", "size", "content_hash", "indexed_at"),
-            "filenames": docs.select("path", F.element_at(F.split("path", "/"), -1).alias("name")),
-        }
-        out = {}
-        for name, rows in new.items():
-            gone = removed.select("path").unionByName(rows.select("path"))
-            out[name] = st.delete(self.read(name), gone).unionByName(rows.dropDuplicates(["path"]))
-        return self.commit(out)
+__all__ = ["Store", "change", "ingest", "live", "rebuild"]
 
 
-def ingest(spark: SparkSession, root: str, store: Store, settings: Settings | None = None, *, now: int | None = None, ignore: str = "") -> str | None:
-    """Scans a folder and brings the tables up to date: only files that are new or changed are read, equal contents are extracted
-    once. The new version, or None if nothing changed."""
+def ingest(spark: SparkSession, root: str, store: Store, settings: Settings | None = None, *, now: int | None = None, ignore: str = "") -> int | None:
+    """Scans a folder and brings the store up to date: files that are new or changed are read, equal contents are extracted once, and files
+    that the scan no longer has go. The new version, or None if nothing changed."""
     files = src.scan(spark, root, settings, ignore)
-    todo = st.needs_index(files.drop("content"), store.read("file_state")).select("path")
-    if todo.isEmpty():
+    state = store.read("file_state")
+    todo = st.needs_index(files.drop("content"), state).select("path", "uri")
+    gone = state.join(files.select("path"), "path", "left_anti").select("path")
+    if todo.isEmpty() and gone.isEmpty():
         return None
-    # written before use: contents are read and extracted once, and a lost executor costs none of it
-    staged = f"{store.root}/staged-{uuid.uuid4().hex[:8]}"
-    docs = src.extract_distinct(files.join(todo, "path", "left_semi"))
-    docs.write.parquet(staged)
-    try:
-        return store.apply(spark.read.schema(docs.schema).parquet(staged), spark.createDataFrame([], "path string"), int(time.time()) if now is None else now)
-    finally:
-        at, fs = _fs(spark, staged)
-        fs.delete(at, True)
+    return store.apply(src.extract_distinct(src.contents(spark, files, todo)), gone, int(time.time()) if now is None else now)
 
 
-def rebuild(spark: SparkSession, root: str, store: Store, settings: Settings | None = None, *, now: int | None = None) -> str | None:
+def rebuild(spark: SparkSession, root: str, store: Store, settings: Settings | None = None, *, now: int | None = None, ignore: str = "") -> int | None:
+    """Empties the store and ingests the folder, by the same rules."""
     store.clear()
-    return ingest(spark, root, store, settings, now=now)
+    return ingest(spark, root, store, settings, now=now, ignore=ignore)
+
+
+def change(spark: SparkSession, root: str, store: Store, removed: DataFrame, changed: DataFrame, *, settings: Settings | None = None, ignore: str = "", now: int | None = None, batch: tuple[str, int] | None = None) -> int | None:
+    """Applies a batch of changed paths (relative to root): removed ones go; of the others files that are not there, excluded or of the same
+    time and size are passed over, those of the same content get their new time and size alone, the rest is extracted. A batch that
+    the store has already changes nothing. The driver holds the batch's paths, whose number the stream bounds."""
+    files = src.some(spark, root, [r["path"] for r in changed.select("path").distinct().collect()], settings, ignore)
+    state = store.read("file_state")
+    hashed = files.withColumn("content_hash", F.sha2("content", 256))
+    gate = st.change_gate(changed, hashed.drop("content"), state).where("action <> 'skip'")
+    docs = src.extract_distinct(files.join(gate.where("action = 'index'").select("path"), "path", "left_semi"))
+    old = store.read("documents").drop("modified", "size", "indexed_at")
+    touched = old.join(gate.where("action = 'touch'").select("path", "modified", "size"), "path").withColumn("error", F.lit(None).cast("string"))
+    return store.apply(docs.unionByName(touched, allowMissingColumns=True), removed, int(time.time()) if now is None else now, batch)
+
+
+def live(spark: SparkSession, root: str, store: Store, events: DataFrame, checkpoint: str, *, name: str = "changes", settings: Settings | None = None, ignore: str = "", every: str | None = None) -> StreamingQuery:
+    """Keeps a store up to date with a stream of events (path relative to root, action, seq), such as watch.source() or watch.merged() give.
+    Each batch is one change of the store, once: its number is in the manifest, so a batch that is run again after a restart
+    between the store's change and the stream's checkpoint changes nothing."""
+    settings = settings or Settings()
+    run = lambda gone, new, number: change(spark, root, store, gone, new, settings=settings, ignore=ignore, batch=(name, number))
+    return watch.apply_to(events, run, checkpoint, excludes=settings.excludes(), extensions=settings.allowed_extensions(), every=every)

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field, replace
+from datetime import datetime
+from zoneinfo import ZoneInfo
 
 KIB = 1024
 DAY = 86_400
@@ -116,9 +118,12 @@ def inline_filters(query: str, now: int) -> tuple[str, dict]:
     return " ".join(rest), got
 
 
-def date_preset(name: str, now: int) -> int | None:
-    """Lower bound of anytime, today (midnight UTC), week or month (rolling)."""
-    return {"anytime": None, "today": now - now % DAY, "week": now - 7 * DAY, "month": now - 30 * DAY}[name]
+def date_preset(name: str, now: int, zone: str = "UTC") -> int | None:
+    """Lower bound of anytime, today (midnight in the zone), week or month (rolling)."""
+    if name == "today":
+        at = datetime.fromtimestamp(now, ZoneInfo(zone))
+        return int(at.replace(hour=0, minute=0, second=0, microsecond=0).timestamp())
+    return {"anytime": None, "week": max(0, now - 7 * DAY), "month": max(0, now - 30 * DAY)}[name]
 
 
 def whole_words(query: str) -> str:
@@ -145,6 +150,28 @@ def plan(query: str, *, limit: int = 50, now: int = 0, case_sensitive: bool = Fa
     return SearchPlan(q.text, limit, q.min_size if q.min_size is not None else min_size, q.max_size if q.max_size is not None else max_size, min_modified, tuple(sorted(every)), q.path, q.title, case_sensitive, fuzzy, terms)
 
 
+def front(text: str, *, limit: int = 50, now: int = 0, case_sensitive: bool = False, whole_word: bool = False, fuzzy: bool = True, types: str = "", chosen: set[str] | None = None, min_size: str = "", max_size: str = "", unit: str = "MB", size: str = "", date: str = "anytime", zone: str = "UTC", folder: str | None = None) -> SearchPlan:
+    """A search form's plan: the box' text, a comma-separated list of types with those chosen besides, sizes in a unit or, where both are empty,
+    one size filter, a date preset, and a folder. Filters in the text override the fields; extensions add up."""
+    bounds: list[int | None] = [None, None]
+    for i, value in enumerate((min_size, max_size)):
+        # a number of units, decimals cut off; what is none is no bound
+        if m := re.fullmatch(r"\s*(\d+(?:\.\d*)?|\.\d+)\s*", value):
+            bounds[i] = int(float(m[1]) * KIB ** _POWER[unit.upper()])
+    if not min_size.strip() and not max_size.strip():
+        bounds = list(size_filter(size))
+    every = {x.strip().lstrip(".").lower() for x in types.split(",")} - {""} | set(chosen or ())
+    seed = f'path:"{folder}" ' if folder else ""
+    words = text.split()
+    # ext: and size: of the box add up and are integers with a unit; quoted values are the query language's
+    lifted, got = inline_filters(" ".join(w for w in words if '"' not in w and w.partition(":")[0] in ("ext", "size", "modified")), now)
+    rest = " ".join([*(w for w in words if '"' in w or w.partition(":")[0] not in ("ext", "size", "modified")), *lifted.split()])
+    every |= {x.lstrip(".") for x in got["extensions"]} - {""}
+    low, high = (got[k] if got[k] is not None else b for k, b in zip(("min_size", "max_size"), bounds, strict=True))
+    since = got["min_modified"] if got["min_modified"] is not None else date_preset(date, now, zone)
+    return plan(seed + rest, limit=limit, now=now, case_sensitive=case_sensitive, whole_word=whole_word, fuzzy=fuzzy, extensions=every, min_size=low, max_size=high, min_modified=since)
+
+
 # ---- boolean text queries
 
 

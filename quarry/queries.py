@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as fn
 from quarry.operators import filename, index, preview, search, sinks, state, stats
+from quarry.operators.store import Store
 from quarry.plans import query as q
-from quarry.plans.lineage import shared_folder
+from quarry.plans.lineage import new_path
 from quarry.sources.tree import folder_paths
 from quarry.streaming import watch
 
@@ -56,14 +57,18 @@ def ranked_sql(words: list[str], plus: list[str], match: str, limit: int, where:
     """SQL of a scored query: match is over tf1, tf2, ... and content."""
     tf = ", ".join(f"len(list_filter(toks, lambda t: t = '{w}'))::DOUBLE AS tf{i}" for i, w in enumerate(words, 1))
     df = ", ".join(f"sum((tf{i} > 0)::INT)::DOUBLE AS df{i}" for i in range(1, len(words) + 1))
-    score = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i, w in enumerate(words, 1) if w in plus)
+    score = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i, w in enumerate(words, 1) if w in plus) or "0.0::DOUBLE"
     return f"""WITH {DOCS}, t AS (SELECT *, {TOKENS} AS toks FROM docs), c AS (SELECT *, len(toks)::DOUBLE AS dl, {tf} FROM t),
  s AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl, {df} FROM c), h AS (SELECT c.*, round({score}, 6) AS score FROM c, s WHERE {match})
  SELECT {columns} FROM h WHERE {where} ORDER BY score DESC, path LIMIT {limit}"""
 
 
+PLANS: dict[str, q.SearchPlan] = {"ft_all_star": q.plan("*"), "ft_fuzzy_backfill": q.plan("wiht", limit=500), "index_one_word": q.plan("with", limit=20)}
+
+
 def text_query(name: str, text: str, words: list[str], match: str, plus: list[str] | None = None, limit: int = 50, where: str = "TRUE", **fields) -> None:
-    register(name, ranked_sql(words, words if plus is None else plus, match, limit, where))(lambda spark, d: search.search(corpus(spark, d), q.plan(text, limit=limit, now=NOW, fuzzy=False, **fields)).select("path", "score"))
+    PLANS[name] = plan = q.plan(text, limit=limit, now=NOW, fuzzy=False, **fields)
+    register(name, ranked_sql(words, words if plus is None else plus, match, limit, where))(lambda spark, d: search.search(corpus(spark, d), plan).select("path", "score"))
 
 
 text_query("ft_and_bm25", "the and with", ["the", "and", "with"], "tf1 > 0 AND tf2 > 0 AND tf3 > 0")
@@ -77,7 +82,7 @@ text_query("filter_combined", "ext:md path:src1 size:>500B the", ["the"], "tf1 >
 
 @register("ft_all_star", f"WITH {DOCS} SELECT path, 1.0::DOUBLE AS score FROM docs ORDER BY path LIMIT 50")
 def ft_all_star(spark, d):
-    return search.search(corpus(spark, d), q.plan("*")).select("path", "score")
+    return search.search(corpus(spark, d), PLANS["ft_all_star"]).select("path", "score")
 
 
 NEAR = q.near_pattern("wiht")
@@ -95,17 +100,45 @@ NEAR = q.near_pattern("wiht")
  SELECT path, score FROM u ORDER BY score DESC, path LIMIT 500""",
 )
 def ft_fuzzy_backfill(spark, d):
-    return search.search(corpus(spark, d), q.plan("wiht", limit=500)).select("path", "score")
+    return search.search(corpus(spark, d), PLANS["ft_fuzzy_backfill"]).select("path", "score")
+
+
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def indexed(spark: SparkSession, d: str) -> str:
+    """A written index of the documents, in the shared folder; one for the session."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _indexes:
+        path = new_path(spark)
+        index.write(corpus(spark, d), path)
+        _indexes[key] = path
+    return _indexes[key]
 
 
 @register("ft_index_search", ranked_sql(["the", "of", "threr"], ["the", "of", "threr"], "(tf1 > 0 AND tf2 > 0) OR tf3 > 0", 100))
 def ft_index_search(spark, d):
-    """The same scores from a written index, in the shared folder."""
-    import uuid
-
-    path = f"{shared_folder(spark)}/quarry-index-{uuid.uuid4().hex}"
+    """The same scores from a written index, the writing included."""
+    path = new_path(spark)
     index.write(corpus(spark, d), path)
-    return index.search(spark, path, q.plan("the of OR threr", limit=100))
+    return index.search(spark, path, q.plan("the of OR threr", limit=100)).select("path", "score")
+
+
+# the scan's queries once more, with their SQL, by the index
+for _name in ("ft_and_bm25", "ft_or", "ft_not", "ft_phrase", "ft_mixed", "ft_whole_word", "filter_combined", "ft_all_star", "ft_fuzzy_backfill"):
+    register(f"index_{_name}", ORACLE[_name])(lambda spark, d, p=PLANS[_name]: index.search(spark, indexed(spark, d), p).select("path", "score"))
+
+
+@register("index_one_word", ranked_sql(["with"], ["with"], "tf1 > 0", 20))
+def index_one_word(spark, d):
+    """Most blocks of a frequent word cannot reach the page, and are not read."""
+    return index.search(spark, indexed(spark, d), PLANS["index_one_word"]).select("path", "score")
+
+
+@register("index_exclusion", ranked_sql(["the", "der"], [], "NOT tf1 > 0 AND NOT tf2 > 0", 50))
+def index_exclusion(spark, d):
+    """Documents without words, by the index: only exclusions."""
+    return index.search(spark, indexed(spark, d), q.plan("-the -der")).select("path", "score")
 
 
 def filter_query(name: str, text: str, where: str, **fields) -> None:
@@ -315,6 +348,28 @@ def snippet_html(spark, d):
     return corpus(spark, d).select("path", fn.snippet(F.col("content"), ["the"]).alias("snippet")).where("snippet is not null")
 
 
+@register("snippet_best", rf"""WITH {DOCS}, w AS (SELECT path, regexp_extract_all(content, '[\p{{L}}\p{{N}}]+[^\p{{L}}\p{{N}}]*') AS p FROM docs WHERE content IS NOT NULL),
+ t AS (SELECT path, p, list_transform(p, lambda x: lower(regexp_extract(x, '^[\p{{L}}\p{{N}}]+'))) AS t FROM w),
+ s AS (SELECT count(*)::DOUBLE AS n, sum(list_contains(t, 'the')::INT)::DOUBLE AS d1, sum(list_contains(t, 'with')::INT)::DOUBLE AS d2, sum(list_contains(t, 'der')::INT)::DOUBLE AS d3 FROM t),
+ v AS (SELECT ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) AS w1, ln(1 + (n - d2 + 0.5) / (d2 + 0.5)) AS w2, ln(1 + (n - d3 + 0.5) / (d3 + 0.5)) AS w3 FROM s),
+ k AS (SELECT path, p, t, unnest(range(0, (len(t) + 11) // 12)) AS k FROM t),
+ c AS (SELECT path, k, p[12 * k + 1 : 12 * k + 24] AS fp, t[12 * k + 1 : 12 * k + 24] AS ft FROM k),
+ f AS (SELECT path, k, fp, ft, CASE WHEN list_contains(ft, 'the') THEN w1 ELSE 0 END + CASE WHEN list_contains(ft, 'with') THEN w2 ELSE 0 END + CASE WHEN list_contains(ft, 'der') THEN w3 ELSE 0 END AS score FROM c, v),
+ g AS (SELECT * FROM f WHERE score > 0),
+ b1 AS (SELECT path, max({{'score': score, 'at': -k}}) AS b FROM g GROUP BY path),
+ b2 AS (SELECT g.path, max({{'score': score, 'at': -k}}) AS b FROM g JOIN b1 USING (path) WHERE abs(k + b1.b.at) >= 2 GROUP BY g.path),
+ b3 AS (SELECT g.path, max({{'score': score, 'at': -k}}) AS b FROM g JOIN b1 USING (path) JOIN b2 USING (path) WHERE abs(k + b1.b.at) >= 2 AND abs(k + b2.b.at) >= 2 GROUP BY g.path),
+ a AS (SELECT path, 1 AS place, b FROM b1 UNION ALL SELECT path, 2, b FROM b2 UNION ALL SELECT path, 3, b FROM b3)
+ SELECT a.path, place, rtrim(array_to_string(list_transform(list_zip(fp, ft), lambda z: CASE WHEN z[2] IN ('the', 'with', 'der') THEN '<b>' || regexp_extract(z[1], '^[\p{{L}}\p{{N}}]+') || '</b>' || regexp_extract(z[1], '[^\p{{L}}\p{{N}}]*$') ELSE z[1] END), ''), ' ') AS snippet FROM a JOIN g ON g.path = a.path AND g.k = -a.b.at""")
+def snippet_best(spark, d):
+    """The three best fragments of every text for three words, weighed by their rarity in all texts."""
+    docs, words = corpus(spark, d), ["the", "with", "der"]
+    found = search.counted(docs.where("content is not null").select("content"), words).agg(F.count("*").cast("double").alias("n"), *(F.sum((F.col("tf")[i] > 0).cast("double")).alias(f"d{i}") for i in range(3)))
+    rarity = found.select(F.array(*(F.log(1 + (F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5)) for i in range(3))).alias("rarity"))
+    rows = fn.with_fragments(docs.select("path", "content").crossJoin(F.broadcast(rarity)), "content", words, "snippets", F.col("rarity"))
+    return rows.select("path", F.posexplode("snippets").alias("place", "snippet")).select("path", (F.col("place") + 1).alias("place"), "snippet")
+
+
 @register("highlight_spans", f"WITH {DOCS} SELECT path, len(regexp_extract_all(content, '(?i)(the|and)')) AS hits, strlen(content)::BIGINT AS bytes FROM docs")
 def highlight_spans(spark, d):
     s = corpus(spark, d).select("path", fn.spans(F.col("content"), ["the", "and"]).alias("s"))
@@ -334,11 +389,45 @@ def export_rows(spark, d):
     return sinks.export_rows(search.search(corpus(spark, d), q.plan("die", limit=20, fuzzy=False)))
 
 
-@register("export_json")
+@register("export_json", f"""SELECT path, '{{"path":' || to_json(path) || ',"score":' || CASE WHEN score >= 0.001 AND score < 10000000 THEN score::VARCHAR ELSE NULL END || ',"title":' || coalesce(to_json(title)::VARCHAR, 'null') || ',"size":' || size || '}}' AS json
+ FROM ({ranked_sql(['die'], ['die'], 'tf1 > 0', 20, columns='path, score, title, size')})""")
 def export_json(spark, d):
     return sinks.json_rows(search.search(corpus(spark, d), q.plan("die", limit=20, fuzzy=False)).select("path", "score", "title", "size"))
 
 
+CHANGES = """cur AS (SELECT path, content, title, extension, modified, size FROM docs WHERE NOT starts_with(path, '/corpus/src2/') AND size >= 300 AND size % 4 <> 0
+ UNION ALL SELECT path, 'the ' || content, title, extension, modified + 60, size + 4 FROM docs WHERE NOT starts_with(path, '/corpus/src2/') AND size >= 300 AND size % 4 = 0)"""
+
+
+def changed(spark: SparkSession, d: str) -> Store:
+    """A store of the documents after an upsert, a deletion and a purge, and after its segments were merged; one for the session."""
+    key = spark.sparkContext.applicationId, f"{d} store"
+    if key not in _indexes:
+        docs = corpus(spark, d).drop("doc_id").withColumn("content_hash", fn_hash())
+        none = docs.limit(0).select("path")
+        store = Store(spark, new_path(spark))
+        store.apply(docs, none, 1)
+        new = docs.where("size % 4 = 0").withColumns({"content": F.concat(F.lit("the "), "content"), "modified": F.col("modified") + 60, "size": F.col("size") + 4})
+        # what is both changed and small is put in anew, then deleted
+        store.apply(new, docs.where("size < 300").select("path"), 2)
+        store.remove(docs.where("size < 300").select("path"))
+        store.purge("/corpus/src2/")
+        store.compact(2)
+        _indexes[key] = store.root
+    return Store(spark, _indexes[key])
+
+
+@register("store_rows", f"WITH {DOCS}, {CHANGES} SELECT path, size, modified, sha256(content) AS digest FROM cur")
+def store_rows(spark, d):
+    return changed(spark, d).read("documents").select("path", "size", "modified", fn_hash().alias("digest"))
+
+
+@register("store_search", ranked_sql(["the", "with", "die"], ["the", "with", "die"], "(tf1 > 0 AND tf2 > 0) OR tf3 > 0", 100).replace(DOCS, f"{DOCS}, {CHANGES}").replace("AS toks FROM docs", "AS toks FROM cur"))
+def store_search(spark, d):
+    """Ranked search over the store's segments: documents that no longer count are in no statistic."""
+    return changed(spark, d).search(q.plan("the with OR die", limit=100)).select("path", "score")
+
+
 @register("human_size", f"WITH {DOCS}, x AS (SELECT path, size * 1000 * (doc_id % 7) AS s FROM docs) SELECT path, CASE WHEN s >= 1073741824 THEN printf('%.2f GB', s / 1073741824) WHEN s >= 1048576 THEN printf('%.1f MB', s / 1048576) WHEN s >= 1024 THEN printf('%.1f KB', s / 1024) ELSE printf('%d B', s) END AS human FROM x")
 def human_size(spark, d):
     return corpus(spark, d).select("path", fn.human_size(F.col("size") * 1000 * (F.col("doc_id") % 7)).alias("human"))

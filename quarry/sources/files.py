@@ -5,43 +5,74 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as fn
+from quarry.plans import folders
 from quarry.plans.settings import Settings
 
 #: What extraction yields for a file. error is null if it went well.
 DOCUMENT = "path string, content string, title string, language string, keywords string, error string"
 #: The most bytes of a file that is read whole.
 MOST_BYTES = 100 << 20
-
-
-def ignored(path: Column, rules: str) -> Column:
-    """Whether the rules of an ignore file (relative to the root) take a path out: later rules win, ! brings back, a leading slash
-    ties to the root, # starts a comment."""
-    out = F.lit(False)
-    for line in rules.splitlines():
-        rule = line.strip()
-        if not rule or rule[0] == "#":
-            continue
-        back = rule[0] == "!"
-        rule = rule[back:]
-        tied = "/" in rule.rstrip("/")
-        rx = fn.glob_regex(rule.lstrip("/"))
-        if tied:
-            rx = "^" + rx.removeprefix("(?:^|/)").removeprefix("^").removesuffix("(?:/|$)").removesuffix("$") + "(?:/|$)"
-        out = F.when(path.rlike(rx), F.lit(not back)).otherwise(out)
-    return out
-
-
-def select_files(files: DataFrame, settings: Settings, ignore: str = "") -> DataFrame:
-    """files: path (relative to its root), size, ... Drops what patterns, ignore rules, hidden names, depth, extension or size
-    exclude. Cheap conditions on columns only, so they run in the scan, before contents are read."""
+#: Names of ignore files; a later one's rules override an earlier one's of the same folder.
+IGNORE_FILES = (".gitignore", ".ignore")
+#: Files that are opened by name rather than found by a scan of the whole folder.
+FEW_FILES = 10_000
+
+
+def rule_regex(line: str, folder: str = "") -> tuple[str, bool] | None:
+    """A line of an ignore file in a folder: what paths it meets, relative to the root, and whether it takes them out (else it brings
+    them back). A slash at the start or within ties a pattern to the folder; one at its end means folders only; # starts a comment, a
+    backslash takes the meaning from a first # or !."""
+    rule = line.rstrip("\r\n")
+    rule = rule if rule.endswith("\\ ") else rule.rstrip()
+    if not rule or rule[0] == "#":
+        return None
+    out = rule[0] != "!"
+    rule = rule[not out :]
+    rule = rule[1:] if rule[:2] in ("\\#", "\\!") else rule
+    tail = "/" if rule.endswith("/") else "(?:/|$)"
+    body = rule.rstrip("/")
+    if not body:
+        return None
+    rx = fn.glob_regex(body.lstrip("/")).removeprefix("(?:^|/)").removeprefix("^").removesuffix("(?:/|$)").removesuffix("$")
+    base = f"\\Q{folder}/\\E" if folder else ""
+    return f"^{base}{rx}{tail}" if "/" in body else f"^{base}(?:.*/)?{rx}{tail}", out
+
+
+def ignore_rules(spark: SparkSession, root: str, names: list[str], ignore: str = "") -> DataFrame:
+    """(folder, place, rule, out): the rules of ignore files (names relative to root), a row a line, in the folder that holds them, and
+    those of `ignore` in the root. place orders a folder's rules: the later wins, of .gitignore before .ignore; the global ones come first.
+    Spark's file sources pass over names that begin with a dot, so the driver reads these files."""
+    rows = [("", i, *made) for i, line in enumerate(ignore.splitlines()) if (made := rule_regex(line))]
+    for path in names:
+        folder, _, name = path.rpartition("/")
+        for i, line in enumerate(folders.content(spark, f"{root.rstrip('/')}/{path}").splitlines()):
+            if made := rule_regex(line, folder):
+                rows.append((folder, (IGNORE_FILES.index(name) + 1 << 32) + i, *made))
+    return spark.createDataFrame(rows, "folder string, place long, rule string, out boolean")
+
+
+def without_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """files (path, ...) that the rules of the folders above them leave in. Each path meets its ancestors' rules by a join on the folder; of
+    those that match the last one of the deepest folder decides, unless a folder above the file is itself taken out, from which
+    nothing is brought back."""
+    parts = F.split("path", "/")
+    prefix = lambda n: F.array_join(F.slice(parts, 1, n), "/")
+    # the path and its folders, each judged by the rules of the folders above it
+    steps = files.select("path", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("n")).select("path", F.when(F.col("n") < F.size(F.split("path", "/")), F.concat(prefix(F.col("n")), F.lit("/"))).otherwise(F.col("path")).alias("step"), "n")
+    met = steps.select("path", "step", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("depth")).withColumn("folder", F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.col("depth")), "/"))
+    hit = met.join(rules, "folder").where(F.expr("step rlike rule"))
+    verdict = hit.groupBy("path", "n").agg(F.max_by("out", F.struct("depth", "place")).alias("out"))
+    return files.join(verdict.where("out").select("path").distinct(), "path", "left_anti")
+
+
+def select_files(files: DataFrame, settings: Settings) -> DataFrame:
+    """files: path (relative to its root), size, ... Drops what patterns, hidden names, depth, extension or size exclude. Cheap conditions on columns only, so they run in the scan, before contents are read."""
     p = F.col("path")
     out = files.where(~fn.excluded(p, settings.excludes()))
-    if settings.use_gitignore and ignore:
-        out = out.where(~ignored(p, ignore))
     if not settings.include_hidden:
         out = out.where(~p.rlike(r"(?:^|/)\.[^/]"))
     out = out.where(F.size(F.split(p, "/")) <= settings.max_depth)
@@ -49,15 +80,52 @@ def select_files(files: DataFrame, settings: Settings, ignore: str = "") -> Data
     return out.where(F.col("size") <= settings.size_limit_mb * (1 << 20))
 
 
+def _listed(raw: DataFrame, root: str) -> DataFrame:
+    base = root.rstrip("/").split("://")[-1].removeprefix("file:").rstrip("/") + "/"
+    rel = F.element_at(F.split(F.col("path"), F.lit("\\Q" + base + "\\E"), 2), -1)
+    return raw.select(rel.alias("path"), F.col("path").alias("uri"), F.unix_timestamp("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
+
+
 def scan(spark: SparkSession, root: str, settings: Settings | None = None, ignore: str = "") -> DataFrame:
     """(path relative to root, uri, modified epoch seconds, size, content binary) of the regular files below root. The content is
-    read only by plans that use it."""
+    read only by plans that use it. Ignore files in the tree hold in their folders; `ignore` has rules for all of it, which those
+    override."""
     settings = settings or Settings()
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:").rstrip("/") + "/"
-    rel = F.element_at(F.split(F.col("path"), F.lit("\\Q" + base + "\\E"), 2), -1)
-    files = raw.select(rel.alias("path"), F.col("path").alias("uri"), F.unix_timestamp("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
-    return select_files(files, settings, ignore)
+    every = _listed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root)
+    files = select_files(every, settings)
+    if not settings.use_gitignore:
+        return files
+    return without_ignored(files, ignore_rules(spark, root, folders.named(spark, root, IGNORE_FILES, settings.max_depth), ignore))
+
+
+def contents(spark: SparkSession, files: DataFrame, todo: DataFrame) -> DataFrame:
+    """files (with content) of the paths in todo (path, uri). Up to FEW_FILES are opened by name, so the others are not read."""
+    few = todo.limit(FEW_FILES + 1).select("uri").collect()
+    names = [r["uri"] for r in few]
+    if len(names) > FEW_FILES or any(c in n for n in names for c in "*?[]{}\\,"):
+        return files.join(todo.select("path"), "path", "left_semi")
+    if not names:
+        return files.limit(0)
+    own = spark.read.format("binaryFile").load(names).select(F.col("path").alias("uri"), F.unix_timestamp("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
+    return own.join(todo.select("path", "uri"), "uri").select("path", "uri", "modified", "size", "content")
+
+
+def some(spark: SparkSession, root: str, paths: list[str], settings: Settings | None = None, ignore: str = "") -> DataFrame:
+    """As scan(), of the files among paths (relative to root) that are there and not excluded."""
+    base = root.rstrip("/")
+    there = [f"{base}/{p}" for p in paths if folders.exists(spark, f"{base}/{p}")]
+    if any(c in n for n in there for c in "*?[]{}\\,"):
+        return scan(spark, root, settings, ignore).join(spark.createDataFrame([(p,) for p in paths], "path string"), "path", "left_semi")
+    if not there:
+        return spark.createDataFrame([], "path string, uri string, modified long, size long, content binary")
+    settings = settings or Settings()
+    files = select_files(_listed(spark.read.format("binaryFile").load(there), root), settings)
+    if not settings.use_gitignore:
+        return files
+    # the ignore files of the folders above
+    above = sorted({"/".join(p.split("/")[:i]) for p in paths for i in range(len(p.split("/")))})
+    names = [f"{f}/{n}" if f else n for f in above for n in IGNORE_FILES]
+    return without_ignored(files, ignore_rules(spark, root, [n for n in names if folders.exists(spark, f"{base}/{n}")], ignore))
 
 
 def _text(data: bytes) -> tuple[str, str | None]:

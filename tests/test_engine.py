@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as fn
 from quarry.operators import filename, index, ingest, preview, search, sinks, state, stats
+from quarry.plans import folders
 from quarry.plans.query import plan
 from quarry.plans.settings import Settings
 from quarry.sources import files as src
@@ -77,13 +78,14 @@ def test_index_gives_the_same(spark, docs, tmp_path):
     index.write(docs, at)
     for text in ("test string", "keyboards OR cat", '"test string"', "string -unique"):
         p = plan(text, fuzzy=False)
-        assert [tuple(r) for r in index.search(spark, at, p).collect()] == [tuple(r) for r in search.search(docs, p).select("path", "score").collect()]
-    assert paths(index.search(spark, at, plan("ext:pdf string"), docs)) == ["/b/x.pdf"]
+        assert [tuple(r) for r in index.search(spark, at, p).select("path", "score").collect()] == [tuple(r) for r in search.search(docs, p).select("path", "score").collect()]
+    assert paths(index.search(spark, at, plan("ext:pdf string"))) == ["/b/x.pdf"]
     assert not index.open_or_rebuild(spark, at, docs)
-    spark.range(1).select(F.lit("0").alias("version")).write.mode("overwrite").parquet(f"{at}/stats")
-    assert index.open_or_rebuild(spark, at, docs) and index.exists(spark, f"{at}.backup")
-    with pytest.raises(ValueError, match="outside"):
-        index.search(spark, at, plan("-x"))
+    index.write(docs, at)
+    index.write(docs, at)
+    assert index.current(spark, at).endswith("/3") and [n for n, _ in folders.entries(spark, at)] == ["2", "3"]
+    spark.createDataFrame([("0", 1)], "version string, n long").write.mode("overwrite").parquet(f"{at}/3/marker")
+    assert index.open_or_rebuild(spark, at, docs) and folders.exists(spark, f"{at}.backup")
 
 
 def test_file_names(spark):
@@ -187,7 +189,7 @@ def test_stream_of_changes(spark, tmp_path):
     schema = "path string, action string, seq long"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/events")
     seen = []
-    q = watch.apply_to(spark.readStream.schema(schema).parquet(f"{tmp_path}/events"), lambda gone, new: seen.append((set(paths(gone)), set(paths(new)))), f"{tmp_path}/cp", excludes=["*.tmp"], extensions=["md"])
+    q = watch.apply_to(spark.readStream.schema(schema).parquet(f"{tmp_path}/events"), lambda gone, new, n: seen.append((set(paths(gone)), set(paths(new)))), f"{tmp_path}/cp", excludes=["*.tmp"], extensions=["md"])
     q.awaitTermination(120)
     assert seen == [({"/a.md", "/c.bin"}, {"/b.md"})]
 
@@ -199,3 +201,30 @@ def test_debounced_stream(spark, tmp_path):
     q = watch.debounced(spark.readStream.schema(schema).parquet(f"{tmp_path}/events")).writeStream.format("memory").queryName("flushed").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.sql("select path, action, flush from flushed where flush = 0").collect()} == {("/a", "Remove", 0), ("/b", "Index", 0)}
+
+
+def test_debounce_by_pieces(spark):
+    """Against the sequential rule: keys of many events and of one, a null key, ties, pieces longer than the cap over several ranges."""
+    import random
+
+    rnd = random.Random(2)
+    rows = [(k, i, round(rnd.random() * n / 3, 1)) for k, n in (("hot", 900), ("b", 40), (None, 25), ("one", 1)) for i in range(n)]
+    e = spark.createDataFrame(rows, "k string, seq long, t double").repartition(3)
+    want = {}
+    for k in {r[0] for r in rows}:
+        own = sorted((t, s) for x, s, t in rows if x == k)
+        want |= {(k, s): f for (t, s), f in zip(own, watch._flushes([t for t, _ in own], 0.5, 4.0), strict=True)}
+    assert {(r["k"], r["seq"]): r["flush"] for r in watch.debounce(e, key="k", gap=0.5, cap=4.0).collect()} == want
+    assert watch.debounce(e.limit(0), key="k").count() == 0
+
+
+def test_fragments(spark):
+    words = [f"w{i}" for i in range(100)]
+    words[5], words[30], words[31], words[80] = "Cat,", "cat", "DOG!", "dog"
+    df = spark.createDataFrame([(1, "... " + " ".join(words)), (2, None), (3, ""), (4, "none"), (5, "cat")], "id int, text string")
+    got = {r["id"]: r["s"] for r in fn.with_fragments(df, "text", ["cat", "dog"], "s").collect()}
+    assert [x.count("<b>") for x in got[1]] == [2, 1] and "<b>cat</b> <b>DOG</b>! w32" in got[1][0] and "<b>dog</b> w81" in got[1][1]
+    assert got[2] == got[3] == got[4] == [] and got[5] == ["<b>cat</b>"]
+    rare = {r["id"]: r["s"] for r in fn.with_fragments(df, "text", ["cat", "dog"], "s", F.array(F.lit(0.1), F.lit(5.0)), most=1).collect()}
+    assert "DOG" in rare[1][0] and len(rare[1]) == 1
+    assert search.shown_words(plan('c++ "foo-bar" -not OR')) == ["c", "foo", "bar"]
