@@ -27,10 +27,8 @@ def find(store: Store, text: str, limit: int, names: bool = False, now: int | No
     if text.startswith("names:"):
         text, names = text.removeprefix("names:").strip(), True
     if names:
-        if not store.version():
-            raise ValueError("there is no corpus")
         rest = front(text, now=now).text
-        return filename.as_hits(filename.search(store.read("filenames"), "" if rest == "*" else rest, limit))
+        return filename.as_hits(store.search_names("" if rest == "*" else rest, limit))
     return store.search(plan(text, limit=limit, now=now))
 
 

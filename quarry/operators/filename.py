@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.plans.lineage import bounded_batches
+
+#: Characters whose presence in a block of a written dictionary is a column, the rarer ones of names first, and names of a block.
+CHARACTERS, BLOCK = "qxzjkvw0123456789ybhfgpumdclnotrisae", 32
+
 
 def _subsequence(query: str) -> str:
     return "(?s)" + ".*?".join(re.escape(c) if not c.isalnum() else c for c in query)
@@ -38,6 +45,57 @@ def as_hits(found: DataFrame) -> DataFrame:
     return found.select(F.lit(1.0).alias("score"), "path", F.col("name").alias("title"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("modified"))
 
 
+def write(files: DataFrame, path: str) -> None:
+    """A dictionary of files (path, name; more columns): blocks of names that have the same characters, in that order, then lower-cased; columns
+    has_<character> tell what is in a block, so Parquet's statistics pass over row groups and pages that lack one of a query's."""
+    bounded_batches(files.sparkSession)
+    low = F.lower("name")
+    # ascending strings of digits put names without rare characters first
+    key = F.concat(*(F.when(low.contains(c), "1").otherwise("0") for c in CHARACTERS))
+    more = [c for c in files.columns if c not in ("path", "name")]
+    rows = files.where("name is not null").select("path", "name", low.alias("low"), key.alias("key"), *more)
+    rows = rows.repartitionByRange("key", "low", "path").sortWithinPartitions("key", "low", "path")
+    fields = [f"{f.name}:{f.dataType.simpleString()}" for f in files.select("path", "name", *more).schema]
+    names = [f.partition(":")[0] for f in fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[i : i + BLOCK]
+                there = [any(bits) for bits in zip(*([b == "1" for b in k] for k in part["key"]), strict=True)]
+                out.append((part["low"].iloc[0], *there, part[names].to_dict("records")))
+            yield pd.DataFrame(out, columns=["first", *(f"has_{c}" for c in CHARACTERS), "files"])
+
+    schema = f"first string, {', '.join(f'has_{c} boolean' for c in CHARACTERS)}, files array<struct<{','.join(fields)}>>"
+    rows.mapInPandas(run, schema).write.options(**{"parquet.page.row.count.limit": "16", "parquet.block.row.count.limit": "4096"}).parquet(path)
+
+
+def candidates(blocks: DataFrame, query: str) -> DataFrame:
+    """The rows of a dictionary's blocks that have all of a query's characters."""
+    for c in sorted(set(query.lower()) & set(CHARACTERS)):
+        blocks = blocks.where(F.col(f"has_{c}"))
+    return blocks
+
+
+def opened(blocks: DataFrame) -> DataFrame:
+    return blocks.select(F.inline("files"))
+
+
+def lookup(spark: SparkSession, path: str, query: str, limit: int, report: dict | None = None) -> DataFrame:
+    """What search() gives of the files in a written dictionary. report gets its blocks and those that were opened."""
+    blocks = spark.read.parquet(path)
+    own = candidates(blocks, query)
+    if report is not None:
+        report.update(blocks=blocks.count(), read=own.count())
+    return search(opened(own), query, limit)
+
+
+def migrate(spark: SparkSession, source: str, path: str) -> None:
+    """Writes the dictionary of an older list, a JSON array of objects with path and name."""
+    write(spark.read.schema("path string, name string").option("multiLine", "true").json(source), path)
+
+
 def stats(files: DataFrame) -> DataFrame:
     """Number of names and their bytes: path, name and 32 more for each."""
     return files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum(F.octet_length("path") + F.octet_length("name") + 32), F.lit(0)).alias("n_bytes"))

@@ -125,7 +125,7 @@ def _keys(term: Column) -> Column:
 
 def _bloom(column: str) -> dict[str, str]:
     """A Bloom filter of a column, as large as its values ask for: a small part's are small."""
-    return {f"parquet.bloom.filter.enabled#{column}": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.candidates.number": "14"}
+    return {f"parquet.bloom.filter.enabled#{column}": "true", "parquet.bloom.filter.adaptive.enabled": "true", f"parquet.bloom.filter.candidates.number#{column}": "14"}
 
 
 def write_part(docs: DataFrame, path: str) -> int:

@@ -33,6 +33,10 @@ def filters(plan: SearchPlan) -> list[Column]:
         out.append(F.col("modified") >= plan.min_modified)
     if plan.extensions:
         out.append(F.col("extension").isin(list(plan.extensions)))
+    if plan.language:
+        out.append(F.lower("language") == plan.language)
+    for w in plan.keywords:
+        out.append(F.array_contains(F.split(F.lower("keywords"), " "), w))
     if plan.path:
         out.append(fold(F.col("path")).contains(plan.path))
     if plan.title:
@@ -195,8 +199,8 @@ def page(hits: DataFrame, plan: SearchPlan, weights: Column | None = None) -> Da
 
 
 def shown_words(plan: SearchPlan) -> list[str]:
-    """The tokens that snippets mark."""
-    return list(dict.fromkeys(w for t in plan.highlights if t != "OR" and t[:1] != "-" for w in tokens(t)))
+    """The tokens that snippets mark: those that score, and the title filter's."""
+    return list(dict.fromkeys([*scoring_words(boolean(plan.text)), *tokens(plan.title or "")]))
 
 
 def resort(hits: DataFrame, by: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as fn
+from quarry.operators import filename
 from quarry.operators import state as st
 from quarry.operators.cache import PageCache
 from quarry.operators.index import Index, write_part
@@ -44,6 +45,11 @@ class Snapshot(Index):
     def rows(self) -> DataFrame:
         return super().docs()
 
+    def names(self, query: str, limit: int) -> DataFrame:
+        found = filename.candidates(self._read("names"), query).select("seg", F.inline("files"))
+        found = found if self.dead is None else found.join(self.dead.select("seg", "doc"), ["seg", "doc"], "left_anti")
+        return filename.search(found, query, limit)
+
     def docs(self) -> DataFrame:
         return super().docs().where("error is null")
 
@@ -102,11 +108,19 @@ class Store:
             return self.spark.createDataFrame([], f"{ROW}, score double")
         return self.pages.get(plan, lambda p: self.snapshot(known).search(p, report), known["number"])
 
+    def search_names(self, query: str, limit: int) -> DataFrame:
+        """(path, name, score) of the limit's best file names, by the segments' dictionaries."""
+        known = self.manifest()
+        if not known["segments"]:
+            raise ValueError("there is no corpus")
+        return self.snapshot(known).names(query, limit)
+
     # ---- changes
 
     def _segment(self, rows: DataFrame) -> dict[str, int]:
         name = f"s{uuid.uuid4().hex}"
         n = write_part(rows, f"{self.root}/segments/{name}")
+        filename.write(self.spark.read.parquet(f"{self.root}/segments/{name}/docs").select("path", "name", "doc"), f"{self.root}/segments/{name}/names")
         return {name: n}
 
     def _lost(self, rows: DataFrame) -> dict[str, int]:

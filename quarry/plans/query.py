@@ -1,4 +1,4 @@
-"""The query language, parsed on the driver into a SearchPlan: words, "phrases", OR, -exclusion, and ext: path: title: size:.
+"""The query language, parsed on the driver into a SearchPlan: words, "phrases", OR, -exclusion, and ext: path: title: size: language: keywords:.
 
 Operators stand at the start of a token; the last of a kind wins. What is left is the text query; an empty one matches all.
 """
@@ -12,7 +12,7 @@ from zoneinfo import ZoneInfo
 
 KIB = 1024
 DAY = 86_400
-_OPERATOR = re.compile(r'(?<!\S)(ext|path|title|size):(?:"([^"]*)"|(\S+))', re.I)
+_OPERATOR = re.compile(r'(?<!\S)(ext|path|title|size|language|keywords):(?:"([^"]*)"|(\S+))', re.I)
 _SIZE = re.compile(r"([<>]?)(\d+(?:\.\d+)?)(B|KB|MB|GB)?", re.I)
 _POWER = {"": 0, "B": 0, "K": 1, "KB": 1, "M": 2, "MB": 2, "G": 3, "GB": 3}
 #: Rolling look-backs of modified:, in days.
@@ -30,6 +30,8 @@ class ParsedQuery:
     min_size: int | None = None
     max_size: int | None = None
     case_sensitive: bool = False
+    language: str | None = None
+    keywords: tuple[str, ...] = ()
 
 
 def size_bounds(value: str) -> tuple[int | None, int | None]:
@@ -55,6 +57,10 @@ def parse(query: str, case_sensitive: bool = False) -> ParsedQuery:
                 out = replace(out, min_size=low)
             if high is not None:
                 out = replace(out, max_size=high)
+        elif kind == "language":
+            out = replace(out, language=value.lower() or None)
+        elif kind == "keywords":
+            out = replace(out, keywords=(*out.keywords, *value.lower().split()))
         elif value:
             out = replace(out, **{kind: fold(value)})
     return replace(out, text=" ".join(_OPERATOR.sub(" ", query).split()) or "*")
@@ -97,6 +103,8 @@ class SearchPlan:
     case_sensitive: bool = False
     fuzzy: bool = True
     highlights: tuple[str, ...] = field(default=())
+    language: str | None = None
+    keywords: tuple[str, ...] = ()
 
 
 def inline_filters(query: str, now: int) -> tuple[str, dict]:
@@ -147,7 +155,7 @@ def plan(query: str, *, limit: int = 50, now: int = 0, case_sensitive: bool = Fa
     terms = tuple(highlight_terms(query, case_sensitive))
     q = parse(whole_words(query) if whole_word and query else query, case_sensitive)
     every = set(extensions or ()) | ({q.extension} if q.extension else set())
-    return SearchPlan(q.text, limit, q.min_size if q.min_size is not None else min_size, q.max_size if q.max_size is not None else max_size, min_modified, tuple(sorted(every)), q.path, q.title, case_sensitive, fuzzy, terms)
+    return SearchPlan(q.text, limit, q.min_size if q.min_size is not None else min_size, q.max_size if q.max_size is not None else max_size, min_modified, tuple(sorted(every)), q.path, q.title, case_sensitive, fuzzy, terms, q.language, q.keywords)
 
 
 def front(text: str, *, limit: int = 50, now: int = 0, case_sensitive: bool = False, whole_word: bool = False, fuzzy: bool = True, types: str = "", chosen: set[str] | None = None, min_size: str = "", max_size: str = "", unit: str = "MB", size: str = "", date: str = "anytime", zone: str = "UTC", folder: str | None = None) -> SearchPlan:

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as fn
-from quarry.operators import filename, index, preview, search, sinks, state, stats
+from quarry.operators import filename, index, language, preview, search, sinks, state, stats
 from quarry.operators.store import Store
 from quarry.plans import query as q
 from quarry.plans.lineage import new_path
+from quarry.plans.settings import Settings
+from quarry.sources.files import select_files
 from quarry.sources.tree import folder_paths
 from quarry.streaming import watch
 
@@ -208,6 +210,20 @@ for _name, _text in (("exact", "small ring"), ("prefix", "small"), ("substr", "r
     register(f"fn_search_{_name}", name_sql(_text))(lambda spark, d, text=_text: filename.search(names(spark, d), text, 100))
 
 
+def dictionary(spark: SparkSession, d: str) -> str:
+    """A written dictionary of the names, in the shared folder; one for the session."""
+    key = spark.sparkContext.applicationId, f"{d} names"
+    if key not in _indexes:
+        path = new_path(spark)
+        filename.write(names(spark, d), path)
+        _indexes[key] = path
+    return _indexes[key]
+
+
+for _name, _text in (("prefix", "small"), ("subseq", "smg")):
+    register(f"fn_lookup_{_name}", name_sql(_text))(lambda spark, d, text=_text: filename.lookup(spark, dictionary(spark, d), text, 100))
+
+
 @register("filename_stats", f"WITH {NAMES} SELECT count(*) AS n_files, sum(strlen(path) + strlen(name) + 32)::BIGINT AS n_bytes FROM f")
 def filename_stats(spark, d):
     return filename.stats(names(spark, d))
@@ -244,12 +260,13 @@ def content_dedup(spark, d):
 
 @register("ext_allowlist", f"WITH {DOCS} SELECT path FROM docs WHERE extension IN ('md', 'rs', 'toml')")
 def ext_allowlist(spark, d):
-    return corpus(spark, d).where(fn.extension(F.col("path")).isin("md", "rs", "toml")).select("path")
+    out = select_files(corpus(spark, d).select(fn.file_name(F.col("path")).alias("name"), F.col("path").alias("full"), "size").withColumn("path", F.col("name")), Settings(exclude_patterns=[], exclude_folders=[], include_hidden=True), allowed=["md", "rs", "toml"])
+    return out.select(F.col("full").alias("path"))
 
 
 @register("size_limit", f"WITH {DOCS} SELECT path, size FROM docs WHERE size <= 2048")
 def size_limit(spark, d):
-    return corpus(spark, d).where(F.col("size") <= 2048).select("path", "size")
+    return select_files(corpus(spark, d), Settings(exclude_patterns=[], exclude_folders=[]), allowed=["txt", "md", "pdf", "rs", "json"], limit=2048).select("path", "size")
 
 
 @register("exclude_globs", f"WITH {DOCS} SELECT path FROM docs WHERE NOT regexp_matches(path, '/src1/|/doc_[^/]*7\\.pdf$|/de/')")
@@ -428,6 +445,13 @@ def store_search(spark, d):
     return changed(spark, d).search(q.plan("the with OR die", limit=100)).select("path", "score")
 
 
+@register("language_guess")
+def language_guess(spark, d):
+    """The language of every document by trigrams, beside the one it is labelled with."""
+    docs = table(spark, d, "documents")
+    return language.classify(docs.select("doc_id", "lang", "text"), language.train(docs), name="guess").select("doc_id", "lang", "guess")
+
+
 @register("human_size", f"WITH {DOCS}, x AS (SELECT path, size * 1000 * (doc_id % 7) AS s FROM docs) SELECT path, CASE WHEN s >= 1073741824 THEN printf('%.2f GB', s / 1073741824) WHEN s >= 1048576 THEN printf('%.1f MB', s / 1048576) WHEN s >= 1024 THEN printf('%.1f KB', s / 1024) ELSE printf('%d B', s) END AS human FROM x")
 def human_size(spark, d):
     return corpus(spark, d).select("path", fn.human_size(F.col("size") * 1000 * (F.col("doc_id") % 7)).alias("human"))

@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as fn
+from quarry.functions.keywords import keywords
 from quarry.plans import folders
+from quarry.plans.lineage import bounded_batches
 from quarry.plans.settings import Settings
+from quarry.sources import formats
 
 #: What extraction yields for a file. error is null if it went well.
-DOCUMENT = "path string, content string, title string, language string, keywords string, error string"
+DOCUMENT = "path string, content string, title string, language string, keywords string, mime string, error string"
 #: The most bytes of a file that is read whole.
 MOST_BYTES = 100 << 20
 #: Names of ignore files; a later one's rules override an earlier one's of the same folder.
@@ -69,15 +72,16 @@ def without_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     return files.join(verdict.where("out").select("path").distinct(), "path", "left_anti")
 
 
-def select_files(files: DataFrame, settings: Settings) -> DataFrame:
-    """files: path (relative to its root), size, ... Drops what patterns, hidden names, depth, extension or size exclude. Cheap conditions on columns only, so they run in the scan, before contents are read."""
+def select_files(files: DataFrame, settings: Settings, allowed: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """files: path (relative to its root), size, ... Drops what patterns, hidden names, depth, extension or size exclude
+    (allowed and limit, in bytes, stand in for the settings'). Cheap conditions on columns only, so they run in the scan, before contents are read."""
     p = F.col("path")
     out = files.where(~fn.excluded(p, settings.excludes()))
     if not settings.include_hidden:
         out = out.where(~p.rlike(r"(?:^|/)\.[^/]"))
     out = out.where(F.size(F.split(p, "/")) <= settings.max_depth)
-    out = out.where(F.coalesce(fn.extension(p).isin(settings.allowed_extensions()), F.lit(False)))
-    return out.where(F.col("size") <= settings.size_limit_mb * (1 << 20))
+    out = out.where(F.coalesce(fn.extension(p).isin(settings.allowed_extensions() if allowed is None else allowed), F.lit(False)))
+    return out.where(F.col("size") <= (settings.size_limit_mb * (1 << 20) if limit is None else limit))
 
 
 def _listed(raw: DataFrame, root: str) -> DataFrame:
@@ -138,7 +142,7 @@ def _markdown(data: bytes) -> tuple[str, str | None]:
     return text, heads[0] if heads else None
 
 
-def _html(data: bytes) -> tuple[str, str | None]:
+def html(data: bytes) -> tuple[str, str | None]:
     import re
     from html import unescape
 
@@ -148,44 +152,86 @@ def _html(data: bytes) -> tuple[str, str | None]:
     return plain(raw), plain(title[1]) if title else None
 
 
-TEXT = "txt csv tsv json xml rs py js ts go java c cpp h hpp cs css log svg eml".split()
+TEXT = "txt csv tsv json xml rs py js ts go java c cpp h hpp cs css log svg".split()
 #: Extractors by extension: bytes to (content, title). Formats that need libraries of their own register here.
-EXTRACTORS: dict[str, Callable[[bytes], tuple[str, str | None]]] = {**dict.fromkeys(TEXT, _text), "md": _markdown, "html": _html}
+EXTRACTORS: dict[str, Callable[[bytes], tuple[str, str | None]]] = {
+    **dict.fromkeys(TEXT, _text), "md": _markdown, "html": html, "docx": formats.docx, "xlsx": formats.xlsx, "pptx": formats.pptx, "odt": formats.odt, "epub": formats.epub, "eml": formats.mail,
+    **{e: formats.listing(f"x.{e}") for e in ("zip", "tar", "gz")},
+}
 
 
 def register(extension: str, extractor: Callable[[bytes], tuple[str, str | None]]) -> None:
     EXTRACTORS[extension.lower().lstrip(".")] = extractor
 
 
-def extract(files: DataFrame, extractors: dict[str, Callable] | None = None) -> DataFrame:
-    """files: path, content (binary). Each row's document; one that fails has its error and no content, and fails no other."""
+def expand(files: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """files (path, uri, modified, size, content) and, after each, what it holds if it is a zip, tar, gz or mail: members under path!/member
+    with its time. Members that settings exclude by name, extension or size are left out; a file that cannot be opened, or holds more
+    than formats.MOST_BYTES in all, has those that came before."""
+    bounded_batches(files.sparkSession, 64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf
+            for path, uri, modified, data in zip(pdf["path"], pdf["uri"], pdf["modified"], pdf["content"], strict=True):
+                held, size = [], 0
+                try:
+                    for inner, body in formats.members(bytes(data), path):
+                        held.append((inner, uri, modified, len(body), body))
+                        size += len(body)
+                        if size > 8 << 20:
+                            yield pd.DataFrame(held, columns=pdf.columns)
+                            held, size = [], 0
+                except Exception:  # noqa: BLE001  a broken file's own row tells it
+                    pass
+                if held:
+                    yield pd.DataFrame(held, columns=pdf.columns)
+
+    every = files.select("path", "uri", "modified", "size", "content").mapInPandas(run, "path string, uri string, modified long, size long, content binary")
+    inside = F.col("path").contains(formats.WITHIN)
+    own = Settings() if settings is None else settings
+    name = F.element_at(F.split("path", "!/"), -1)
+    fits = F.coalesce(fn.extension(name).isin(own.allowed_extensions()), F.lit(False)) & ~fn.excluded(name, own.excludes()) & (F.col("size") <= own.size_limit_mb * (1 << 20))
+    return every.where(~inside | fits)
+
+
+def owner(path: Column) -> Column:
+    """The file in which a path lies: itself, or the outermost container."""
+    return F.split(path, formats.WITHIN, 2)[0]
+
+
+def extract(files: DataFrame, extractors: dict[str, Callable] | None = None, language: Callable[[str], str | None] | None = None) -> DataFrame:
+    """files: path, content (binary). Each row's document, with content type, keywords and, if there is a guess (language.Guess), language; one that
+    fails has its error and no content, and fails no other."""
     table = dict(EXTRACTORS if extractors is None else extractors)
+    bounded_batches(files.sparkSession, 64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                ext = path.rsplit("/", 1)[-1].rpartition(".")[2].lower()
+                ext, data = path.rsplit("/", 1)[-1].rpartition(".")[2].lower(), bytes(data)
+                kind = formats.content_type(data, ext)
                 try:
                     if len(data) > MOST_BYTES:
                         raise ValueError(f"more than {MOST_BYTES} bytes")
-                    content, title = table[ext](bytes(data))
-                    rows.append((path, content, title, None, None, None))
-                except KeyError:
-                    rows.append((path, None, None, None, None, f"no extractor for {ext!r}"))
+                    content, title = table[ext](data)
+                    rows.append((path, content, title, language(content) if language else None, " ".join(keywords(content)) or None, kind, None))
+                except KeyError as e:
+                    rows.append((path, None, None, None, None, kind, f"no extractor for {ext!r}" if ext not in table else f"KeyError: {e}"))
                 except Exception as e:  # noqa: BLE001  any extractor's failure is the row's
-                    rows.append((path, None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "content", "title", "language", "keywords", "error"])
+                    rows.append((path, None, None, None, None, kind, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in DOCUMENT.split(", ")])
 
     return files.select("path", "content").mapInPandas(run, DOCUMENT)
 
 
-def extract_distinct(files: DataFrame, extractors: dict[str, Callable] | None = None) -> DataFrame:
+def extract_distinct(files: DataFrame, extractors: dict[str, Callable] | None = None, language: Callable[[str], str | None] | None = None) -> DataFrame:
     """As extract(), but files of equal content are extracted once, and each gets the result under its own path. A copy of another
     extension than the extracted one's counts as other content."""
     keyed = files.withColumn("content_hash", F.sha2("content", 256)).withColumn("ext", fn.extension(F.col("path")))
     first = keyed.groupBy("content_hash", "ext").agg(F.min("path").alias("first"))
     once = keyed.join(first, (keyed["path"] == first["first"]) & (keyed["content_hash"] == first["content_hash"])).select("path", "content")
-    done = extract(once, extractors).withColumnRenamed("path", "first")
+    done = extract(once, extractors, language).withColumnRenamed("path", "first")
     owners = keyed.select("path", "modified", "size", "content_hash", "ext").join(first, ["content_hash", "ext"])
-    return owners.join(done, "first").select("path", "content", "title", F.col("ext").alias("extension"), "language", "keywords", "modified", "size", "content_hash", "error")
+    return owners.join(done, "first").select("path", "content", "title", F.col("ext").alias("extension"), "language", "keywords", "mime", "modified", "size", "content_hash", "error")

@@ -95,6 +95,21 @@ def test_file_names(spark):
     assert filename.stats(f).first()["n_bytes"] == sum(len(p) + len(n) + 32 for p, n in f.collect())
 
 
+def test_dictionary_of_names(spark, tmp_path):
+    import json
+    import random
+
+    rnd = random.Random(1)
+    items = [(f"/p/{i}", "".join(rnd.choices("abcdefghij -_XÄß9", k=rnd.randint(1, 9)))) for i in range(3000)] + [("/p/q", "Quartz Quiz")]
+    (tmp_path / "old.json").write_text(json.dumps([{"path": p, "name": n} for p, n in items]))
+    filename.migrate(spark, str(tmp_path / "old.json"), f"{tmp_path}/names")
+    f = spark.createDataFrame(items, "path string, name string")
+    for query in ("ab", "x9", "ß", "qz", "", "zzzz", "A-b"):
+        report = {}
+        assert filename.lookup(spark, f"{tmp_path}/names", query, 50, report).collect() == filename.search(f, query, 50).collect()
+        assert report["read"] == 1 if query == "qz" else report["read"] < report["blocks"] / 2 if query in ("x9", "zzzz") else True
+
+
 def test_state(spark):
     s = "path string, modified long, size long, content_hash string, indexed_at long"
     old = spark.createDataFrame([("/a", 1, 1, "x", 1), ("/b", 1, 1, "y", 1), ("/ab/c", 1, 1, "z", 1)], s)
