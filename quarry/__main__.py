@@ -6,6 +6,7 @@ from __future__ import annotations
 import argparse
 import json
 import socketserver
+import sys
 import time
 from collections.abc import Callable
 
@@ -60,7 +61,9 @@ def main(arguments: list[str] | None = None, show: Callable[[str], None] = print
     a.add_argument("--serve", type=int, metavar="PORT")
     args = a.parse_args(arguments)
     spark = SparkSession.builder.appName("quarry").getOrCreate()
-    store = Store(spark, args.corpus)
+    store, reset = Store.opened(spark, args.corpus)
+    if reset:
+        print(f"the corpus could not be read and lies at {args.corpus}.backup", file=sys.stderr)
     if args.ingest:
         ingest(spark, args.ingest, store)
     if args.serve is None:

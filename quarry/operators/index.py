@@ -31,8 +31,8 @@ VERSION = "2"
 BITS = 6
 #: Tasks over which the blocks of one term are dealt, about.
 SALT = 64
-#: Ranges that are scored first: these, and one more for each so many hits of the page.
-FIRST, HITS_A_RANGE = 12, 8
+#: Ranges that are scored first: these, and one more for each so many hits of the page, up to a number that the driver can hold the hits of.
+FIRST, HITS_A_RANGE, MOST_FIRST = 12, 8, 512
 #: Characters up to which a word's neighbours are written as keys; longer words are compared one by one.
 LONG = 48
 #: The term of all documents that have a text.
@@ -285,7 +285,7 @@ class Index:
         bound = rows.groupBy("seg", "range", "term").agg(F.max(F.array_max(F.transform("peaks", lambda p: part(p["tf"], p["dl"])))).alias("b"), F.count("*").alias("k"))
         bounds = bound.groupBy("seg", "range").agg(F.collect_set("term").alias("terms"), (F.sum("b") * weight).alias("bound"), F.sum("k").alias("blocks"))
         bounds = bounds.where(over_terms(_can(node), _phrase)).select("seg", "range", "bound", "blocks")
-        first = bounds.orderBy(F.desc("bound"), "seg", "range").limit(FIRST + plan.limit // HITS_A_RANGE).collect()
+        first = bounds.orderBy(F.desc("bound"), "seg", "range").limit(min(FIRST + plan.limit // HITS_A_RANGE, MOST_FIRST)).collect()
         if not first:
             return none
         score = F.round(F.sum(part(F.col("tf"), F.col("dl"))) * weight, 6) if weight != 1.0 else F.round(F.sum(part(F.col("tf"), F.col("dl"))), 6)

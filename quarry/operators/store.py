@@ -31,6 +31,8 @@ TABLES = {
     "file_state": "path string, modified long, size long, content_hash string, indexed_at long",
     "filenames": "path string, name string",
 }
+#: The form of manifests and segments.
+VERSION = 1
 #: Segments of like size that are merged, and attempts of a change whose manifest another writer's took the place of.
 FAN, TRIES = 8, 10
 
@@ -77,10 +79,26 @@ class Store:
 
     def _commit(self, before: dict, **changes: dict) -> int | None:
         """Puts the manifest after `before`; None if there is one already."""
-        new = {k: before[k] for k in ("segments", "deletes", "batches")} | changes
+        new = {k: before[k] for k in ("segments", "deletes", "batches")} | changes | {"version": VERSION}
         number = before["number"] + 1
         return number if folders.publish(self.spark, f"{self.root}/manifests/{number:020d}", json.dumps(new, sort_keys=True)) else None
 
+    @classmethod
+    def opened(cls, spark: SparkSession, root: str) -> tuple[Store, bool]:
+        """The store at root, and whether what was there could not be used: a broken manifest, one of another version, or one whose
+        segments are gone. That is put aside as .backup, and the store is empty."""
+        store = cls(spark, root)
+        try:
+            known = store.manifest()
+            paths = [f"{store.root}/segments/{n}/{t}/_SUCCESS" for n in known["segments"] for t in ("docs", "blocks", "near", "names")]
+            if known.get("version", VERSION) == VERSION and all(folders.exists(spark, p) for p in (*paths, *(f"{store.root}/deletes/{n}/_SUCCESS" for n in known["deletes"]))):
+                return store, False
+        except (ValueError, KeyError):
+            pass
+        folders.delete(spark, f"{store.root}.backup")
+        folders.move(spark, store.root, f"{store.root}.backup")
+        return store, True
+
     # ---- reading
 
     def snapshot(self, known: dict | None = None) -> Snapshot:
@@ -115,6 +133,12 @@ class Store:
             raise ValueError("there is no corpus")
         return self.snapshot(known).names(query, limit)
 
+    def statistics(self) -> DataFrame:
+        """A row: n_docs, the documents that count, and n_bytes, of the files that the manifest names."""
+        known = self.manifest()
+        bytes_ = sum(folders.size(self.spark, f"{self.root}/{kind}/{n}") for kind in ("segments", "deletes") for n in known[kind])
+        return self.read("documents").agg(F.count("*").alias("n_docs")).withColumn("n_bytes", F.lit(bytes_).cast("long"))
+
     # ---- changes
 
     def _segment(self, rows: DataFrame) -> dict[str, int]:

@@ -78,3 +78,9 @@ def named(spark: SparkSession, root: str, names: tuple[str, ...], depth: int) ->
         if not any(s.isDirectory() for s in fs.globStatus(deeper) or []):
             break
     return sorted(out)
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of the files in a folder and below."""
+    at, fs = fs_of(spark, path)
+    return fs.getContentSummary(at).getLength() if fs.exists(at) else 0

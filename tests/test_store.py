@@ -145,6 +145,22 @@ def test_one_row_a_path_in_all_tables(spark, tmp_path):
     assert store.read("documents").first()["content"] == "two" and store.get_metadata("a.md").first()["modified"] == 5 and store.read("filenames").count() == 1
 
 
+def test_broken_stores_are_put_aside(spark, tmp_path):
+    store, reset = Store.opened(spark, f"file://{tmp_path}/s")
+    assert not reset
+    store.apply(rows_of(spark, [("a.md", "text"), ("b.md", "text")]), gone(spark), 1)
+    store.remove(gone(spark, "b.md"))
+    size = sum(f.stat().st_size for d in ("segments", "deletes") for f in (tmp_path / "s" / d).rglob("*") if f.suffix != ".crc" and f.is_file())
+    assert tuple(store.statistics().first()) == (1, size)
+    assert Store.opened(spark, f"file://{tmp_path}/s")[1] is False
+    for broken in ("{", '{"version": 0, "segments": {}, "deletes": {}, "batches": {}}', '{"version": 1, "segments": {"none": 3}, "deletes": {}, "batches": {}}'):
+        assert folders.publish(spark, f"{store.root}/manifests/{store.version() + 1:020d}", broken)
+        store, reset = Store.opened(spark, f"file://{tmp_path}/s")
+        assert reset and store.version() == 0 and store.read("documents").count() == 0
+        store.apply(rows_of(spark, [("a.md", "text")]), gone(spark), 1)
+    assert Store(spark, f"file://{tmp_path}/s.backup").version() == 2
+
+
 # ---- ingest
 
 
