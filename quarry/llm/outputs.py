@@ -80,8 +80,9 @@ class _Encoder:
     def chunk(self, chunk: str) -> bytes:
         low = chunk.lower()
         if low.isalpha():
-            return self.word(low)
-        return b"".join([self.signs[m[0]] if len(m[0]) < 3 else self.word(m[0]) for m in _WORD.finditer(low)])
+            # a word is merged once, in whatever case and beside whatever signs it stands
+            return self.word(low) if low == chunk else self.chunks[low]
+        return b"".join([self.signs[m] if len(m) < 3 else self.chunks[m] if m.isalpha() else self.word(m) for m in _WORD.findall(low)])
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
