@@ -3,10 +3,10 @@
 Nodes are a text's candidate mentions: chunks of digits that could be a number, and strings with an at-sign, plain or spelled out.
 Prose between them is outside by definition, so nothing else needs a label. A node's potentials come from its shape and the
 words before it; neighbours in the text share a chain potential; and mentions that repeat or resemble one another, however
-far apart, share a skip potential that draws them to one label, by way of a hub node for each key. A hub is settled by the base
-patterns' labels of its mentions, if there are any. Loopy belief propagation gives each node's marginals; a
-mention that no base pattern covers is added where one label is nearly sure. Weights are fitted to the base patterns' labels
-on a bounded sample, seen without the patterns themselves.
+far apart, share a skip potential that draws them to one label, by way of a hub node for each key. A hub whose mentions the base
+patterns cover in part is observed: it can have their labels alone, and passes them on by its messages. Loopy belief propagation gives
+each node's marginals; a mention that no base pattern covers is added where one label is nearly sure. Weights are fitted to the base
+patterns' labels on a bounded sample, seen without the patterns themselves, the skip potential to how often covered mentions of one key agree.
 """
 
 from __future__ import annotations
@@ -28,9 +28,10 @@ LABELS = ("none", *KINDS)
 #: Documents whose mentions the weights are fitted to, about, and those mentions, at most, each the first by a hash; what
 #: makes a label sure.
 DOCS, SAMPLE, SURE = 20_000, 20_000, 0.9
-#: Log-potential that two similar mentions have one label; and that a mention has the label settled for its key, which outweighs
-#: what shapes that no base pattern covers have for 'none'.
-SKIP, SETTLED = 4.0, 8.0
+#: Pairs of similar mentions that agree in their label, and that do not, which the fit of the skip potential starts from; the
+#: potential that these alone give: it outweighs what shapes that no base pattern covers have for 'none'.
+AGREE, DISAGREE = 75.0, 0.1
+SKIP = float(np.log((len(LABELS) - 1) * AGREE / DISAGREE))
 #: Code points between mentions that are neighbours, at most.
 NEAR = 100
 
@@ -148,16 +149,17 @@ def silver(m: Mention, base: list[tuple[str, int, int]]) -> int:
     return 0
 
 
-def fit(rows: list[tuple[list[str], int, int]]) -> Model:
-    """rows: (features, label, label of the mention before or -1). A softmax regression and counted transitions, each with a prior;
-    with few rows the priors below prevail."""
-    names = sorted({f for fs, _, _ in rows for f in fs})
+def fit(rows: list[tuple[list[str], int, int, int]]) -> Model:
+    """rows: (features, label, label of the mention before or -1, label of the last covered mention before of the same key or -1). A softmax
+    regression, counted transitions and the log-odds of agreement, each with a prior; with few rows the priors prevail. A mention that
+    no base pattern covers says nothing of agreement: whether it has its key's label is what the field is to find."""
+    names = sorted({f for fs, *_ in rows for f in fs})
     at = {f: i for i, f in enumerate(names)}
     n, k = len(rows), len(LABELS)
     w = np.zeros((len(names), k))
     if n:
-        ri = np.array([i for i, (fs, _, _) in enumerate(rows) for _ in fs])
-        fi = np.array([at[f] for fs, _, _ in rows for f in fs])
+        ri = np.array([i for i, (fs, *_) in enumerate(rows) for _ in fs])
+        fi = np.array([at[f] for fs, *_ in rows for f in fs])
         y = np.eye(k)[[r[1] for r in rows]]
         g2 = np.full_like(w, 1e-8)
         for _ in range(200):
@@ -171,20 +173,22 @@ def fit(rows: list[tuple[list[str], int, int]]) -> Model:
             g2 += g * g
             w -= 0.5 * g / np.sqrt(g2)
     trans = np.ones((k, k)) + 4 * np.eye(k)
-    for _, label, before in rows:
+    pairs = [0, 0]
+    for _, label, before, same in rows:
         if before >= 0:
             trans[before, label] += 1
+        if label > 0 and same > 0:
+            pairs[label == same] += 1
     joint = trans / trans.sum()
     chain = np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)))
-    return Model({f: w[i] for f, i in at.items()}, np.clip(chain, -1.5, 1.5), SKIP)
+    return Model({f: w[i] for f, i in at.items()}, np.clip(chain, -1.5, 1.5), float(np.log((k - 1) * (AGREE + pairs[1]) / (DISAGREE + pairs[0]))))
 
 
 def marginals(model: Model, ms: list[Mention], fixed: list[int]) -> np.ndarray:
     """Loopy belief propagation; fixed: a label that evidence settles, or -1. Edges: neighbours in the text, and each mention with
     the hub of its key, so that a key of many mentions costs no more than its number. Two mentions at a hub have between them
-    just the skip potential. A hub with fixed mentions is settled by them: it has their labels' shares, which each other
-    mention gets as evidence, however many there are. Messages pass until they have
-    converged."""
+    just the skip potential. A hub with fixed mentions is observed: it starts from their labels' shares, has no other label however many
+    mentions pull at it, and each other mention is one skip potential away. Messages pass until they have converged."""
     n, k = len(ms), len(LABELS)
     phi = np.array([model.unary(m) for m in ms])
     for i, label in enumerate(fixed):
@@ -196,17 +200,20 @@ def marginals(model: Model, ms: list[Mention], fixed: list[int]) -> np.ndarray:
     # two such edges in a row are, up to a factor, one of the skip potential
     more = np.expm1(model.skip)
     half = np.log1p(more + np.sqrt(more * more + k * more)) * np.eye(k)
-    hubs = n
+    hubs, observed = n, []
     for members in keys.values():
         if settled := [fixed[i] for i in members if fixed[i] > 0]:
-            evidence = np.log(np.bincount(settled, minlength=k) / len(settled) @ np.exp(SETTLED * np.eye(k)))
-            for i in members:
-                if fixed[i] <= 0:
-                    phi[i] += evidence
+            if free := [i for i in members if fixed[i] <= 0]:
+                share = np.bincount(settled, minlength=k) / len(settled)
+                # beyond what all the document's messages can add up to
+                observed.append(np.where(share > 0, np.log(np.maximum(share, 1e-9)), -1e3 * (model.skip + 1) * (n + 1)))
+                edges += [(hubs, i, model.skip * np.eye(k)) for i in free]
+                hubs += 1
         elif len(members) > 1:
+            observed.append(np.zeros(k))
             edges += [(hubs, i, half) for i in members]
             hubs += 1
-    phi = np.concatenate([phi, np.zeros((hubs - n, k))])
+    phi = np.concatenate([phi, *(o[None] for o in observed)])
     if not edges:
         b = phi
     else:
@@ -273,16 +280,18 @@ def train(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE) -> Model
             rows = []
             for x in batch.column(0).to_pylist():
                 if x and (ms := mentions(x)):
-                    base, before = base_spans(x), -1
+                    base, before, last = base_spans(x), -1, {}
                     for m in ms:
-                        label = silver(m, base)
-                        rows.append((xxhash.xxh3_64_intdigest(f"{m.start}:{m.before}{m.text}") >> 1, " ".join(observe(m)), label, before))
+                        label, key = silver(m, base), (m.is_at, m.key)
+                        rows.append((xxhash.xxh3_64_intdigest(f"{m.start}:{m.before}{m.text}") >> 1, " ".join(observe(m)), label, before, last.get(key, -1)))
                         before = label
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["h", "f", "y", "b"])
+                        if label > 0:
+                            last[key] = label
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.int32()) for c in cols[2:])], names=["h", "f", "y", "b", "s"])
 
-    got = docs.select(text).mapInArrow(run, "h long, f string, y int, b int").orderBy("h", "f", "y", "b").limit(sample).toPandas()
-    return fit([(f.split(" "), int(y), int(b)) for f, y, b in zip(got["f"], got["y"], got["b"], strict=True)])
+    got = docs.select(text).mapInArrow(run, "h long, f string, y int, b int, s int").orderBy("h", "f", "y", "b", "s").limit(sample).toPandas()
+    return fit([(f.split(" "), int(y), int(b), int(s)) for f, y, b, s in zip(got["f"], got["y"], got["b"], got["s"], strict=True)])
 
 
 def join_spans(spans: list[tuple[str, int, int]]) -> str:

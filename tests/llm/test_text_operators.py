@@ -2,6 +2,7 @@
 tables, clashing columns."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -266,6 +267,51 @@ def test_two_mentions_share_the_skip_potential():
     assert np.allclose(pii.marginals(pii.Model({"bias": w}, np.zeros((5, 5)), pii.SKIP), ms, [-1, -1])[0], joint.sum(1) / joint.sum(), atol=1e-3)
 
 
+def enumerated(unary, edges, n):
+    """Marginals of n labels by all assignments; edges: (i, j, potential)."""
+    total = np.zeros((n, 5))
+    for ys in itertools.product(range(5), repeat=n):
+        p = np.exp(sum(unary[i][y] for i, y in enumerate(ys)) + sum(e[ys[i], ys[j]] for i, j, e in edges))
+        for i, y in enumerate(ys):
+            total[i, y] += p
+    return total / total.sum(1, keepdims=True)
+
+
+def test_messages_round_a_loop():
+    """Three neighbours in a row whose ends have one key: against enumeration. With an end settled no loop is left, and it is exact."""
+    w = {"bias": np.array([0.4, 0.1, -0.3, 0.2, 0.5]), "plus:True": np.array([0, 0, 0, 0, 0.8]), "n:9": np.array([0.6, 0, 0, 0.1, 0])}
+    chain = np.log(np.eye(5) * 0.8 + 1)
+    ms = [pii.Mention(0, 9, "+12345678", ""), pii.Mention(10, 19, "987654321", ""), pii.Mention(20, 28, "12345678", "")]
+    m = pii.Model(w, chain, 1.5)
+    unary, skip = [m.unary(x) for x in ms], 1.5 * np.eye(5)
+    edges = [(0, 1, chain), (1, 2, chain), (0, 2, skip)]
+    got, want = pii.marginals(m, ms, [-1, -1, -1]), enumerated(unary, edges, 3)
+    assert np.allclose(got, want, atol=0.02) and (got.argmax(1) == want.argmax(1)).all()
+    assert np.abs(got - enumerated(unary, edges[:2], 3)).max() > 0.05
+    settled = [np.where(np.arange(5) == 4, 12.0, -12.0), *unary[1:]]
+    assert np.allclose(pii.marginals(m, ms, [4, -1, -1]), enumerated(settled, edges, 3), atol=1e-3)
+
+
+def test_hubs_of_two_settled_labels_listen():
+    """A key whose covered mentions differ: which of their labels a repeat has is up to its own shape, by the messages it sends."""
+    ms = [pii.Mention(500 * i, 500 * i + 8, "12345678", "") for i in range(4)]
+    for best in (3, 4):
+        u = np.where(np.arange(5) == best, 1.5, 0.0)
+        p = pii.marginals(pii.Model({"bias": u}, np.zeros((5, 5)), pii.SKIP), ms, [3, 4, -1, -1])
+        share = np.array([0, 0, 0, 0.5, 0.5])
+        one = np.exp(u[:, None] + pii.SKIP * np.eye(5)).sum(0)
+        hub = share * one * one
+        want = (np.exp(u[:, None] + pii.SKIP * np.eye(5)) * (share * one)[None]).sum(1)
+        assert np.allclose(p[2], want / want.sum(), atol=1e-3) and hub.argmax() == best == p[2].argmax()
+
+
+def test_the_skip_potential_is_fitted():
+    """The more covered mentions of one key differ, the less it draws; uncovered ones say nothing."""
+    row = lambda y, s: (["bias"], y, -1, s)
+    none, agree, mixed = (pii.fit(r).skip for r in ([row(0, 3)] * 500, [row(3, 3)] * 500, [row(3, 3), row(3, 4)] * 250))
+    assert none == pytest.approx(pii.SKIP) and agree == pytest.approx(np.log(4 * 575 / 0.1)) and mixed == pytest.approx(np.log(4 * 325 / 250.1))
+
+
 def test_marginals_are_exact_on_trees():
     """Two mentions and one edge: against enumeration."""
     m = pii.Model({"bias": np.array([0.3, 0, 0, 0.2, 0.5])}, np.log(np.eye(5) * 3 + 1), 0.0)
