@@ -55,7 +55,7 @@ def count_tokens(docs: DataFrame, model_path: str, *, limit: int = 4096, text: s
     spark = docs.sparkSession
     small_batches(spark)
     model = compile_model(model_path)
-    if model.cut_pattern is None or not model.prefix or any("\n" in p for p in model.pieces) or len(model.bytes_) < 256:
+    if model.cut_pattern is None or not model.prefix or any("\n" in p for p in model.pieces) or len(model.bytes_) < 256 or model.user or model.charsmap or model.remove_extra:
         raise ValueError("the shortcut is not proven for this vocabulary")
     shared = spark.sparkContext.broadcast((model.cut_pattern, whole_tokens(model)))
     new = ["n_bytes", "n_tokens", "over_limit"]

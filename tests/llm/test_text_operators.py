@@ -58,6 +58,56 @@ def test_shortest_path_of_a_unigram_model():
     assert t.path("abcab") == ["ab", "c", "ab"] and t.path("aXb") == ["a", "X", "b"]
 
 
+NORMAL = ("", "Ａｂｃ  ﬁne①", "  two  spaces\t tab\nline ", "e\u0301te\u0301 Å ½ ㌔ ｶﾞ", "\x01\x02", " ", "▁▁ x ▁", "a<sep>b <sep><sep>2", "Köln Kölner  köl", "héé <se", "日本語 ﷺ", "x\u3000y\u00a0z", "aab abab bab", "ÀÈ\u0300\u0301 end…")
+
+
+@pytest.mark.parametrize("rule, extra", [("identity", False), ("identity", True), ("nmt_nfkc", True), ("nmt_nfkc", False), ("nfkc_cf", True)])
+@pytest.mark.parametrize("kind", ["bpe", "bpe_user", "unigram", "unigram_user"])
+def test_normalisers_and_user_pieces_are_the_library(tmp_path, docs, rule, extra, kind):
+    """Models written for the test: the pieces given, or a few unigrams, behind each of the library's own normalisers."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    with open(vocabulary("piece_bpe_32k.model"), "rb") as f:
+        proto = pb.ModelProto.FromString(f.read())
+    if kind.startswith("unigram"):
+        del proto.pieces[3:]
+        proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = 1, False
+        for i, p in enumerate(["▁", "a", "b", "ab", "▁a", "aba", "e", "é", "t", "▁the", "the", "h", "o", "of", "n", "▁x", "fi", "1", "s", "i", "in", "▁und"]):
+            proto.pieces.add(piece=p, score=-1.0 - 0.37 * ((i * 7) % 11) - 0.011 * i)
+    if kind.endswith("user"):
+        for p in ("<sep>", "Köln", "Kö", "b▁<", "日本"):
+            proto.pieces.add(piece=p, score=0.0, type=pb.ModelProto.SentencePiece.USER_DEFINED)
+    spec = pb.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()).normalizer_spec
+    proto.normalizer_spec.precompiled_charsmap, proto.normalizer_spec.remove_extra_whitespaces = spec.precompiled_charsmap, extra
+    path = str(tmp_path / "own.model")
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    t = spm.Transducer(spm.compile_model(path))
+    texts = [*NORMAL, *(r["text"] or "" for r in docs.where("length(text) < 2000").limit(12).collect())]
+    for x in texts:
+        assert t.normalise(x) == lib.normalize(x), x
+        got = np.frombuffer(t.encode(x), "<u4").tolist()
+        assert got == lib.encode(x), x
+        if kind.startswith("bpe"):
+            assert t.decode(t.encode(x)) == t.normalise.surface(x) == lib.decode(got), x
+
+
+def test_models_that_are_not_compiled_raise(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    with open(vocabulary("piece_bpe_32k.model"), "rb") as f:
+        given = f.read()
+    for change in (lambda p: setattr(p.trainer_spec, "model_type", 3), lambda p: setattr(p.trainer_spec, "treat_whitespace_as_suffix", True), lambda p: setattr(p.pieces[900], "type", pb.ModelProto.SentencePiece.UNUSED)):
+        proto = pb.ModelProto.FromString(given)
+        change(proto)
+        path = tmp_path / "own.model"
+        path.write_bytes(proto.SerializeToString())
+        with pytest.raises(ValueError):
+            spm.compile_model(str(path))
+
+
 def test_token_counts_are_the_library(docs, edge, empty):
     import sentencepiece
 
