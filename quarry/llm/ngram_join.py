@@ -4,7 +4,8 @@ Two sets of sizes a and b reach Jaccard p/100 if they share at least T = ceil(p
 a query's inverted lists: the longest are only probed, the others, the short ones, are merged, and what turns up in them often
 enough is probed for. Over a cluster:
 
-1. A pass over the texts counts shingles into a table of fixed size; it orders shingles from rare to frequent.
+1. A pass over the texts counts shingles into a table of slots, in number by the texts' bytes up to a bound; it orders shingles from
+   rare to frequent.
 2. Equal sets are one from here on. Each puts its rarest elements, size - ceil(p size / 100) + SHORT of them, into inverted lists:
    the short lists. Sets that reach Jaccard p/100 share SHORT of them at least (or T, if that is less).
 3. Each list's members meet its pivot, the set in whose order the element comes first, so the one with the fewest rarer elements
@@ -22,6 +23,8 @@ most as many bits as the sets in elements, so pairs whose sketches differ too mu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,8 +35,9 @@ from pyspark.sql import types as T
 from quarry.llm import common
 from quarry.llm.common import components, cut, join_hot, pick, release, small_batches
 
-#: log2 of the slots that shingles are counted in; the table is broadcast, half a megabyte whatever the input.
-SLOT_BITS = 16
+#: log2 of the least and most slots that shingles are counted in, a byte each where they are broadcast (16 MB at most); words of texts
+#: that a slot is there for, and bytes of a word, about; slots whose counts travel as a row.
+SLOT_BITS, WORDS_A_SLOT, WORD_BYTES, BLOCK = (16, 24), 64, 6, 1 << 14
 #: log2 of the bits of the filter of elements that several lists hold: broadcast, 4 MB at most.
 FILTER_BITS = 25
 #: Long words of a parity sketch.
@@ -42,6 +46,8 @@ SKETCH = 8
 SHORT, TILE, GROUP = 2, 1024, 256
 #: Pairs of members that a task counts at a time, and members of lists of a task, about.
 PAIRS, TASK = 1 << 21, 50_000
+#: Members of a list that meet in one task at most. Of longer lists there are at most a millionth of all members: a broadcast of 32 MB at 10^12.
+LIST = 1 << 20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -85,22 +91,41 @@ def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return got >= need
 
 
-def _count_slots(docs: DataFrame, k: int) -> np.ndarray:
+def slot_bits(size: int) -> int:
+    """log2 of the slots for texts of that many bytes: slots grow with them, so that what is rare stands out alike at each size."""
+    return min(max(SLOT_BITS[0], (size // (WORDS_A_SLOT * WORD_BYTES)).bit_length()), SLOT_BITS[1])
+
+
+def _count_slots(docs: DataFrame, k: int, bits: int) -> np.ndarray:
+    """How often shingles fall into each slot, as eighths of a power of two. Counts are added up by blocks of slots."""
+    size = min(BLOCK, 1 << bits)
+
     def run(batches):
-        total = np.zeros(1 << SLOT_BITS, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            sets = [shingles(x, k) for x in batch.column(0).to_pylist()]
-            total += np.bincount((np.concatenate([*sets, np.empty(0, np.uint64)]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
-
-    counts = np.zeros(1 << SLOT_BITS, np.int64)
-    for r in docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        counts[r["slot"]] = r["n"]
-    return counts
+            for x in batch.column(0).to_pylist():
+                np.add.at(total, (shingles(x, k) >> np.uint64(64 - bits)).astype(np.int64), 1)
+        for i, part in enumerate(total.reshape(-1, size)):
+            if part.any():
+                # small counts, which most are, in a byte
+                width = "<u1" if part.max() < 256 else "<u4"
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.astype(width).tobytes()], pa.binary())], names=["block", "counts"])
+
+    def add(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in rows:
+            for x in batch.column("counts").to_pylist():
+                total += np.frombuffer(x, "<u4" if len(x) > size else "<u1")
+        low = np.minimum(np.round(8 * np.log2(1 + total)), 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([low.tobytes()], pa.binary())], names=["block", "counts"])
+
+    out = np.zeros((1 << bits) // size * size, np.uint8)
+    for r in docs.select("text").mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
+        out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["counts"], np.uint8)
+    return out
 
 
-def _sets(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
+def _sets(docs: DataFrame, k: int, percent: int, counts, bits: int) -> DataFrame:
     """docs with rid, sid, n, prefix and sketch: rid numbers the rows; sid is the set's id (a 128-bit hash of its elements; null if
     it is empty), then its size, rarest elements and parities."""
 
@@ -115,7 +140,7 @@ def _sets(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
                 sid.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
                 odd.append(np.packbits((np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1).astype(bool)).view(np.int64))
                 first = n + percent * n // -100 + SHORT
-                rank = order[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                rank = order[(s >> np.uint64(64 - bits)).astype(np.int64)]
                 prefix.append(s[np.lexsort((s, rank))[:first]].view(np.int64) if n else s.view(np.int64))
             lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)], dtype=np.int32)), pa.array(np.concatenate([*xs, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(sid, pa.binary()), pa.array(size, pa.int32()), lists(prefix), lists(odd)], names=[*kept, "sid", "n", "prefix", "sketch"])
@@ -282,8 +307,9 @@ def _rooted(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     component that it is in, null if it has no shingles; and the table of _sets(). Both are cut()."""
     spark = docs.sparkSession
     small_batches(spark)
-    counts = spark.sparkContext.broadcast(_count_slots(docs, k))
-    sets = cut(_sets(docs, k, percent, counts), compression="zstd")
+    bits = slot_bits(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    counts = spark.sparkContext.broadcast(_count_slots(docs, k, bits))
+    sets = cut(_sets(docs, k, percent, counts, bits), compression="zstd")
     firsts = cut(sets.where("sid is not null").groupBy("sid").agg(F.min("rid").alias("node"), F.count("*").alias("rows")))
     reps = pick(sets.select("rid", "n", "prefix", "sketch"), firsts.select(F.col("node").alias("rid"))).withColumnRenamed("rid", "node")
     sketches = reps.select("node", "n", "sketch")
@@ -296,7 +322,7 @@ def _rooted(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     lists = pick(lists.select("*", slot), shared.select(slot), "slot").drop("slot")
     # the pivot: first by place, then by size. Long lists stay where they are, the others meet by element, once
     lists = lists.withColumn("place", F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n"))
-    hot = cut(shared.where(F.col("c") > max(total // common.MOST_HOT, common.LEAST_HOT)).select("token"))
+    hot = cut(shared.where(F.col("c") > min(max(total // common.MOST_HOT, common.LEAST_HOT), LIST)).select("token"))
     w = Window.partitionBy("token").orderBy("place", "node")
     cold = lists.join(F.broadcast(hot), "token", "left_anti").select("*", F.first("node").over(w).alias("pivot"), F.first("place").over(w).alias("first"), F.count("*").over(Window.partitionBy("token")).alias("c")).where("c > 1")
     long = lists.join(F.broadcast(hot), "token")

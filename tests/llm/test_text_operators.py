@@ -536,3 +536,23 @@ def test_toxicity(spark, edge, empty):
     assert abs(s("a good day for women") - s("a good day for men")) < 0.2 and s("black cats") < 0.5
     assert len(toxicity.score(edge, model).collect()) == len(EDGE) and toxicity.score(empty, toxicity.train(empty, labels)).count() == 0
     assert sorted(r["doc_id"] for r in spark.range(200).select(F.col("id").alias("doc_id")).where(toxicity.held_out(F.col("doc_id"))).collect()) == [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 == 1]
+
+
+def test_ngram_slots_grow_with_the_texts(spark, monkeypatch):
+    least, most = ngram_join.SLOT_BITS
+    assert [ngram_join.slot_bits(n) for n in (0, 25_000_000, 100_000_000, 500_000_000, 10**14)] == [least, 16, 18, 21, most]
+    texts = ["a b c d e", "a b c x", "", None, *["a b c"] * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = np.zeros(1 << least, int)
+    for t in texts:
+        np.add.at(plain, (ngram_join.shingles(t, 3) >> np.uint64(64 - least)).astype(int), 1)
+    assert (ngram_join._count_slots(docs, 3, least) == np.round(8 * np.log2(1 + plain))).all()
+    assert not ngram_join._count_slots(docs.limit(0), 3, least).any()
+    # what is rare decides on lists alone: components are the same with a slot for all
+    words = [f"w{i} w{i + 1} w{i + 2} the of and in {' '.join(f'u{i // 3}_{j}' for j in range(40))}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    roots = lambda: {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs, k=3, percent=80).collect()}
+    fine = roots()
+    monkeypatch.setattr(ngram_join, "SLOT_BITS", (1, 1))
+    monkeypatch.setattr(ngram_join, "LIST", 5)
+    assert roots() == fine and fine == {i: i // 3 * 3 for i in range(60)}
