@@ -1,8 +1,8 @@
 """A written inverted index: a document table in an order that puts like ones together, postings in blocks, a dictionary for look-ups of near words; and top-k
 search that reads no block which cannot reach the page.
 
-Documents are numbered by language, where they have one, and length; 2**BITS neighbours in that order are a range. A block has one term's postings in one range,
-with their number and its peaks: the pairs of frequency and length that no other pair of the block exceeds in both, whose best score
+Documents are numbered by language, where they have one, and length, within the tasks that they are read in, so no text is shuffled; 2**BITS neighbours in that
+order are a range. A block has one term's postings in one range, with their number and its peaks: the pairs of frequency and length that no other pair of the block exceeds in both, whose best score
 is the block's best whatever the corpus' averages are. A search adds up the bounds of its words range by range from those
 few columns, scores the best ranges' blocks, and then only ranges whose bound reaches the page's last score.
 
@@ -26,18 +26,19 @@ from quarry.plans import folders
 from quarry.plans.lineage import bounded_batches
 from quarry.plans.query import Node, SearchPlan, all_words, boolean, near_pattern, scoring_words
 
-VERSION = "2"
+VERSION = "3"
 #: Documents of a range, as a power of two.
 BITS = 6
-#: Tasks over which the blocks of one term are dealt, about.
-SALT = 64
+#: Bytes of a row group of documents, which a task can read alone, and blocks whose words a task of the dictionary gets, about.
+GROUP, WORDS = 8 << 20, 1 << 20
 #: Ranges that are scored first: these, and one more for each so many hits of the page, up to a number that the driver can hold the hits of.
 FIRST, HITS_A_RANGE, MOST_FIRST = 12, 8, 512
 #: Characters up to which a word's neighbours are written as keys; longer words are compared one by one.
 LONG = 48
 #: The term of all documents that have a text.
 EVERY = ""
-_BLOCKS = "term string, range long, n int, total long, peaks array<struct<tf:int,dl:int>>, docs array<long>, tf array<int>, dl array<int>, positions array<array<int>>"
+#: docs: places in the range; positions: those of all postings, one after the other, tf of each.
+_BLOCKS = "term string, range long, n int, total long, peaks array<struct<tf:int,dl:int>>, docs array<tinyint>, tf array<int>, dl array<int>, positions array<int>"
 
 
 # ---- writing
@@ -75,13 +76,13 @@ def _blocks_of(docs: np.ndarray, lists: pa.ListArray) -> pa.RecordBatch:
     peaks = pa.ListArray.from_arrays(pa.array(np.searchsorted(at[peak], np.arange(len(block) + 1)).astype(np.int32)), peaks)
     names = pa.concat_arrays([words.cast(pa.string()), pa.array([EVERY], pa.string())]).take(pa.array(term))
     listed = lambda a, kind: pa.ListArray.from_arrays(ends, pa.array(a.astype(kind)))
-    places = pa.ListArray.from_arrays(pa.array(np.append(posting, len(key)).astype(np.int32)), pa.array(place.astype(np.int32)))
-    columns = [names, pa.array(ranges[of // (len(words) + 1)]), pa.array(n.astype(np.int32)), pa.array(total.astype(np.int64)), peaks, listed(docs[owner[posting]], np.int64), listed(tf, np.int32), listed(dl, np.int32), pa.ListArray.from_arrays(ends, places)]
+    places = pa.ListArray.from_arrays(pa.array(np.append(posting[block], len(key)).astype(np.int32)), pa.array(place.astype(np.int32)))
+    columns = [names, pa.array(ranges[of // (len(words) + 1)]), pa.array(n.astype(np.int32)), pa.array(total.astype(np.int64)), peaks, listed(docs[owner[posting]] & ((1 << BITS) - 1), np.int8), listed(tf, np.int32), listed(dl, np.int32), places]
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _BLOCKS.split(", ")])
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """docs: doc (long), content. Rows (term, range, n, total, peaks, docs, tf, dl, positions): texts are cut into tokens once, and a batch's
+    """docs: doc (long), content. Rows (term, range, n, total, peaks, docs, tf, dl, positions): texts are cut into tokens and a batch's
     blocks are complete in it but for ranges that it cuts, which have several. Nothing is shuffled."""
     bounded_batches(docs.sparkSession, 1 << 10)
 
@@ -104,7 +105,7 @@ def postings(docs: DataFrame) -> DataFrame:
                 made = _blocks_of(np.arange(batch.num_rows, dtype=np.int64) << BITS, batch.column(1))
                 term = made.column(0)
                 own = pc.not_equal(term, EVERY)
-                out = pa.RecordBatch.from_arrays([term, batch.column(0).take(made.column(1)), made.column(6).flatten(), made.column(7).flatten(), made.column(8).flatten()], names=["term", "path", "tf", "dl", "positions"])
+                out = pa.RecordBatch.from_arrays([term, batch.column(0).take(made.column(1)), made.column(6).flatten(), made.column(7).flatten(), made.column(8)], names=["term", "path", "tf", "dl", "positions"])
                 yield out.filter(own)
 
     return docs.select("path", fn.tokenise(F.col("content")).alias("tokens")).mapInArrow(run, "term string, path string, tf int, dl int, positions array<int>")
@@ -120,7 +121,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 def _keys(term: Column) -> Column:
     """Hashes of a word and of what is left of it without one of its characters: words within one edit, or a swap of neighbours, share one."""
     less = F.transform(F.sequence(F.lit(1), F.length(term)), lambda i: F.concat(term.substr(F.lit(1), i - 1), term.substr(i + 1, F.length(term))))
-    return F.array_distinct(F.transform(F.concat(F.array(term), less), lambda k: F.xxhash64(k)))
+    return F.array_distinct(F.transform(F.concat(F.array(term), less), lambda k: F.hash(k)))
 
 
 def _bloom(column: str) -> dict[str, str]:
@@ -128,21 +129,33 @@ def _bloom(column: str) -> dict[str, str]:
     return {f"parquet.bloom.filter.enabled#{column}": "true", "parquet.bloom.filter.adaptive.enabled": "true", f"parquet.bloom.filter.candidates.number#{column}": "14"}
 
 
-def write_part(docs: DataFrame, path: str) -> int:
-    """Writes documents (path, unique and not null; content; more columns), their blocks and their dictionary below path; the number of
-    documents. Texts are shuffled once, by length; blocks once, by term."""
-    spark = docs.sparkSession
+def write_docs(docs: DataFrame, path: str) -> DataFrame:
+    """Writes documents (path, not null; content; more columns), numbered as doc in each task's order of language and length, and reads them
+    back. Nothing is shuffled, and each is computed once."""
     size = F.coalesce(F.octet_length("content"), F.lit(0))
     order = [*(F.col(c) for c in docs.columns if c == "language"), size, F.col("path")]
-    order = docs.repartitionByRange(*order).sortWithinPartitions(*order)
     # numbers begin anew with each task, so ranges don't cross them
-    order.withColumn("doc", F.monotonically_increasing_id()).write.options(**_bloom("path")).parquet(f"{path}/docs")
-    rows = spark.read.parquet(f"{path}/docs")
-    dealt = blocks(rows).withColumn("salt", F.pmod("range", F.lit(SALT))).repartition("term", "salt").sortWithinPartitions("term", "range").drop("salt")
-    dealt.write.options(**_bloom("term"), **{"parquet.page.size": str(128 << 10), "compression": "zstd"}).parquet(f"{path}/blocks")
-    words = spark.read.parquet(f"{path}/blocks").where(F.col("term") != EVERY).select("term").distinct()
-    keyed = words.select("term", F.explode(F.when(F.length("term") <= LONG, _keys(F.col("term"))).otherwise(F.array(F.lit(None).cast("long")))).alias("key"))
-    keyed.repartition("key", F.xxhash64("term")).sortWithinPartitions("key").write.options(**_bloom("key"), compression="zstd").parquet(f"{path}/near")
+    numbered = docs.sortWithinPartitions(*order).withColumn("doc", F.monotonically_increasing_id())
+    numbered.write.options(**_bloom("path"), **{"parquet.block.size": str(GROUP)}).parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def write_blocks(rows: DataFrame, path: str) -> None:
+    """Writes the blocks and the dictionary of written documents below path. A task's blocks are ordered by term, so that a term's are
+    side by side in each file; shuffled are words alone."""
+    spark = rows.sparkSession
+    blocks(rows).sortWithinPartitions("term", "range").write.options(**_bloom("term"), **{"parquet.page.size": str(128 << 10), "compression": "zstd"}).parquet(f"{path}/blocks")
+    written = spark.read.parquet(f"{path}/blocks")
+    words = written.where(F.col("term") != EVERY).select("term").distinct().repartition(1 + written.count() // WORDS, "term")
+    keyed = words.select("term", F.explode(F.when(F.length("term") <= LONG, _keys(F.col("term"))).otherwise(F.array(F.lit(None).cast("int")))).alias("key"))
+    keyed.sortWithinPartitions("key").write.options(**_bloom("key"), compression="zstd").parquet(f"{path}/near")
+
+
+def write_part(docs: DataFrame, path: str) -> int:
+    """Writes documents (path, unique and not null; content; more columns), their blocks and their dictionary below path; the number of
+    documents."""
+    rows = write_docs(docs, f"{path}/docs")
+    write_blocks(rows, path)
     return rows.count()
 
 
@@ -217,8 +230,10 @@ class Index:
     @staticmethod
     def _opened(rows: DataFrame, phrase: bool) -> DataFrame:
         """A row a posting."""
-        zipped = F.arrays_zip("docs", "tf", "dl", *(["positions"] if phrase else []))
-        return rows.select("seg", "term", F.explode(zipped).alias("p")).select("seg", "term", F.col("p.docs").alias("doc"), "p.tf", "p.dl", *(["p.positions"] if phrase else []))
+        before = lambda i: F.aggregate(F.slice("tf", F.lit(1), i), F.lit(0), lambda a, n: a + n)
+        own = F.transform("docs", lambda p, i: F.struct(p.alias("place"), F.get("tf", i).alias("tf"), F.get("dl", i).alias("dl"), *([F.slice("positions", before(i) + 1, F.get("tf", i)).alias("positions")] if phrase else [])))
+        doc = (F.shiftleft("range", BITS) + F.col("p.place")).alias("doc")
+        return rows.select("seg", "term", "range", F.explode(own).alias("p")).select("seg", "term", doc, "p.tf", "p.dl", *(["p.positions"] if phrase else []))
 
     def stats(self, words: list[str]) -> Stats:
         """Statistics of the documents that count: sums over blocks' numbers, less the postings of the others, read in their ranges alone."""

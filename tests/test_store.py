@@ -286,3 +286,36 @@ def test_command_and_server(spark, tmp_path):
         got = [json.loads(f.readline()) for _ in range(3)]
     s.shutdown()
     assert [h["path"] for h in got[0]] == ["notes.md"] and [h["path"] for h in got[1]] == ["notes.md"] and got[2] == []
+
+
+def shuffled(spark, run):
+    """Bytes that run() shuffles."""
+    def total():
+        time.sleep(1)
+        return sum(e.totalShuffleWrite() for e in _list(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def _list(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def prose(n, seed):
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choices("abcdefghij", k=6)) for _ in range(300)]
+    return [(f"p/{i:03d}.md", " ".join(rnd.choices(words, k=1500))) for i in range(n)]
+
+
+def test_an_index_is_written_without_shuffling_texts_or_postings(spark, tmp_path):
+    items = prose(200, 6)
+    df = rows_of(spark, items)
+    moved = shuffled(spark, lambda: index.write(df, f"file://{tmp_path}/i"))
+    assert 0 < moved < sum(len(t) for _, t in items) / 10
+    # positions are held one after the other for all documents of a range
+    words = items[70][1].split()
+    p = plan(f'"{words[700]} {words[701]} {words[702]}"', limit=30)
+    found = hits(index.search(spark, f"file://{tmp_path}/i", p))
+    assert "p/070.md" in [path for path, _ in found] and found == hits(search.search(df, p))
