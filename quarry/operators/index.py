@@ -283,7 +283,9 @@ class Index:
 
     def _page(self, hits: DataFrame, plan: SearchPlan) -> DataFrame:
         docs = self.all_docs()
-        return ranked(hits.join(docs, ["seg", "doc"]).select(*(c for c in docs.columns if c not in ("seg", "doc")), "score"), plan.limit)
+        # the page is cut by paths alone, then its rows get their other columns: texts are not shuffled
+        page = ranked(hits.join(docs.select("seg", "doc", "path"), ["seg", "doc"]), plan.limit).select("seg", "doc", "score")
+        return ranked(docs.join(F.broadcast(page), ["seg", "doc"]).select(*(c for c in docs.columns if c not in ("seg", "doc")), "score"), plan.limit)
 
     def _top(self, node: Node, plan: SearchPlan, weight: float = 1.0, report: dict | None = None) -> DataFrame:
         """(seg, doc, score) of the hits that can be on the page, all that tie with its last among them."""

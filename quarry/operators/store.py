@@ -21,7 +21,7 @@ from quarry.functions import text as fn
 from quarry.operators import filename
 from quarry.operators import state as st
 from quarry.operators.cache import PageCache
-from quarry.operators.index import Index, write_part
+from quarry.operators.index import Index, write_blocks, write_docs
 from quarry.plans import folders
 from quarry.plans.query import SearchPlan
 
@@ -32,7 +32,7 @@ TABLES = {
     "filenames": "path string, name string",
 }
 #: The form of manifests and segments.
-VERSION = 1
+VERSION = 2
 #: Segments of like size that are merged, and attempts of a change whose manifest another writer's took the place of.
 FAN, TRIES = 8, 10
 
@@ -141,11 +141,32 @@ class Store:
 
     # ---- changes
 
-    def _segment(self, rows: DataFrame) -> dict[str, int]:
+    def _segment(self, rows: DataFrame, repeats: bool = False) -> dict[str, int]:
+        """Writes a segment of the rows, each computed once; nothing if there are none. repeats: paths may be there several times; their last
+        modified row counts, among equals that of the greater hash, then size."""
         name = f"s{uuid.uuid4().hex}"
-        n = write_part(rows, f"{self.root}/segments/{name}")
-        filename.write(self.spark.read.parquet(f"{self.root}/segments/{name}/docs").select("path", "name", "doc"), f"{self.root}/segments/{name}/names")
-        return {name: n}
+        path, beside = f"{self.root}/segments/{name}", f"{self.root}/staged/{uuid.uuid4().hex}"
+        try:
+            own = write_docs(rows, f"{beside}/docs")
+            if own.isEmpty():
+                return {}
+            w = Window.partitionBy("path").orderBy(F.desc_nulls_last("modified"), F.desc_nulls_last("content_hash"), F.desc_nulls_last("size"), "doc")
+            older = own.withColumn("_at", F.row_number().over(w)).where("_at > 1").select("doc") if repeats else None
+            if older is not None:
+                # no texts go through the window
+                older.write.parquet(f"{beside}/older")
+                older = self.spark.read.schema("doc long").parquet(f"{beside}/older")
+            if older is None or older.isEmpty():
+                folders.make(self.spark, path)
+                folders.move(self.spark, f"{beside}/docs", f"{path}/docs")
+            else:
+                write_docs(own.join(older, "doc", "left_anti").drop("doc"), f"{path}/docs")
+        finally:
+            folders.delete(self.spark, beside)
+        own = self.spark.read.parquet(f"{path}/docs")
+        write_blocks(own, path)
+        filename.write(own.select("path", "name", "doc"), f"{path}/names")
+        return {name: own.count()}
 
     def _lost(self, rows: DataFrame) -> dict[str, int]:
         """Writes which documents no longer count; nothing if there are none."""
@@ -185,19 +206,14 @@ class Store:
             return None
         for c in ("mime", "language", "keywords", "error", "title"):
             docs = docs if c in docs.columns else docs.withColumn(c, F.lit(None).cast("string"))
-        w = Window.partitionBy("path").orderBy(F.desc_nulls_last("modified"), F.desc_nulls_last("content_hash"), F.desc_nulls_last("size"))
-        one = docs.where("path is not null").withColumn("_at", F.row_number().over(w)).where("_at = 1")
-        one = one.withColumn("indexed_at", F.lit(now).cast("long")).withColumn("name", fn.file_name(F.col("path")))
-        # written before use: extracted once, whoever reads it
-        staged = f"{self.root}/staged/{uuid.uuid4().hex}"
-        one.select(*columns(ROW)).write.parquet(staged)
-        try:
-            rows = self.spark.read.schema(ROW).parquet(staged)
-            segment = {} if rows.isEmpty() else self._segment(rows)
-            changed = removed.select("path").unionByName(rows.select("path")).distinct()
-            return self._drop(lambda live: live.select("seg", "doc", "path").join(changed, "path", "left_semi"), segment, batch)[0]
-        finally:
-            folders.delete(self.spark, staged)
+        own = docs.where("path is not null").withColumn("indexed_at", F.lit(now).cast("long")).withColumn("name", fn.file_name(F.col("path"))).select(*columns(ROW))
+        segment = self._segment(own, repeats=True)
+        new = [self.spark.read.parquet(f"{self.root}/segments/{name}/docs").select("path") for name in segment]
+        changed = removed.select("path")
+        for paths in new:
+            changed = changed.unionByName(paths)
+        changed = changed.distinct()
+        return self._drop(lambda live: live.select("seg", "doc", "path").join(changed, "path", "left_semi"), segment, batch)[0]
 
     def remove(self, paths: DataFrame) -> int:
         """Deletes paths; how many of them there were."""
@@ -229,7 +245,7 @@ class Store:
             return None
         own = {"segments": {n: known["segments"][n] for n in merged}, "deletes": known["deletes"]}
         rows = self.snapshot(own).rows().select(*columns(ROW))
-        segment = {} if rows.isEmpty() else self._segment(rows)
+        segment = self._segment(rows)
         left = self._lost(self.snapshot(known).dead.where(~F.col("seg").isin(merged))) if known["deletes"] else {}
         return self._commit(known, segments={n: k for n, k in known["segments"].items() if n not in merged} | segment, deletes=left)
 

@@ -22,6 +22,11 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def make(spark: SparkSession, path: str) -> None:
+    at, fs = fs_of(spark, path)
+    fs.mkdirs(at)
+
+
 def move(spark: SparkSession, a: str, b: str) -> None:
     """Renames a folder; b must not be there."""
     at, fs = fs_of(spark, a)

@@ -319,3 +319,21 @@ def test_an_index_is_written_without_shuffling_texts_or_postings(spark, tmp_path
     p = plan(f'"{words[700]} {words[701]} {words[702]}"', limit=30)
     found = hits(index.search(spark, f"file://{tmp_path}/i", p))
     assert "p/070.md" in [path for path, _ in found] and found == hits(search.search(df, p))
+
+
+def test_a_store_takes_documents_without_shuffling_texts(spark, tmp_path):
+    items = prose(200, 7)
+    store = Store(spark, f"file://{tmp_path}/s")
+    moved = shuffled(spark, lambda: store.apply(rows_of(spark, items), gone(spark), 1))
+    assert 0 < moved < sum(len(t) for _, t in items) / 10 and store.read("documents").count() == 200
+    # nor does a page
+    moved = shuffled(spark, lambda: store.search(plan(items[0][1].split()[0], limit=200)).collect())
+    assert moved < sum(len(t) for _, t in items) / 10
+    # paths that are there several times: the last modified, then that of the greater hash, then size; nulls are last
+    same = [("a.md", "old", 1, 3, "z"), ("a.md", "new", 2, 3, "a"), ("a.md", "newer", 2, 5, "b"), ("a.md", "no time", None, 9, "zz"), ("b.md", "alone", None, 5, None), ("c.md", "short", 1, 5, "h"), ("c.md", "longest", 1, 7, "h")]
+    rows = spark.createDataFrame([(p, t, None, "md", m, n, h, None) for p, t, m, n, h in same], DOC).repartition(3)
+    other = Store(spark, f"file://{tmp_path}/t")
+    assert other.apply(rows, gone(spark), 1) == 1 and other.manifest()["deletes"] == {} and list(other.manifest()["segments"].values()) == [3]
+    assert {r["path"]: r["content"] for r in other.read("documents").collect()} == {"a.md": "newer", "b.md": "alone", "c.md": "longest"}
+    same_as_scan(spark, other, ["newer", "-alone"])
+    assert folders.entries(spark, f"{other.root}/staged") == []
