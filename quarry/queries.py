@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from quarry.functions import text as fn
 from quarry.operators import filename, index, language, preview, search, sinks, state, stats
 from quarry.operators.store import Store
+from quarry.plans import folders
 from quarry.plans import query as q
-from quarry.plans.lineage import new_path
+from quarry.plans.lineage import cut, new_path
 from quarry.plans.settings import Settings
 from quarry.sources.files import select_files
 from quarry.sources.tree import folder_paths
@@ -105,42 +106,37 @@ def ft_fuzzy_backfill(spark, d):
     return search.search(corpus(spark, d), PLANS["ft_fuzzy_backfill"]).select("path", "score")
 
 
-_indexes: dict[tuple[str, str], str] = {}
-
-
-def indexed(spark: SparkSession, d: str) -> str:
-    """A written index of the documents, in the shared folder; one for the session."""
-    key = spark.sparkContext.applicationId, d
-    if key not in _indexes:
-        path = new_path(spark)
-        index.write(corpus(spark, d), path)
-        _indexes[key] = path
-    return _indexes[key]
+def by_index(spark: SparkSession, d: str, plan: q.SearchPlan) -> DataFrame:
+    """The plan's page from an index of the documents, which is written to the shared folder, searched, and deleted when the page is held: the work is
+    the same whatever ran before, and no index is left."""
+    path = new_path(spark)
+    index.write(corpus(spark, d), path)
+    page = cut(index.search(spark, path, plan).select("path", "score"))
+    folders.delete(spark, path)
+    return search.ranked(page, plan.limit)
 
 
 @register("ft_index_search", ranked_sql(["the", "of", "threr"], ["the", "of", "threr"], "(tf1 > 0 AND tf2 > 0) OR tf3 > 0", 100))
 def ft_index_search(spark, d):
     """The same scores from a written index, the writing included."""
-    path = new_path(spark)
-    index.write(corpus(spark, d), path)
-    return index.search(spark, path, q.plan("the of OR threr", limit=100)).select("path", "score")
+    return by_index(spark, d, q.plan("the of OR threr", limit=100))
 
 
 # the scan's queries once more, with their SQL, by the index
 for _name in ("ft_and_bm25", "ft_or", "ft_not", "ft_phrase", "ft_mixed", "ft_whole_word", "filter_combined", "ft_all_star", "ft_fuzzy_backfill"):
-    register(f"index_{_name}", ORACLE[_name])(lambda spark, d, p=PLANS[_name]: index.search(spark, indexed(spark, d), p).select("path", "score"))
+    register(f"index_{_name}", ORACLE[_name])(lambda spark, d, p=PLANS[_name]: by_index(spark, d, p))
 
 
 @register("index_one_word", ranked_sql(["with"], ["with"], "tf1 > 0", 20))
 def index_one_word(spark, d):
     """Most blocks of a frequent word cannot reach the page, and are not read."""
-    return index.search(spark, indexed(spark, d), PLANS["index_one_word"]).select("path", "score")
+    return by_index(spark, d, PLANS["index_one_word"])
 
 
 @register("index_exclusion", ranked_sql(["the", "der"], [], "NOT tf1 > 0 AND NOT tf2 > 0", 50))
 def index_exclusion(spark, d):
     """Documents without words, by the index: only exclusions."""
-    return index.search(spark, indexed(spark, d), q.plan("-the -der")).select("path", "score")
+    return by_index(spark, d, q.plan("-the -der"))
 
 
 def filter_query(name: str, text: str, where: str, **fields) -> None:
@@ -210,6 +206,9 @@ for _name, _text in (("exact", "small ring"), ("prefix", "small"), ("substr", "r
     register(f"fn_search_{_name}", name_sql(_text))(lambda spark, d, text=_text: filename.search(names(spark, d), text, 100))
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
 def dictionary(spark: SparkSession, d: str) -> str:
     """A written dictionary of the names, in the shared folder; one for the session."""
     key = spark.sparkContext.applicationId, f"{d} names"

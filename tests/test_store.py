@@ -9,6 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import queries
 from quarry.__main__ import find, main, server
 from quarry.operators import index, ingest, search
 from quarry.operators.store import Store
@@ -337,3 +338,11 @@ def test_a_store_takes_documents_without_shuffling_texts(spark, tmp_path):
     assert {r["path"]: r["content"] for r in other.read("documents").collect()} == {"a.md": "newer", "b.md": "alone", "c.md": "longest"}
     same_as_scan(spark, other, ["newer", "-alone"])
     assert folders.entries(spark, f"{other.root}/staged") == []
+
+
+@pytest.mark.parametrize("name", ["index_ft_not", "index_ft_fuzzy_backfill", "index_exclusion"])
+def test_a_query_does_the_same_work_each_time_and_leaves_no_index(spark, monkeypatch, name):
+    made, real = [], queries.new_path
+    monkeypatch.setattr(queries, "new_path", lambda s: made.append(real(s)) or made[-1])
+    first, again = (hits(queries.QUERIES[name](spark, "/root/testdata/sf0.001")) for _ in range(2))
+    assert first == again and len(made) == 2 and not any(folders.exists(spark, p) for p in made)
