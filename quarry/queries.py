@@ -415,33 +415,35 @@ CHANGES = """cur AS (SELECT path, content, title, extension, modified, size FROM
  UNION ALL SELECT path, 'the ' || content, title, extension, modified + 60, size + 4 FROM docs WHERE NOT starts_with(path, '/corpus/src2/') AND size >= 300 AND size % 4 = 0)"""
 
 
-def changed(spark: SparkSession, d: str) -> Store:
-    """A store of the documents after an upsert, a deletion and a purge, and after its segments were merged; one for the session."""
-    key = spark.sparkContext.applicationId, f"{d} store"
-    if key not in _indexes:
-        docs = corpus(spark, d).drop("doc_id").withColumn("content_hash", fn_hash())
-        none = docs.limit(0).select("path")
-        store = Store(spark, new_path(spark))
-        store.apply(docs, none, 1)
-        new = docs.where("size % 4 = 0").withColumns({"content": F.concat(F.lit("the "), "content"), "modified": F.col("modified") + 60, "size": F.col("size") + 4})
-        # what is both changed and small is put in anew, then deleted
-        store.apply(new, docs.where("size < 300").select("path"), 2)
-        store.remove(docs.where("size < 300").select("path"))
-        store.purge("/corpus/src2/")
-        store.compact(2)
-        _indexes[key] = store.root
-    return Store(spark, _indexes[key])
+def changed(spark: SparkSession, d: str, what: Callable[[Store], DataFrame]) -> DataFrame:
+    """what of a store of the documents after an upsert, a deletion and a purge, and after its segments were merged. The store is deleted
+    when the rows are held."""
+    docs = corpus(spark, d).drop("doc_id").withColumn("content_hash", fn_hash())
+    none = docs.limit(0).select("path")
+    store = Store(spark, new_path(spark))
+    store.apply(docs, none, 1)
+    new = docs.where("size % 4 = 0").withColumns({"content": F.concat(F.lit("the "), "content"), "modified": F.col("modified") + 60, "size": F.col("size") + 4})
+    # what is both changed and small is put in anew, then deleted
+    store.apply(new, docs.where("size < 300").select("path"), 2)
+    store.remove(docs.where("size < 300").select("path"))
+    store.purge("/corpus/src2/")
+    store.compact(2)
+    rows = cut(what(store))
+    store.pages.clear()
+    folders.delete(spark, store.root)
+    return rows
 
 
 @register("store_rows", f"WITH {DOCS}, {CHANGES} SELECT path, size, modified, sha256(content) AS digest FROM cur")
 def store_rows(spark, d):
-    return changed(spark, d).read("documents").select("path", "size", "modified", fn_hash().alias("digest"))
+    return changed(spark, d, lambda store: store.read("documents").select("path", "size", "modified", fn_hash().alias("digest")))
 
 
 @register("store_search", ranked_sql(["the", "with", "die"], ["the", "with", "die"], "(tf1 > 0 AND tf2 > 0) OR tf3 > 0", 100).replace(DOCS, f"{DOCS}, {CHANGES}").replace("AS toks FROM docs", "AS toks FROM cur"))
 def store_search(spark, d):
     """Ranked search over the store's segments: documents that no longer count are in no statistic."""
-    return changed(spark, d).search(q.plan("the with OR die", limit=100)).select("path", "score")
+    plan = q.plan("the with OR die", limit=100)
+    return search.ranked(changed(spark, d, lambda store: store.search(plan).select("path", "score")), plan.limit)
 
 
 @register("language_guess")

@@ -340,7 +340,7 @@ def test_a_store_takes_documents_without_shuffling_texts(spark, tmp_path):
     assert folders.entries(spark, f"{other.root}/staged") == []
 
 
-@pytest.mark.parametrize("name", ["index_ft_not", "index_ft_fuzzy_backfill", "index_exclusion"])
+@pytest.mark.parametrize("name", ["index_ft_not", "index_ft_fuzzy_backfill", "index_exclusion", "store_search"])
 def test_a_query_does_the_same_work_each_time_and_leaves_no_index(spark, monkeypatch, name):
     made, real = [], queries.new_path
     monkeypatch.setattr(queries, "new_path", lambda s: made.append(real(s)) or made[-1])
