@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as fn
-from quarry.operators.search import FUZZY_WEIGHT, bm25, filtered, filters, joined, over_terms, ranked
+from quarry.operators.search import FUZZY_WEIGHT, bm25, filtered, filters, joined, once, over_terms, ranked
 from quarry.plans import folders
 from quarry.plans.lineage import bounded_batches
 from quarry.plans.query import Node, SearchPlan, all_words, boolean, near_pattern, scoring_words
@@ -82,7 +82,7 @@ def _blocks_of(docs: np.ndarray, lists: pa.ListArray) -> pa.RecordBatch:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """docs: doc (long), content. Rows (term, range, n, total, peaks, docs, tf, dl, positions): texts are cut into tokens and a batch's
+    """docs: doc (long), content. Rows (term, range, n, total, peaks, docs, tf, dl, positions): texts are cut into tokens once, and a batch's
     blocks are complete in it but for ranges that it cuts, which have several. Nothing is shuffled."""
     bounded_batches(docs.sparkSession, 1 << 10)
 
@@ -112,10 +112,13 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """(term, df, cf): documents and occurrences of each term, in one pass: terms are counted within batches of documents, so what is
-    shuffled is a row for each term and batch."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("doc"), "content")
-    return blocks(numbered).where(F.col("term") != EVERY).groupBy("term").agg(F.sum("n").cast("long").alias("df"), F.sum("total").cast("long").alias("cf"))
+    """(term, df, cf): documents and occurrences of each term, in one pass: terms are summed within tasks, so what is shuffled is a row for
+    each term and task. Built-in expressions only."""
+    own = once(docs.select("content"), "tokens", fn.tokenise(F.col("content")))
+    one = lambda terms, df, cf: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(df).cast("long").alias("df"), F.lit(cf).cast("long").alias("cf")))
+    # each token once, and each of a document's terms once more
+    rows = own.select(F.inline(F.concat(one("tokens", 0, 1), one(F.array_distinct("tokens"), 1, 0))))
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def _keys(term: Column) -> Column:

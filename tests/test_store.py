@@ -346,3 +346,10 @@ def test_a_query_does_the_same_work_each_time_and_leaves_no_index(spark, monkeyp
     monkeypatch.setattr(queries, "new_path", lambda s: made.append(real(s)) or made[-1])
     first, again = (hits(queries.QUERIES[name](spark, "/root/testdata/sf0.001")) for _ in range(2))
     assert first == again and len(made) == 2 and not any(folders.exists(spark, p) for p in made)
+
+
+def test_vocabulary_counts_without_python(spark):
+    df = rows_of(spark, [("a", "One two two"), ("b", "two THREE three three"), ("c", ""), ("d", None)])
+    found = index.vocabulary(df)
+    assert {tuple(r) for r in found.collect()} == {("one", 1, 1), ("two", 2, 3), ("three", 1, 3)}
+    assert "Arrow" not in found._jdf.queryExecution().executedPlan().toString()
