@@ -15,6 +15,8 @@ from quarry.plans.lineage import bounded_batches
 
 #: Trigrams that a model keeps of each language, the most frequent ones: it is sent to the tasks.
 MOST_GRAMS = 3000
+#: Characters whose trigrams are counted at once, about.
+CHUNK = 1 << 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -29,6 +31,19 @@ def grams(text: str) -> Counter:
     return out
 
 
+def _codes(text: str) -> np.ndarray:
+    """The trigrams of grams(), as numbers, with repeats: three code points of 21 bits each."""
+    words = _LETTERS.findall(text.lower())
+    c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    # one around each letter: those around a space cross words
+    at = np.flatnonzero(c[1:-1] != 32)
+    return c[at] << 42 | c[at + 1] << 21 | c[at + 2]
+
+
+def _gram(code: int) -> str:
+    return "".join(chr(code >> bits & 0x1FFFFF) for bits in (42, 21, 0))
+
+
 def train(texts: DataFrame, *, text: str = "text", language: str = "lang", most: int = MOST_GRAMS) -> DataFrame:
     """(language, gram, weight): logarithms of the trigrams' shares in each language's texts, smoothed. Rows without a text or a language are
     left out. All texts are counted, within batches first; a language's most frequent trigrams are kept."""
@@ -36,10 +51,25 @@ def train(texts: DataFrame, *, text: str = "text", language: str = "lang", most:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, Counter] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        size: Counter = Counter()
+
+        def add(lang: str) -> None:
+            found, n = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
+            size[lang] = 0
+            own = total.setdefault(lang, Counter())
+            for c, k in zip(found.tolist(), n.tolist(), strict=True):
+                own[c] += k
+
         for pdf in batches:
             for lang, value in zip(pdf["language"], pdf["text"], strict=True):
-                total.setdefault(lang, Counter()).update(grams(value))
-        rows = [(lang, g, n) for lang, c in total.items() for g, n in c.items()]
+                held.setdefault(lang, []).append(_codes(value))
+                size[lang] += len(value)
+                if size[lang] > CHUNK:
+                    add(lang)
+        for lang in list(held):
+            add(lang)
+        rows = [(lang, _gram(c), n) for lang, own in total.items() for c, n in own.items()]
         yield pd.DataFrame(rows, columns=["language", "gram", "n"])
 
     rows = texts.select(F.col(language).alias("language"), F.col(text).alias("text")).dropna()
@@ -55,7 +85,9 @@ class Guess:
     def __init__(self, model: DataFrame) -> None:
         rows = model.collect()
         self.languages = sorted({r["language"] for r in rows})
+        # sorted alike as strings and as numbers
         self.index = {g: i for i, g in enumerate(sorted({r["gram"] for r in rows}))}
+        self.codes = np.array([ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2]) for g in self.index], dtype=np.int64)
         at = {lang: i for i, lang in enumerate(self.languages)}
         least = min((r["weight"] for r in rows), default=0.0) - 1.0
         self.weights = np.full((len(self.index), len(self.languages)), least)
@@ -64,11 +96,10 @@ class Guess:
 
     def __call__(self, text: str | None) -> str | None:
         """The likeliest language; the first by name among equals; null for a text without known trigrams."""
-        found = [(self.index[g], n) for g, n in grams(text or "").items() if g in self.index]
-        if not found:
-            return None
-        i, n = np.array(found).T
-        return self.languages[int((self.weights[i] * n[:, None]).sum(0).argmax())]
+        own = _codes(text or "")
+        i = np.searchsorted(self.codes, own)
+        found = i[(i < len(self.codes)) & (self.codes[np.minimum(i, len(self.codes) - 1)] == own)] if len(self.codes) else i[:0]
+        return self.languages[int(self.weights[found].sum(0).argmax())] if len(found) else None
 
 
 def classify(texts: DataFrame, model: DataFrame, *, text: str = "text", name: str = "language") -> DataFrame:

@@ -2,10 +2,13 @@
 
 import gzip
 import io
+import math
 import tarfile
 import zipfile
+from collections import Counter
 from email.message import EmailMessage
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +124,25 @@ def test_keywords():
     text = "The engine reads files. The Engine writes an index. An index of the engine is small. It is the best of all, and it is quick."
     got = keywords(text, most=5)
     assert {"engine", "index"} <= set(got) and "the" not in got and keywords("") == [] and keywords("a 12 b") == [] and keywords(text) == keywords(text)
+
+
+def test_language_finds_trigrams_without_a_loop_over_them(spark, monkeypatch):
+    model = spark.createDataFrame([("de", " di", -1.0), ("de", "die", -1.5), ("en", " th", -1.0), ("en", "the", -1.25), ("fr", "die", -3.0), ("fr", " \u00e0 ", -0.5)], "language string, gram string, weight double")
+    guess, real = language.Guess(model), language.grams
+    texts = ["die the die", "The THE die", "die unknown, the_die", "die", "the2", "\u00c0 a", "xyz", " ", "", None]
+    weights = lambda t, i: sum(n * guess.weights[guess.index[g], i] for g, n in real(t).items() if g in guess.index)
+    want = [max(range(3), key=lambda i, t=t: weights(t, i)) if t and any(g in guess.index for g in real(t)) else None for t in texts]
+
+    def slow(_):
+        raise AssertionError
+
+    monkeypatch.setattr(language, "grams", slow)
+    assert [guess(t) for t in texts] == [None if i is None else guess.languages[i] for i in want]
+    assert want[-4:] == [None] * 4 and set(want[:6]) == {0, 1, 2}
+    # the trigrams are those of grams(), joined over texts and chunks
+    mixed = ["a bc d\u00e9f \U0001d400x 12a", "", "bc bc Bc"]
+    for t in mixed:
+        assert {language._gram(int(c)): int(n) for c, n in zip(*np.unique(language._codes(t), return_counts=True), strict=True)} == dict(real(t))
+    rows = language.train(spark.createDataFrame([("x", t) for t in mixed] + [("y", None), (None, "a")], "lang string, text string").repartition(2), most=50).collect()
+    sums = sum((real(t) for t in mixed), Counter())
+    assert {r["gram"]: round(r["weight"], 9) for r in rows} == {g: round(math.log((n + 1) / (sums.total() + 50)), 9) for g, n in sums.items()}
