@@ -29,8 +29,9 @@ from quarry.plans.query import Node, SearchPlan, all_words, boolean, near_patter
 VERSION = "3"
 #: Documents of a range, as a power of two.
 BITS = 6
-#: Bytes of a row group of documents, which a task can read alone, and blocks whose words a task of the dictionary gets, about.
-GROUP, WORDS = 8 << 20, 1 << 20
+#: Bytes of a row group of documents, which a task can read alone; bytes of documents whose blocks a task orders in memory; blocks whose words a
+#: task of the dictionary gets, about.
+GROUP, READ, WORDS = 4 << 20, 16 << 20, 1 << 20
 #: Ranges that are scored first: these, and one more for each so many hits of the page, up to a number that the driver can hold the hits of.
 FIRST, HITS_A_RANGE, MOST_FIRST = 12, 8, 512
 #: Characters up to which a word's neighbours are written as keys; longer words are compared one by one.
@@ -146,6 +147,17 @@ def write_docs(docs: DataFrame, path: str) -> DataFrame:
 def write_blocks(rows: DataFrame, path: str) -> None:
     """Writes the blocks and the dictionary of written documents below path. A task's blocks are ordered by term, so that a term's are
     side by side in each file; shuffled are words alone."""
+    spark = rows.sparkSession
+    name = "spark.sql.files.maxPartitionBytes"
+    now = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(READ))
+        _write_blocks(rows, path)
+    finally:
+        spark.conf.set(name, now)
+
+
+def _write_blocks(rows: DataFrame, path: str) -> None:
     spark = rows.sparkSession
     blocks(rows).sortWithinPartitions("term", "range").write.options(**_bloom("term"), **{"parquet.page.size": str(128 << 10), "compression": "zstd"}).parquet(f"{path}/blocks")
     written = spark.read.parquet(f"{path}/blocks")
